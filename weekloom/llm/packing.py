@@ -17,14 +17,13 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from weekloom.llm.pretokens import Memo, default_path, simple, tokenizer, units
+from weekloom.llm.pretokens import Memo, byte_letters, default_path, simple, tokenizer, units
 from weekloom.llm.textops import ship, text_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tokens array<int>"
@@ -33,13 +32,21 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 @lru_cache(2)
 def _encoder(path: str):
     load = tokenizer(path)
-    memo = Memo(lambda unit: load.encode(unit, add_special_tokens=False).ids)
+    packed = lambda text: np.array(load.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+    letters, cut = byte_letters(), load.model.tokenize
+
+    def unit_ids(unit: str) -> bytes:
+        written = unit if unit.isascii() else "".join(map(letters.__getitem__, unit.encode()))
+        return np.array([x.id for x in cut(written)], "<i4").tobytes()
+
+    memo = Memo(unit_ids, 700_000)
     special = [x.content for x in load.get_added_tokens_decoder().values()]
 
-    def ids(text: str) -> list[int]:
+    def ids(text: str) -> bytes:
+        """32-bit little-endian ids."""
         if not simple(text) or any(s in text for s in special):
-            return load.encode(text, add_special_tokens=False).ids
-        return list(chain.from_iterable(map(memo.__getitem__, units(text))))
+            return packed(text)
+        return b"".join(map(memo.__getitem__, units(text)))
 
     return ids
 
@@ -130,6 +137,7 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, end: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, fitter, number = _encoder(path), SumOfSquares(size), TaskContext.get().partitionId() << 32
         rows: list[list] = [[] for _ in range(8)]
+        last = np.array([end], "<i4").tobytes()
 
         def emit(window: Window) -> None:
             nonlocal number
@@ -149,7 +157,7 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, end: int =
 
         for batch in batches:
             for document, text in zip(batch.column(0).to_pylist(), text_of(batch), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end], np.int32)
+                ids = np.frombuffer(encode(text.as_py() or "") + last, "<i4")
                 whole = len(ids) - len(ids) % size
                 for start in range(0, whole, size):
                     window = Window()
