@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.textops import Chunk, Hasher, chunks, mix, ship, stride, text_of
+from weekloom.llm.textops import Chunk, Hasher, Scratch, chunks, mix, ship, stride, text_of
 from weekloom.llm.words import lowered
 
 INSIDE = np.zeros(256, bool)
@@ -209,5 +209,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The documents that match no item, with all columns."""
-    gone = contaminated(docs, benchmark, **parameters).select(F.col("doc_id").alias("gone_doc")).distinct()
+    gone = contaminated(docs, benchmark, **parameters).select(F.col("doc_id").alias("gone_doc"))
+    gone = Scratch(docs.sparkSession).ids(gone)
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_doc"], "left_anti")

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -179,6 +180,11 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def ids(self, frame: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+        """One column of distinct ids, written; marked for broadcast only if their counted number of 16 bytes each fits ``most_bytes``."""
+        held = self.put(frame.distinct())
+        return F.broadcast(held) if 16 * held.count() <= most_bytes else held
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that nothing still to run reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
