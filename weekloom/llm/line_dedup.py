@@ -87,25 +87,24 @@ class LineRuns:
             line_keys(docs, self.min_chars).withColumnRenamed("doc_id", "gone_doc").join(self.hot(), "key").where("gone_doc < last_doc")
             .groupBy("gone_doc").agg(F.collect_set("key").alias("gone_keys"))
         )
-        names, shortest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")], self.min_chars
-        joined = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"].cast("long").alias("own_doc"), docs["text"].alias("own_text"))
-        joined = joined.join(gone, joined["own_doc"] == gone["gone_doc"], "left").select("row", "own_text", "gone_keys")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kept, lines, dropped = [], [], []
-                for text, keys in zip(text_of(batch, "own_text").cast(pa.large_binary()), batch.column(2), strict=True):
-                    every = (text.as_py() or b"").split(b"\n")
-                    drop = set(keys.as_py() or ())
-                    stay = [x for x in every if line_key(x, shortest) not in drop] if drop else every
-                    kept.append(b"\n".join(stay))
-                    lines.append(len(every))
-                    dropped.append(len(every) - len(stay))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["row", "kept", "n_lines", "n_dropped"])
-
-        kind = joined.schema["row"].dataType.simpleString()
-        done = joined.mapInArrow(run, f"row {kind}, kept binary, n_lines long, n_dropped long")
-        return done.select(*[F.decode("kept", "UTF-8").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names], "n_lines", "n_dropped")
+        shortest = self.min_chars
+        rows = docs.drop("n_lines", "n_dropped")
+        joined = rows.join(gone, rows["doc_id"].cast("long") == gone["gone_doc"], "left")
+
+        @F.arrow_udf("struct<kept: binary, n_lines: bigint, n_dropped: bigint>")
+        def cleaned(texts: pa.Array, gone_keys: pa.Array) -> pa.Array:
+            kept, lines, dropped = [], [], []
+            for text, keys in zip(texts.cast(pa.large_binary()), gone_keys, strict=True):
+                every = (text.as_py() or b"").split(b"\n")
+                drop = set(keys.as_py() or ())
+                stay = [x for x in every if line_key(x, shortest) not in drop] if drop else every
+                kept.append(b"\n".join(stay))
+                lines.append(len(every))
+                dropped.append(len(every) - len(stay))
+            return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["kept", "n_lines", "n_dropped"])
+
+        done = joined.withColumn("cleaned_", cleaned(joined["text"], joined["gone_keys"]))
+        return done.select(*[F.decode("cleaned_.kept", "UTF-8").alias(c) if c == "text" else rows[c] for c in rows.columns], "cleaned_.n_lines", "cleaned_.n_dropped")
 
 
 def line_dedup(docs: DataFrame, batches: int = 3, fanout: int = 3, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
