@@ -76,8 +76,9 @@ def test_suffix_array_and_prefixes():
             assert shared[b] == n
 
 
-def test_suffix_dedup(spark, docs):
-    got = suffix_dedup.suffix_dedup(frame(spark, docs))
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_suffix_dedup(spark, docs, most):
+    got = suffix_dedup.suffix_dedup(frame(spark, docs), most=most)
     want = brute.suffix_dedup(docs)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got.collect()} == want
     assert sum(x[1] for x in want.values()) > 1000
