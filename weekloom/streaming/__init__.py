@@ -1,0 +1 @@
+"""Nothing here yet: weekly exports are batches, and no operator of the engine is a stream."""
