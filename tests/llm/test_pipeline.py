@@ -34,7 +34,7 @@ def test_stages(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(clean)
 
 
-@pytest.mark.parametrize("name", ["op5_line_dedup"])
+@pytest.mark.parametrize("name", ["op5_line_dedup", "op7_suffix_array_dedup"])
 def test_oracle_is_registered(name):
     from weekloom.llm.queries import ORACLE, QUERIES
 

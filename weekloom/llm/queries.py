@@ -102,5 +102,29 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op7_suffix_array_dedup": r"""
+WITH raw AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS body FROM documents
+), strings AS (
+  SELECT doc_id, unnest(range(1, length(body) // 2 - 48)) AS p, unnest(list_transform(range(1, length(body) // 2 - 48), lambda p: md5_number(substr(body, 2 * p - 1, 100)))) AS string FROM raw
+), firsts AS (
+  SELECT string, min(doc_id) AS first_doc FROM strings GROUP BY string HAVING count(*) > 1
+), gone AS (
+  SELECT doc_id, p FROM strings JOIN firsts USING (string) WHERE first_doc < doc_id
+), spans AS (
+  SELECT doc_id, min(p) AS lo, max(p) + 49 AS hi FROM (
+    SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM (
+      SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM gone))
+  GROUP BY doc_id, span
+), pieces AS (
+  SELECT doc_id, lo, hi, coalesce(lag(hi) OVER w, 0) AS before, lead(lo) OVER w IS NULL AS last FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
+), cut AS (
+  SELECT doc_id, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(body, 2 * before + 1, 2 * (lo - before - 1)) || CASE WHEN last THEN substr(body, 2 * hi + 1) ELSE '' END, '' ORDER BY lo) AS kept
+  FROM pieces JOIN raw USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(body) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, body))) AS kept_sha256
+FROM raw LEFT JOIN cut USING (doc_id)
 """,
 }
