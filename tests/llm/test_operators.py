@@ -303,6 +303,7 @@ def test_toxicity(spark):
 def test_url_filter(spark, docs):
     urls = ["http://Blog.Example.COM/en/7?x=1", "https://a.net/de/3", "http://example.net/de/85", "http://org/es/", "http://notorg/es/1", "no scheme/here", None, "x://", "ftp://u@h.org:80#f/es/", "http://a.com?/en/1", "http://b.example.org/fr/1\nnext"]
     urls += [f"http://shop{k}.example.com/en/1{k}" for k in range(20)] + [f"http://blog{k}.net/de/{k}" for k in range(20)] + [f"http://shop{k}.xyz/page" for k in range(5)]
+    docs = docs + [(9000, "a" + "é" * 40 + " " + "漢字" * 30)]  # a word longer than is kept, cut within a character
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("own"))
     got = rows_of(url_filter.url_filter(pages, frame(spark, docs), URL_RULES), "page_id")
     for k, url in enumerate(urls):

@@ -104,7 +104,7 @@ class LineRuns:
             return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["kept", "n_lines", "n_dropped"])
 
         done = joined.withColumn("cleaned_", cleaned(joined["text"], joined["gone_keys"]))
-        return done.select(*[F.decode("cleaned_.kept", "UTF-8").alias(c) if c == "text" else rows[c] for c in rows.columns], "cleaned_.n_lines", "cleaned_.n_dropped")
+        return done.select(*[F.col("cleaned_.kept").cast("string").alias(c) if c == "text" else rows[c] for c in rows.columns], "cleaned_.n_lines", "cleaned_.n_dropped")
 
 
 def line_dedup(docs: DataFrame, batches: int = 3, fanout: int = 3, min_chars: int = 20, min_docs: int = 3) -> DataFrame:

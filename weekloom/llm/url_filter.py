@@ -87,7 +87,7 @@ def _bin(word: str) -> int:
 
 def dictionary(docs: DataFrame, most_words: int) -> dict[str, int]:
     """At most so many words come to the driver; their counts are over all texts."""
-    words = word_counts(docs, F.lit("")).select(F.decode("word", "UTF-8").alias("word"), "n").where(F.length("word").between(2, LONGEST_WORD))
+    words = word_counts(docs, F.lit("")).select(F.col("word").cast("string").alias("word"), "n").where(F.is_valid_utf8("word") & F.length("word").between(2, LONGEST_WORD))  # long words may be cut within a character
     return {x["word"]: x["n"] for x in words.orderBy(F.desc("n"), "word").limit(most_words).collect()}
 
 
