@@ -84,6 +84,21 @@ def test_suffix_dedup(spark, docs, most):
     assert sum(x[1] for x in want.values()) > 1000
 
 
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_suffix_dedup_of_a_paragraph_twice_in_one_document(spark, most):
+    rng = random.Random(11)
+    letters = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    texts = []
+    for i in range(20):
+        phrase = letters(70)
+        paragraph = letters(90) + phrase + letters(90)
+        texts += [(2 * i, letters(200) + phrase + letters(200)), (2 * i + 1, paragraph + "\n" + letters(150) + paragraph + letters(40) + paragraph)]
+    got = suffix_dedup.suffix_dedup(frame(spark, texts), most=most)
+    want = brute.suffix_dedup(texts)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got.collect()} == want
+    assert all(want[2 * i + 1][2] == 3 for i in range(20))
+
+
 def test_line_dedup(spark, docs):
     got = line_dedup.line_dedup(frame(spark, docs), batches=5, fanout=2)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "row", "key", "n_lines", "n_dropped"]
