@@ -188,6 +188,34 @@ def test_decontamination_recall_and_blocks(spark):
         assert sum((k, k) in got for k in range(60)) >= 57 and all(a == b for a, b in got)
 
 
+def test_decontamination_finds_all_at_the_full_bound(spark):
+    rng = random.Random(12)
+    sizes = [16, 40, 55, 100, 200, 400] * 6
+    items = [[f"v{rng.randint(0, 5000)}" for _ in range(n)] for n in sizes]
+    planted = []
+    for k, item in enumerate(items):
+        words = list(item)
+        for at in rng.sample(range(len(item)), len(item) // 5):
+            words[at] = [f"new{at}", f"new{at}", ""][rng.randrange(3)]
+        planted.append((k, " ".join([f"o{rng.randint(0, 900)}" for _ in range(50)] + words + [f"o{rng.randint(0, 900)}" for _ in range(50)])))
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_edits for r in decontaminate.contaminated(frame(spark, planted), benchmark).collect()}
+    assert got == {(k, k): n // 5 for k, n in enumerate(sizes)}
+
+
+def test_nearest_is_the_edit_distance():
+    rng = random.Random(13)
+    for _ in range(300):
+        item, stretch = ([rng.randrange(4) for _ in range(rng.randint(1, 12))] for _ in range(2))
+        last = [0] * (len(stretch) + 1)
+        for i, x in enumerate(item, 1):
+            row = [i]
+            for j, y in enumerate(stretch, 1):
+                row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+            last = row
+        assert decontaminate.nearest(item, stretch, 12) == min(last)
+
+
 def test_base_rules(spark, docs):
     labels = spark.createDataFrame([], EMPTY_LABELS)
     got = rows_of(quality_rules.quality(frame(spark, docs), labels))

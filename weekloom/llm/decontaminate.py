@@ -1,4 +1,4 @@
-"""Benchmark decontamination by CGK embeddings and bit-sampling LSH.
+"""Benchmark decontamination by a q-gram count and exact edit distances.
 
 Texts are sequences of lower-cased words (letters and digits).  A document is contaminated by an item if some stretch of it can be
 turned into the item by at most ``edit_share`` of the item's words in insertions, deletions and replacements.
@@ -7,11 +7,9 @@ turned into the item by at most ``edit_share`` of the item's words in insertions
 ``n - q + 1 - q * edits`` runs of q words (the q-gram lemma).  Windows of the item's size are laid at the starts
 which such shared runs imply; elsewhere no window can match.
 
-*Embedding.*  The CGK random walk copies the word it stands on to the output and then steps on or stays by a random bit
-of (step, word).  Windows a few edits apart fall into step again after an edit, so that their outputs differ in few
-places.  Bit sampling takes ``sample`` random places of an output as a key; ``walks`` x ``samples`` keys give the recall.
-Windows that share a key with an item of their size are verified by an exact edit distance against the
-document's words around them.
+*Verification.*  Neighbouring windows of one item make a cluster.  Each cluster is verified by an exact edit distance against
+the document's words around it, many words of the item at a time in the bits of one number.  Nothing
+else decides, so every match within the bound is found.
 
 Items are held as arrays on every task, at most ``block`` of them at once; more are run block after block.  Nothing is shuffled but the result.
 Null or empty texts match nothing; an item of fewer than ``shortest`` words is not looked for.
@@ -49,55 +47,29 @@ def runs_of(words: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def cgk(windows: np.ndarray, walk: int, steps: int) -> np.ndarray:
-    """Outputs of the random walk over each row; past the row's end the output is 0."""
-    n, size = windows.shape
-    padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
-    at, row = np.zeros(n, np.int64), np.arange(n)
-    out = np.zeros((n, steps), np.uint64)
-    for j in range(steps):
-        word = padded[row, at]
-        out[:, j] = word
-        bit = mix(word + stride(walk * 1_000_003 + j + 1)) >> np.uint64(63)
-        at = np.minimum(at + bit.astype(np.int64), size)
-    return out
-
-
-def keys_of(windows: np.ndarray, walks: int, samples: int, sample: int) -> np.ndarray:
-    """Bit-sampling keys of equally long windows: windows x (walks * samples)."""
-    n, size = windows.shape
-    steps = 2 * size
-    keys = np.zeros((n, walks * samples), np.uint64)
-    for w in range(walks):
-        out = cgk(windows, w, steps)
-        for s in range(samples):
-            places = np.random.default_rng([size, w, s]).choice(steps, min(sample, steps), replace=False)
-            key = np.full(n, (size * walks + w) * samples + s + 1, np.uint64)
-            for p in places:
-                key = mix(key * stride(1) + out[:, p])
-            keys[:, w * samples + s] = key
-    return keys
-
-
 def nearest(item: list[int], stretch: list[int], most: int) -> int | None:
-    """Least edit distance of the item to any substring of the stretch, if at most ``most``."""
-    last = [0] * (len(stretch) + 1)
-    for i, x in enumerate(item, 1):
-        row, left = [i], i
-        for j, y in enumerate(stretch, 1):
-            left = min(last[j - 1] + (x != y), last[j] + 1, left + 1)
-            row.append(left)
-        if min(row) > most:
-            return None
-        last = row
-    return min(last) if min(last) <= most else None
+    """Least edit distance of the item to any substring of the stretch, if at most ``most`` (bit-parallel, by Myers)."""
+    size, places = len(item), defaultdict(int)
+    for i, x in enumerate(item):
+        places[x] |= 1 << i
+    full, high = (1 << size) - 1, 1 << (size - 1)
+    more, less, score, best = full, 0, size, size
+    for y in stretch:
+        same = places.get(y, 0)
+        down = same | less
+        across = ((((same & more) + more) ^ more) | same) & full
+        up, off = less | (full & ~(across | more)), more & across
+        score += bool(up & high) - bool(off & high)
+        best = min(best, score)
+        up, off = up << 1 & full, off << 1 & full
+        more, less = off | (full & ~(down | up)), up & down
+    return best if best <= most else None
 
 
 class Items:
-    """A block of items with their runs of q words and their keys."""
+    """A block of items with their runs of q words."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], edit_share: float, shortest: int, walks: int, samples: int, sample: int):
-        self.how = walks, samples, sample
+    def __init__(self, rows: list[tuple[int, bytes]], edit_share: float, shortest: int):
         chunk = Chunk(0, [t for _, t in rows])
         words, text = word_hashes(chunk)
         cuts = np.searchsorted(text, np.arange(len(rows) + 1))
@@ -119,18 +91,9 @@ class Items:
             flags = np.zeros(1 << 20, bool)
             flags[distinct & np.uint64((1 << 20) - 1)] = True
             self.grams[q] = flags, distinct, first, times, item[order], place[order]
-        pairs: dict[int, set[int]] = defaultdict(set)
-        for size in set(self.size.tolist()):
-            own = np.flatnonzero(self.size == size)
-            for k, row in zip(own.tolist(), keys_of(np.stack([self.words[k] for k in own]), *self.how), strict=True):
-                for key in row.tolist():
-                    pairs[key].add(k)
-        self.by_key = dict(pairs)
-        self.keys = np.array(sorted(pairs), np.uint64)
-
-    def starts(self, words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and starts of the windows that shared runs of words imply."""
-        sizes, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def clusters(self, words: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """Text, item and the starts, in order, of the windows in each cluster that shared runs of words imply."""
         for q, (flags, distinct, first, times, item, place) in self.grams.items():
             hashes = runs_of(words, q)
             at = np.flatnonzero(flags[hashes & np.uint64((1 << 20) - 1)])
@@ -141,49 +104,37 @@ class Items:
             hit = np.repeat(first[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(at, n)
             k, begin = item[hit], at - place[hit]
-            code = (k * (int(text[-1]) + 1) + text[at]) if len(text) else k
+            code = k * (int(text[-1]) + 1) + text[at]
             order = np.lexsort((begin, code))
-            k, begin, code = k[order], begin[order], code[order]
+            k, begin, code, of = k[order], begin[order], code[order], text[at][order]
             if not len(k):
                 continue
             fresh = np.r_[True, (code[1:] != code[:-1]) | (begin[1:] - begin[:-1] > np.maximum(self.edits[k[1:]], 1))]
-            cluster = np.cumsum(fresh) - 1
-            enough = (np.bincount(cluster) >= self.need[k[fresh]])[cluster]
-            sizes.append(self.size[k[enough]])
-            begins.append(begin[enough])
-        both = np.unique(np.concatenate(sizes) * (1 << 40) + np.concatenate(begins) + (1 << 20))
-        return both >> 40, (both & ((1 << 40) - 1)) - (1 << 20)
+            first_hit = np.flatnonzero(fresh)
+            last_hit = np.append(first_hit[1:], len(k))
+            enough = last_hit - first_hit >= self.need[k[first_hit]]
+            for a, b in zip(first_hit[enough].tolist(), last_hit[enough].tolist(), strict=True):
+                yield int(of[a]), int(k[a]), np.unique(begin[a:b]).tolist()
 
     def matches(self, chunk: Chunk) -> list[tuple[int, int, int, int, int]]:
-        """(text, item's id, edits, the item's words, the window's first word in the text) of each text and item that match."""
+        """(text, item's id, edits, the item's words, the best window's first word in the text) of each text and item that match."""
         words, text = word_hashes(chunk)
         if not len(words) or not self.ids:
             return []
-        size, begin = self.starts(words, text)
         low = np.searchsorted(text, np.arange(len(chunk.texts) + 1))
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for n in np.unique(size):
-            start = begin[size == n]
-            where = np.clip(start[:, None] + np.arange(n), 0, len(words) - 1)
-            middle = text[where[:, n // 2]]
-            windows = np.where(text[where] == middle[:, None], words[where], np.uint64(0))
-            keys = keys_of(windows, *self.how)
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            for i, j in zip(*np.nonzero(self.keys[at] == keys), strict=True):
-                for k in self.by_key[int(keys[i, j])]:
-                    t = int(middle[i])
-                    if (seen := best.get((t, k))) and seen[0] == 0 or (t, k, int(start[i])) in best:
-                        continue
-                    best[t, k, int(start[i])] = (0, 0)  # done
-                    slack = int(self.edits[k])
-                    a, b = max(low[t], start[i] - slack), min(low[t + 1], start[i] + n + slack)
-                    edits = nearest(self.words[k].tolist(), words[a:b].tolist(), slack)
-                    if edits is not None and (seen is None or edits < seen[0]):
-                        best[t, k] = edits, max(int(start[i] - low[t]), 0)
-        return [(x[0], self.ids[x[1]], e, len(self.words[x[1]]), s) for x, (e, s) in best.items() if len(x) == 2]
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, shortest: int = 6, walks: int = 3, samples: int = 12, sample: int = 3, block: int = 20_000) -> DataFrame:
+        for t, k, begins in self.clusters(words, text):
+            n, slack, item = int(self.size[k]), int(self.edits[k]), self.words[k].tolist()
+            around = lambda lo, hi: words[max(low[t], lo - slack) : min(low[t + 1], hi + n + slack)].tolist()  # noqa: B023, E731
+            most = min(slack, best[t, k][0] - 1) if (t, k) in best else slack
+            edits = nearest(item, around(begins[0], begins[-1]), most) if most >= 0 else None
+            if edits is not None:
+                start = next((x for x in begins if nearest(item, around(x, x), edits) is not None), begins[0])
+                best[t, k] = edits, max(start - int(low[t]), 0)
+        return [(t, self.ids[k], e, int(self.size[k]), s) for (t, k), (e, s) in best.items()]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, shortest: int = 6, block: int = 20_000) -> DataFrame:
     """doc_id, item_id, n_edits, n_item_words, start_word: a row per document (row) and item that match."""
     spark = ship(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
@@ -196,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2,
         held = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in own.collect()])
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Items(held.value, edit_share, shortest, walks, samples, sample)
+            index = Items(held.value, edit_share, shortest)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 found = [(ids[c.lo + t], *rest) for c in chunks(text_of(batch)) for t, *rest in index.matches(c)]
