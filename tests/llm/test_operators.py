@@ -5,6 +5,7 @@ import json
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -137,6 +138,41 @@ def test_large_near_copy_group(spark):
     assert {r.group_id for r in got.values()} == {0}
 
 
+def test_near_pairs_among_documents_of_one_template(spark):
+    """Pairs at about 0.82 among 1000 documents that are about 0.75 alike: groups and numbers of links as by brute force."""
+    rng = random.Random(14)
+    fresh = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
+    template = fresh(304)
+    texts = []
+    for i in range(500):
+        shared = fresh(22)
+        texts += [(2 * i + k, " ".join(template + shared + fresh(29 if i < 50 else 51))) for k in (0, 1)]
+    rng.shuffle(texts)
+    bags = {i: set(brute.bag(t)) for i, t in texts}
+    core = set(brute.bag(" ".join(template)))
+    rest = {i: b - core for i, b in bags.items()}
+    near = {(a, b) for a in bags for b in bags if a < b and (both := len(core) + len(rest[a] & rest[b])) / (len(bags[a]) + len(bags[b]) - both) >= 0.8}
+    links = Counter(i for pair in near for i in pair)
+    got = rows_of(near_dedup.near_duplicates(frame(spark, texts)))
+    assert len(near) >= 50 and {i: got[i].n_links for i in bags} == {i: links[i] for i in bags}
+    root = dict(zip(bags, bags, strict=True))
+    for a, b in sorted(near) * 3:
+        root[a] = root[b] = min(root[a], root[b])
+    assert {i: got[i].group_id for i in bags} == root
+
+
+def test_links_of_a_large_near_copy_group_are_all_counted(spark):
+    rng = random.Random(15)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(300)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        words[rng.randrange(300)] = f"own{i}"
+        texts.append((i, " ".join(words)))
+    got = rows_of(near_dedup.near_duplicates(frame(spark, texts), part=16))
+    assert {(r.group_id, r.n_links) for r in got.values()} == {(0, 59)}
+
+
 def test_signatures_estimate_weighted_overlap():
     rng = np.random.default_rng(0)
     hashes = rng.integers(0, 1 << 63, 60).astype(np.uint64)

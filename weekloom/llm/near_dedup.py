@@ -12,11 +12,13 @@ limit by which all registers are full with high probability, so nearly all shing
 empty register is done again with a larger limit.
 
 *Candidates.*  Registers are grouped to bands.  Documents with equal bags (by a 128-bit sum) are one class and
-enter the bands once.  In a band's bucket of at most ``all_pairs`` classes every pair is a candidate; in a larger one,
-every class is paired with ``pivots`` of its members, chosen by hashes that differ from band to band.  As a
-near pair shares many of its 16 bands, it meets in buckets with different pivots; the number of
-candidates stays proportional to the documents.  Candidates whose registers agree in less than half (six
-standard deviations below 0.8) are dropped, all others are verified on their whole texts.
+enter the bands once.  In a band's bucket of at most ``all_pairs`` classes every pair is a candidate; candidates whose
+registers agree in less than half (six standard deviations below 0.8) are dropped, all others are verified on their whole texts.
+
+*Large buckets.*  In a larger bucket every pair is verified too, but in blocks: its classes are dealt to parts of about
+``part`` classes, and each two parts (and each part with itself) are one group, in which the overlaps of all pairs are products of
+matrices of shingles.  A pair belongs to the first large bucket that it shares, so it counts once.  A group returns only
+the number of links of each of its classes and the components that they make, not the links.
 
 *Groups.*  Verified links are joined to connected components by star contraction, in Spark.
 
@@ -139,21 +141,88 @@ def overlap(left: pa.Array, right: pa.Array) -> np.ndarray:
     return out
 
 
-def candidates(classes: DataFrame, all_pairs: int, pivots: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of class representatives, a < b, each once, whose registers agree at least in half."""
-    keyed = classes.select("doc_id", F.explode("bands").alias("key"))
+def placed(classes: DataFrame, all_pairs: int, scratch: Scratch) -> DataFrame:
+    """doc_id, b, key, n, large: each class in each bucket with other classes, the bucket's size, and the class's keys of all its large buckets, by band (0 where not large)."""
+    keyed = classes.select("doc_id", F.posexplode("bands").alias("b", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = scratch.put(keyed.join(shared, "key"))
+    own = members.where(F.col("n") > all_pairs).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "key"))).alias("own"))
+    bands = classes.select("doc_id", F.size("bands").alias("bands"))
+    large = own.join(bands, "doc_id").select("doc_id", F.transform(F.sequence(F.lit(0), F.col("bands") - 1), lambda b: F.coalesce(F.try_element_at("own", b), F.lit(0))).alias("large"))
+    return scratch.put(members.join(large, "doc_id", "left"))
+
+
+def candidates(members: DataFrame, classes: DataFrame, all_pairs: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of class representatives, a < b, each once, that share small buckets only and whose registers agree at least in half."""
     small = members.where(F.col("n") <= all_pairs).groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))  # at most all_pairs ids
-    pairs = small.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
-    large = members.where(F.col("n") > all_pairs).select("doc_id", "key")
-    chosen = large.groupBy("key").agg(F.array(*[F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(j))) for j in range(pivots)]).alias("pivots"))
-    large = large.join(chosen, "key").select("doc_id", F.explode("pivots").alias("pivot")).where("doc_id <> pivot")
-    every = pairs.unionByName(large.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))).distinct()
-    values = classes.select("doc_id", "signature").join(scratch.ids(members.select("doc_id")), "doc_id", "left_semi")
-    both = every.join(values.toDF("a", "left").hint("merge"), "a").join(values.toDF("b", "right").hint("merge"), "b")
+    every = small.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b")).distinct()
+    large = members.select("doc_id", "large").dropDuplicates(["doc_id"])
+    values = classes.select("doc_id", "signature").join(large, "doc_id")
+    both = every.join(values.toDF("a", "left", "left_large").hint("merge"), "a").join(values.toDF("b", "right", "right_large").hint("merge"), "b")
+    elsewhere = F.exists(F.zip_with("left_large", "right_large", lambda x, y: (x == y) & (x != 0)), lambda x: x)
     agree = F.aggregate(F.zip_with("left", "right", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return both.where(agree * 2 >= F.size("left")).select("a", "b")
+    return both.where((agree * 2 >= F.size("left")) & ~F.coalesce(elsewhere, F.lit(False))).select("a", "b")
+
+
+def overlaps(texts: pa.Array, columns: int = 8192) -> np.ndarray:
+    """Weighted Jaccard similarities of the bags of all pairs of texts."""
+    n = len(texts)
+    parts = [shingles(c, WIDTH) for c in chunks(texts, 1 << 40)]
+    hashes, group, count = bags(*parts[0])
+    weight = np.bincount(group, count, n)
+    # the k-th occurrence of a shingle is an element of its own, so that the bags are sets
+    times = np.repeat(np.arange(len(hashes)), count)
+    nth = np.arange(len(times)) - np.repeat(np.cumsum(count) - count, count)
+    _, element, held = np.unique(mix(hashes[times] + mix(nth.astype(np.uint64) + np.uint64(1))), return_inverse=True, return_counts=True)
+    common = held[element] > 1
+    _, element = np.unique(element[common], return_inverse=True)
+    owner = group[times][common]
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    both = np.zeros((n, n))
+    for lo in range(0, int(element[-1]) + 1 if len(element) else 0, columns):
+        a, b = np.searchsorted(element, (lo, lo + columns))
+        matrix = np.zeros((n, columns), np.float32)
+        matrix[owner[a:b], element[a:b] - lo] = 1
+        both += matrix @ matrix.T
+    return both / np.maximum(weight[:, None] + weight[None, :] - both, 1)
+
+
+def block_links(members: DataFrame, docs: DataFrame, similarity: float, all_pairs: int, part: int) -> DataFrame:
+    """doc_id, root, n: for each block of a large bucket, the links that its classes have in it, and the least class they are linked with there."""
+    large = members.where(F.col("n") > all_pairs).withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
+    large = large.withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    large = large.select("doc_id", "key", "b", "large", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, own = table["doc_id"].to_numpy(), table["own"].to_numpy()
+        band, crossed = table["b"][0].as_py(), table["i"][0].as_py() != table["j"][0].as_py()
+        keys = np.array(table["large"].to_pylist(), np.int64)
+        linked = overlaps(text_of(table)) >= similarity
+        linked &= ids[:, None] != ids[None, :]
+        if crossed:
+            linked &= own[:, None] != own[None, :]
+        for b in range(band):
+            linked &= (keys[:, b][:, None] != keys[:, b][None, :]) | (keys[:, b] == 0)[:, None]
+        # rows that repeat a doc_id are one
+        nodes, of = np.unique(ids, return_inverse=True)
+        if len(nodes) < len(ids):
+            merged = np.zeros((len(nodes), len(nodes)), bool)
+            a, b = np.nonzero(linked)
+            merged[of[a], of[b]] = True
+            linked = merged
+        n, label = linked.sum(axis=1), np.arange(len(nodes))
+        while True:
+            fresh = np.minimum(label, np.where(linked, label[None, :], len(nodes)).min(axis=1))
+            if (fresh == label).all():
+                break
+            label = fresh
+        found = np.flatnonzero(n)
+        return pa.table({"doc_id": nodes[found], "root": nodes[label[found]], "n": n[found].astype(np.int64)})
+
+    held = large.join(texts.hint("merge"), "doc_id").select("key", "i", "j", "doc_id", "b", "large", "own", "text")
+    return held.groupBy("key", "i", "j").applyInArrow(run, "doc_id long, root long, n long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, scratch: Scratch, block: int = 200) -> DataFrame:
@@ -198,17 +267,20 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     return held.select(F.col("b").alias("node"), F.col("a").alias("root")).union(held.select("a", "a").distinct())
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, registers: int = REGISTERS, band: int = BAND, all_pairs: int = 8, pivots: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, registers: int = REGISTERS, band: int = BAND, all_pairs: int = 8, part: int = 256) -> DataFrame:
     """doc_id, class_id (least doc_id with the same bag), group_id (least doc_id of the near-duplicate group) and
     n_links (verified links of its class to other classes): one row per distinct doc_id."""
     scratch = Scratch(docs.sparkSession)
     every = scratch.put(signed(docs, registers, band))
     ranked = every.where("bag IS NOT NULL").groupBy("bag").agg(F.min("doc_id").alias("class_id"))
     classes = scratch.put(every.join(ranked, "bag").where("doc_id = class_id").select("doc_id", "signature", "bands").dropDuplicates(["doc_id"]))
-    pairs = scratch.put(candidates(classes, all_pairs, pivots, scratch))
+    members = placed(classes, all_pairs, scratch)
+    pairs = scratch.put(candidates(members, classes, all_pairs, scratch))
     links = scratch.put(verified(pairs, docs, similarity, scratch))
-    roots = components(links, scratch)
-    n = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    blocks = scratch.put(block_links(members, docs, similarity, all_pairs, part))
+    roots = components(links.select("a", "b").unionByName(blocks.select(F.col("root").alias("a"), F.col("doc_id").alias("b"))), scratch)
+    each = links.select(F.explode(F.array("a", "b")).alias("class_id"), F.lit(1).cast("long").alias("n")).unionByName(blocks.select(F.col("doc_id").alias("class_id"), "n"))
+    n = each.groupBy("class_id").agg(F.sum("n").alias("n_links"))
     of = every.join(ranked, "bag", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     out = of.join(roots.join(n, roots["node"] == n["class_id"], "left").select(F.col("node").alias("class_id"), "root", "n_links"), "class_id", "left")
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min(F.coalesce("root", "class_id")).alias("group_id"), F.max(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
