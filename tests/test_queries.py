@@ -1,5 +1,7 @@
 """Registered queries against their SQL on the smallest tables, and the forecasters' contract."""
 
+import datetime
+
 import numpy as np
 import pytest
 
@@ -43,6 +45,14 @@ def test_forecasters_follow_a_season(name):
     assert np.abs(point - want).mean() < 6 and (spread >= 0).all()
 
 
+def test_ridge_over_one_series_is_the_local_one(spark):
+    """Pooled over one series, the regression sees all of its rows, as the local one does."""
+    y = 100 + np.arange(300) * 0.5 + np.random.default_rng(1).normal(0, 20, 300)
+    rows = [(0, "a", datetime.date(1995, 1, 1) + datetime.timedelta(weeks=k), float(v)) for k, v in enumerate(y)]
+    made = forecasters.ridge_global(spark.createDataFrame(rows, "fold int, unique_id string, ds date, y double"), PROTOCOL).orderBy("step").collect()
+    assert [r.yhat for r in made] == pytest.approx(forecasters.ridge_local(y, PROTOCOL.longest, PROTOCOL.season)[0].tolist())
+
+
 def test_forecast_contract_holds(spark):
     made = forecasters.ridge_global(fixtures.filled(spark, SF), PROTOCOL)
     row = score.contract(fixtures.actual(spark, SF), made).agg({"n_duplicate": "sum", "n_absent": "sum", "n_unexpected": "sum", "n_crossed": "sum"}).first()

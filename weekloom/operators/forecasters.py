@@ -171,8 +171,8 @@ def ridge_global(filled: DataFrame, protocol: Protocol, ridge: float = 1.0) -> D
             flat = [(f, i, v) for f, values in out for i, v in enumerate(values)]
             yield pd.DataFrame(flat, columns=["fold", "i", "v"]).astype({"fold": "int32", "i": "int32", "v": "float64"})
 
-    tails = context_tail(filled, 4 * season, tuple(SERIES))
-    sums = tails.select("fold", "context").mapInPandas(moments, "fold int, i int, v double").groupBy("fold", "i").agg(F.sum("v").alias("v"))
+    whole = filled.where(F.col("y").isNotNull()).groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("ds", "y"))), lambda x: x["y"]).alias("context"))  # a series is a few hundred rows
+    sums = whole.select("fold", "context").mapInPandas(moments, "fold int, i int, v double").groupBy("fold", "i").agg(F.sum("v").alias("v"))
     coefs = {}
     for fold, part in sums.toPandas().groupby("fold"):  # folds x width^2 numbers
         v = part.sort_values("i")["v"].to_numpy()
@@ -196,7 +196,7 @@ def ridge_global(filled: DataFrame, protocol: Protocol, ridge: float = 1.0) -> D
                 out += [("ridge_global", fold, uid, k + 1, None if np.isnan(p) else float(p), None if np.isnan(p) else list(p + s * z)) for k, (p, s) in enumerate(zip(point, spread, strict=True))]
             yield pd.DataFrame(out, columns=["model", "fold", "unique_id", "step", "yhat", "q"]).astype({"fold": "int32", "step": "int32", "yhat": "float64"})
 
-    return tails.mapInPandas(run, SCHEMA)
+    return whole.mapInPandas(run, SCHEMA)
 
 
 def _training_rows(filled: DataFrame, protocol: Protocol) -> tuple[DataFrame, list[str]]:
