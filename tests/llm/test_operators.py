@@ -355,6 +355,13 @@ def test_forward_sums_all_cuts():
         assert got == pytest.approx(total(word))
 
 
+def test_long_pieces_are_cuts_too():
+    words = language_id.pieces(default_path("piece_bpe_32k.model"))
+    for word in (b"orientation", b"descriptions"):
+        buf = np.frombuffer(word, np.uint8)
+        assert word in words.texts and (0, len(word)) in language_id.lattice(words, language_id.Hasher(buf), np.array([0]), len(word))
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     clean = [f"w{rng.choice('abcdefgh')}{rng.choice('klmnop')}{rng.randint(0, 30)}" for _ in range(200)]

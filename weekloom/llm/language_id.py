@@ -26,7 +26,6 @@ from weekloom.llm.words import LETTERS, letter_words, lowered, word_counts
 
 UND = "und"
 FLOOR = 1e-7
-LONGEST_PIECE = 10
 
 
 class Pieces:
@@ -40,9 +39,10 @@ class Pieces:
         for i in range(model.get_piece_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
                 text = model.id_to_piece(i).removeprefix("▁").encode()
-                if 0 < len(text) <= LONGEST_PIECE and LETTERS[list(text)].all():
+                if text and LETTERS[list(text)].all():
                     texts.add(lowered(np.frombuffer(text, np.uint8)).tobytes())
         self.texts = sorted(texts)
+        self.longest = max(map(len, self.texts))
         buf = np.frombuffer(b"".join(self.texts), np.uint8)
         ends = np.cumsum([len(x) for x in self.texts])
         hashes = Hasher(buf)(np.r_[0, ends[:-1]], ends)
@@ -71,7 +71,7 @@ def lattice(vocabulary: Pieces, hasher: Hasher, starts: np.ndarray, length: int)
     """For words of one length: the piece between any two places, where any word has one."""
     found = {}
     for i in range(length):
-        for j in range(i + 1, min(i + LONGEST_PIECE, length) + 1):
+        for j in range(i + 1, min(i + vocabulary.longest, length) + 1):
             ids = vocabulary.find(hasher(starts + i, starts + j))
             if ids.any():
                 found[i, j] = ids
