@@ -338,28 +338,50 @@ def test_language(spark):
     assert {r.lang_pred for r in nothing.values()} == {"und"}
 
 
-def test_forward_sums_all_cuts():
-    words = language_id.pieces(default_path("piece_bpe_32k.model"))
-    table = np.zeros((len(words), 1))
+def every_cut(word, words):
+    """All ways to cut a word into pieces, each a list of piece numbers."""
     index = {t: i + 1 for i, t in enumerate(words.texts)}
-    rng = np.random.default_rng(1)
-    table[1:, 0] = rng.random(len(words) - 1)
-    for word in (b"the", b"station", "année".encode()):
-        buf = np.frombuffer(word, np.uint8)
-        arcs = language_id.lattice(words, language_id.Hasher(buf), np.array([0]), len(word))
-        got = language_id.forward(arcs, table, 1, len(word))[len(word), 0, 0]
 
-        def total(rest):
-            return 1.0 if not rest else sum(table[index[rest[:k]], 0] * total(rest[k:]) for k in range(1, 11) if len(rest) >= k and rest[:k] in index)
+    def cuts(rest):
+        if not rest:
+            yield []
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in index:
+                for more in cuts(rest[k:]):
+                    yield [index[rest[:k]], *more]
 
-        assert got == pytest.approx(total(word))
+    return list(cuts(word))
 
 
-def test_long_pieces_are_cuts_too():
+def test_forward_sums_and_expected_counts_over_all_cuts():
+    words = language_id.pieces(default_path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(1)
+    logs = np.log(rng.random((len(words), 2)))
+    texts = [b"the", b"station", "année".encode(), b"a", b"orientation"]
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(x) for x in texts])
+    lattice = language_id.Lattice(words, buf, np.r_[0, ends[:-1]], ends)
+    got = lattice.sums(logs)[lattice.last]
+    weight, want = np.array([3.0, 1, 2, 5, 1]), np.zeros(len(words))
+    for k, text in enumerate(texts):
+        cuts = every_cut(text, words)
+        for lang in (0, 1):
+            assert got[k, lang] == pytest.approx(math.log(sum(math.exp(logs[c, lang].sum()) for c in cuts)))
+        total = sum(math.exp(logs[c, 0].sum()) for c in cuts)
+        for c in cuts:
+            np.add.at(want, c, weight[k] * math.exp(logs[c, 0].sum()) / total)
+    assert np.allclose(language_id.expected(texts, weight, words, logs[:, :1]), want)
+
+
+def test_long_pieces_and_long_words():
     words = language_id.pieces(default_path("piece_bpe_32k.model"))
     for word in (b"orientation", b"descriptions"):
-        buf = np.frombuffer(word, np.uint8)
-        assert word in words.texts and (0, len(word)) in language_id.lattice(words, language_id.Hasher(buf), np.array([0]), len(word))
+        assert word in words.texts and [words.texts.index(word) + 1] in every_cut(word, words)
+    word = np.frombuffer(b"orientation" * 3000, np.uint8)
+    logs = np.log(np.full((len(words), 1), 1e-3))
+    lattice = language_id.Lattice(words, word, np.array([0]), np.array([len(word)]))
+    assert len(word) / 11 * math.log(1e-3) < lattice.sums(logs)[-1, 0] < 0
+    assert lattice.sums(logs)[-1, 0] == pytest.approx(lattice.sums(logs, back=True)[0, 0])
 
 
 def test_toxicity(spark):
@@ -402,8 +424,20 @@ def test_url_filter(spark, docs):
 
 
 def test_segmenter():
-    cut = url_filter.Segmenter({"news": 50, "paper": 40, "newspaper": 5, "daily": 30, "new": 20, "spaper": 1}).cut
-    assert cut("dailynewspaper") == ["daily", "newspaper"] and cut("newsxdaily") == ["news", "x", "daily"] and cut("") == []
+    """Against all cuts of a name into words of the dictionary and single unknown characters."""
+    counts = {"news": 50, "paper": 40, "newspaper": 5, "daily": 30, "new": 20, "spaper": 1}
+    segmenter = url_filter.Segmenter(counts)
+
+    def best(rest):
+        if not rest:
+            return 0.0
+        known = [segmenter.log[rest[:k]] + best(rest[k:]) for k in range(1, len(rest) + 1) if rest[:k] in counts]
+        return max([segmenter.unknown + best(rest[1:]), *known])
+
+    for name in ("dailynewspaper", "newsxdaily", "", "newspapernews", "xyz", "newnewspaperdaily"):
+        cut = segmenter.cut(name)
+        assert "".join(cut) == name
+        assert sum(segmenter.log.get(w, segmenter.unknown) for w in cut) == pytest.approx(best(name))
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None), (3, None), (3, "again and again"), (3, "again and again"), (4, "")]])

@@ -2,11 +2,11 @@
 
 Each language has a probability for every piece of a fixed public vocabulary.  The probability of a word is
 the sum, over all ways to cut it into pieces, of the product of their probabilities; the forward algorithm
-takes that sum from left to right.  The piece probabilities come from expectation-maximisation (forward and
+takes that sum from left to right, for many words at once, in logarithms, so that a word may be of any length.  The piece probabilities come from expectation-maximisation (forward and
 backward sums) over the counts of all words of all training texts: the counts stay in Spark, and only the
 expected counts by language and piece, as many as the vocabulary has pieces, come to the driver.
 
-A text's language is that with the largest prior times product of its words' probabilities.  ``score`` is its
+A text's language is that with the largest prior times product of its words' probabilities (of equals, the first by name).  ``score`` is its
 posterior.  A null text or one without a letter is ``und`` with score 0, as is any text if nothing was learnt.
 """
 
@@ -42,7 +42,7 @@ class Pieces:
                 if text and LETTERS[list(text)].all():
                     texts.add(lowered(np.frombuffer(text, np.uint8)).tobytes())
         self.texts = sorted(texts)
-        self.longest = max(map(len, self.texts))
+        self.lengths = sorted(set(map(len, self.texts)))
         buf = np.frombuffer(b"".join(self.texts), np.uint8)
         ends = np.cumsum([len(x) for x in self.texts])
         hashes = Hasher(buf)(np.r_[0, ends[:-1]], ends)
@@ -67,60 +67,74 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def lattice(vocabulary: Pieces, hasher: Hasher, starts: np.ndarray, length: int) -> dict[tuple[int, int], np.ndarray]:
-    """For words of one length: the piece between any two places, where any word has one."""
-    found = {}
-    for i in range(length):
-        for j in range(i + 1, min(i + vocabulary.longest, length) + 1):
-            ids = vocabulary.find(hasher(starts + i, starts + j))
-            if ids.any():
-                found[i, j] = ids
-    return found
-
-
-def forward(arcs: dict, table: np.ndarray, n: int, length: int) -> np.ndarray:
-    """Sums over the ways to cut the words up to each place: places x words x languages."""
-    sums = np.zeros((length + 1, n, table.shape[1]))
-    sums[0] = 1
-    for (i, j), ids in sorted(arcs.items(), key=lambda x: x[0][::-1]):
-        sums[j] += sums[i] * table[ids]
-    return sums
-
-
-def by_length(starts: np.ndarray, ends: np.ndarray, most: int = 20_000) -> Iterator[tuple[int, np.ndarray]]:
-    length = ends - starts
-    for n in np.unique(length):
-        own = np.flatnonzero(length == n)
-        for k in range(0, len(own), most):
-            yield int(n), own[k : k + most]
-
-
-def expected(words: list[bytes], weight: np.ndarray, vocabulary: Pieces, table: np.ndarray) -> np.ndarray:
-    """Expected number of times that each piece is used in these words of one language."""
-    buf = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(x) for x in words])
-    starts = np.r_[0, ends[:-1]]
-    hasher, out = Hasher(buf), np.zeros(len(vocabulary))
-    for length, own in by_length(starts, ends):
-        arcs = lattice(vocabulary, hasher, starts[own], length)
-        alpha = forward(arcs, table, len(own), length)[:, :, 0]
-        beta = np.zeros_like(alpha)
-        beta[length] = 1
-        for (i, j), ids in sorted(arcs.items(), reverse=True):
-            beta[i] += beta[j] * table[ids, 0]
-        scale = weight[own] / alpha[length]
-        for (i, j), ids in arcs.items():
-            out += np.bincount(ids, alpha[i] * beta[j] * table[ids, 0] * scale, len(vocabulary))
-    out[0] = 0
-    return out
+class Lattice:
+    """All ways to cut some words into pieces: an arc for each piece that a word holds, from one place to a later one.
+
+    Places are numbered word by word: ``first`` has each word's first place, ``last`` its last.
+    """
+
+    def __init__(self, vocabulary: Pieces, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        size = ends - starts
+        self.last = np.cumsum(size + 1) - 1
+        self.first = self.last - size
+        word = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        packed = buf[starts[word] + at]
+        left, hasher = size[word] - at, Hasher(packed)
+        found = []
+        for n in vocabulary.lengths:
+            if n > size.max():
+                break
+            begin = np.flatnonzero(left[: len(packed) - n + 1] >= n)
+            piece = vocabulary.find(hasher(begin, begin + n))
+            held = np.flatnonzero(piece)
+            if len(held):
+                found.append((begin[held], np.full(len(held), n), piece[held]))
+        begin, n, self.piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.word = word[begin]
+        self.tail = begin + self.word
+        self.head = self.tail + n
+        self.from_, self.to = at[begin], at[begin] + n
+
+    def sums(self, logs: np.ndarray, back: bool = False) -> np.ndarray:
+        """Logarithms, places x languages, of the sums over the ways to cut what lies before (or behind) each place."""
+        tail, head, level = (self.head, self.tail, -self.from_) if back else (self.tail, self.head, self.to)
+        order = np.lexsort((self.word, level))
+        tail, head, piece = tail[order], head[order], self.piece[order]
+        cuts = np.flatnonzero(np.diff(level[order])) + 1
+        out = np.zeros((int(self.last[-1]) + 1, logs.shape[1]))
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True):
+            value = out[tail[a:b]] + logs[piece[a:b]]
+            node = head[a:b]
+            run = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            top = np.maximum.reduceat(value, run)
+            value = np.exp(value - np.repeat(top, np.diff(np.append(run, b - a)), axis=0))
+            out[node[run]] = top + np.log(np.add.reduceat(value, run))
+        return out
+
+
+def blocks(size: np.ndarray, most: int = 1 << 18) -> Iterator[slice]:
+    """Consecutive words of about ``most`` bytes together."""
+    end, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(int(np.searchsorted(end, (end[lo - 1] if lo else 0) + most)), lo + 1)
+        yield slice(lo, hi)
+        lo = hi
+
+
+def expected(words: list[bytes], weight: np.ndarray, vocabulary: Pieces, logs: np.ndarray) -> np.ndarray:
+    """Expected number of times that each piece is used in these words of one language (``logs``: pieces x 1)."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size)
+    lattice = Lattice(vocabulary, np.frombuffer(b"".join(words), np.uint8), ends - size, ends)
+    alpha, beta = lattice.sums(logs)[:, 0], lattice.sums(logs, back=True)[:, 0]
+    share = np.exp(alpha[lattice.tail] + logs[lattice.piece, 0] + beta[lattice.head] - alpha[lattice.last][lattice.word])
+    return np.bincount(lattice.piece, share * weight[lattice.word], len(vocabulary))
 
 
 def normalised(counts: np.ndarray) -> np.ndarray:
-    """Columns of counts made probabilities, with a floor; row 0 stands for no piece."""
-    table = counts / np.maximum(counts.sum(axis=0), 1e-300)
-    table = np.maximum(table, FLOOR)
-    table[0] = 0
-    return table
+    """Columns of counts made logarithms of probabilities, with a floor; row 0 stands for no piece."""
+    return np.log(np.maximum(counts / np.maximum(counts.sum(axis=0), 1e-300), FLOOR))
 
 
 def learn(training: DataFrame, lang: Column, path: str, rounds: int = 2) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -139,12 +153,27 @@ def learn(training: DataFrame, lang: Column, path: str, rounds: int = 2) -> tupl
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             vocabulary, (names, table) = pieces(path), held.value
             sums = np.zeros((len(names), size))
+            number = {g: k for k, g in enumerate(names)}
+            waiting: dict[str, tuple[list, list, list]] = {g: ([], [], []) for g in names}
+
+            def count(g: str) -> None:
+                words, n, _ = waiting.pop(g)
+                waiting[g] = [], [], []
+                if words:
+                    k = number[g]
+                    sums[k] += expected(words, np.array(n), vocabulary, table[:, k : k + 1])
+
             for batch in batches:
-                groups = np.array(batch.column(0).to_pylist(), object)
-                words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
-                for g in set(groups):
-                    own, k = np.flatnonzero(groups == g), names.index(g)
-                    sums[k] += expected([words[i] for i in own], n[own], vocabulary, table[:, k : k + 1])
+                for g, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = waiting[g]
+                    own[0].append(word)
+                    own[1].append(n)
+                    own[2].append(len(word))
+                for g in names:  # a block of one language's words at once, however they are spread over batches
+                    if sum(waiting[g][2]) > 1 << 18:
+                        count(g)
+            for g in names:
+                count(g)
             k, piece = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(sums[k, piece])], ["k", "piece", "n"])
 
@@ -188,9 +217,9 @@ def identify(docs: DataFrame, names: list[str], prior: np.ndarray, table: np.nda
                     for i, k in enumerate(fresh.tolist()):
                         memo[listed[k]] = base + i
                     s, e = starts[first[fresh]], ends[first[fresh]]
-                    for length, own in by_length(s, e):
-                        sums = forward(lattice(vocabulary, hasher, s[own], length), table, len(own), length)
-                        logs[base + own] = np.log(np.maximum(sums[length], 1e-300))
+                    for own in blocks(e - s):
+                        lattice = Lattice(vocabulary, buf, s[own], e[own])
+                        logs[base + own.start : base + own.stop] = lattice.sums(table)[lattice.last]
                     row = np.fromiter(map(memo.__getitem__, listed), np.int64, len(listed))
                     for k in range(len(names)):
                         total[:, k] = np.bincount(text, logs[row, k][inverse], len(chunk.texts))

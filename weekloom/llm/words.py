@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from weekloom.llm.textops import Chunk, Hasher, chunks, ship, text_of
 
-#: A word is a run of A-Z, a-z and bytes from 0x80 on; longer runs are cut at so many bytes.
+#: A word is a run of A-Z, a-z and bytes from 0x80 on, of any length.
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-LONGEST = 24
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -32,23 +31,18 @@ def lowered(buf: np.ndarray) -> np.ndarray:
 def letter_words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The lower-cased bytes; starts, ends and text of each word."""
     starts, ends, text = chunk.runs(LETTERS)
-    pieces = -(-(ends - starts) // LONGEST)
-    if len(pieces) and pieces.max() > 1:
-        again = np.repeat(np.arange(len(pieces)), pieces)
-        part = np.arange(len(again)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts, text = starts[again] + part * LONGEST, text[again]
-        ends = np.minimum(starts + LONGEST, ends[again])
     return lowered(chunk.buf), starts, ends, text
 
 
-def word_counts(docs: DataFrame, group: Column, most: int = 300_000) -> DataFrame:
+def word_counts(docs: DataFrame, group: Column, most: int = 300_000, most_bytes: int = 16 << 20) -> DataFrame:
     """grp string, word binary, n long over all texts of each non-null group.
 
-    Each task counts before the shuffle and lets go of its counts whenever it holds ``most`` words.
+    Each task counts before the shuffle and lets go of its counts whenever it holds ``most`` words or ``most_bytes`` of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
+        size = 0
 
         def flush() -> pa.RecordBatch:
             grp = [g for g, c in held.items() for _ in range(len(c))]
@@ -73,8 +67,10 @@ def word_counts(docs: DataFrame, group: Column, most: int = 300_000) -> DataFram
                     counter = held.setdefault(g, Counter())
                     for a, b, k in zip(starts[own[first]].tolist(), ends[own[first]].tolist(), n.tolist(), strict=True):
                         counter[data[a:b]] += k
-                if sum(map(len, held.values())) > most:
+                    size += int((ends - starts)[own[first]].sum())
+                if size > most_bytes or sum(map(len, held.values())) > most:
                     yield flush()
+                    size = 0
         yield flush()
 
     ship(docs.sparkSession)
