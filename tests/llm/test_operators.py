@@ -200,7 +200,7 @@ def test_decontamination(spark, docs):
     del edited[30]
     half = item[:18] + [f"gone{k}" for k in range(22)]
     planted = [(9001, "before it. " + " ".join(item).upper() + " and after"), (9002, "x y z " + ", ".join(edited)), (9003, " ".join(half)), (9004, None), (9005, " ".join(item[:39]))]
-    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "only four words here"), (None, "no id at all for this one")], "item_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "only four words here"), (None, "no id at all for this one")] * 2, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame(spark, docs + planted), benchmark).collect()}
     assert set(got) == {(9001, 1), (9002, 1), (9005, 1)}
     assert got[9001, 1].n_edits == 0 and got[9002, 1].n_edits == 3 and got[9001, 1].start_word == 2
@@ -209,34 +209,60 @@ def test_decontamination(spark, docs):
     assert decontaminate.contaminated(frame(spark, docs), benchmark.limit(0)).count() == 0
 
 
-def test_decontamination_recall_and_blocks(spark):
-    rng = random.Random(8)
-    items = [[f"v{rng.randint(0, 900)}" for _ in range(rng.randint(12, 55))] for _ in range(60)]
-    planted = []
-    for k, item in enumerate(items):
-        words = list(item)
-        for _ in range(len(item) // 7):
-            words[rng.randrange(len(words))] = "edit"
-        planted.append((k, " ".join([f"v{rng.randint(0, 900)}" for _ in range(50)] + words + [f"v{rng.randint(0, 900)}" for _ in range(50)])))
-    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
-    for block in (1000, 25):
-        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, planted), benchmark, block=block).collect()}
-        assert sum((k, k) in got for k in range(60)) >= 57 and all(a == b for a, b in got)
+def edited(rng, words, edits, kinds, fresh):
+    """The words with so many edits of these kinds, each at a place of its own."""
+    out = list(words)
+    for at in sorted(rng.sample(range(len(words)), edits), reverse=True):
+        kind = rng.choice(kinds)
+        out[at : at + 1] = {"replace": [fresh()], "insert": [fresh(), out[at]], "delete": []}[kind]
+    return out
 
 
-def test_decontamination_finds_all_at_the_full_bound(spark):
+@pytest.mark.parametrize("kinds", [["replace"], ["insert"], ["delete"], ["replace", "insert", "delete"]])
+def test_decontamination_recall_at_the_bound(spark, kinds):
+    """Items of 6 to 300 words, as many edits as are allowed: at least 0.95 found in each class of sizes, nothing else, the edits as counted."""
     rng = random.Random(12)
-    sizes = [16, 40, 55, 100, 200, 400] * 6
-    items = [[f"v{rng.randint(0, 5000)}" for _ in range(n)] for n in sizes]
-    planted = []
-    for k, item in enumerate(items):
-        words = list(item)
-        for at in rng.sample(range(len(item)), len(item) // 5):
-            words[at] = [f"new{at}", f"new{at}", ""][rng.randrange(3)]
-        planted.append((k, " ".join([f"o{rng.randint(0, 900)}" for _ in range(50)] + words + [f"o{rng.randint(0, 900)}" for _ in range(50)])))
+    sizes = [rng.randint(lo, hi) for lo, hi in ((6, 11), (12, 20), (21, 40), (41, 80), (100, 150), (200, 300)) for _ in range(40)]
+    items = [[f"v{rng.randint(0, 20000)}" for _ in range(n)] for n in sizes]
+    other = lambda k: [f"o{rng.randint(0, 900)}" for _ in range(k)]
+    planted = [(k, " ".join(other(50) + edited(rng, item, len(item) // 5, kinds, lambda: f"n{rng.randrange(10**6)}") + other(50))) for k, item in enumerate(items)]
     benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.n_edits for r in decontaminate.contaminated(frame(spark, planted), benchmark).collect()}
-    assert got == {(k, k): n // 5 for k, n in enumerate(sizes)}
+    assert all(a == b and n <= sizes[a] // 5 for (a, b), n in got.items())
+    for lo in range(0, 240, 40):
+        assert sum((k, k) in got for k in range(lo, lo + 40)) >= 38
+
+
+def test_decontamination_in_blocks_and_short_items(spark):
+    rng = random.Random(8)
+    items = [[f"v{rng.randint(0, 900)}" for _ in range(n)] for n in [1, 2, 3, 4] + [rng.randint(5, 55) for _ in range(40)]]
+    other = lambda k: [f"o{rng.randint(0, 900)}" for _ in range(k)]
+    planted = [(k, " ".join(other(30) + item + other(30))) for k, item in enumerate(items)]
+    planted += [(1000 + k, " ".join(item[:-1] + ["x", item[-1]])) for k, item in enumerate(items[1:4])]  # short items are found word by word only
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] * 2, "item_id long, text string")
+    want = {(d, k) for d, text in planted for k, x in enumerate(items) if k < 4 and f" {' '.join(x)} " in f" {text} "} | {(k, k) for k in range(len(items))}
+    for size in (1 << 20, 2000):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, planted), benchmark, block_bytes=size).collect()} == want
+    assert {r.doc_id for r in decontaminate.decontaminate(frame(spark, planted), benchmark, block_bytes=2000).collect()} == {i for i, _ in planted} - {i for i, _ in want}
+
+
+def test_decontamination_in_very_long_texts(spark):
+    rng = random.Random(3)
+    item = [f"v{rng.randint(0, 20000)}" for _ in range(60)]
+    long = [f"o{rng.randint(0, 900)}" for _ in range(400_000)]
+    long[350_000:350_000] = edited(rng, item, 12, ["replace", "delete"], lambda: "new")
+    same = " ".join(["the"] * 50_000)
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, "the " * 30)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, [(1, " ".join(long)), (2, same)]), benchmark).collect()}
+    assert got == {(1, 1), (2, 2)}
+
+
+def test_walks_where_the_goal_is_out_of_reach(spark, monkeypatch):
+    """All items of the size are then verified."""
+    monkeypatch.setattr(decontaminate, "walks_for", lambda n, edits, recall: (0, 0))
+    rows = [(k, f"alpha{k} beta gamma delta epsilon zeta eta theta".encode()) for k in range(5)]
+    words = decontaminate.Items(rows, 0.2, {8: (0, 0)}).matches(decontaminate.Chunk(0, [b"x beta gamma delta epsilon zeta eta theta"]))
+    assert sorted(i for _, i, *_ in words) == list(range(5))
 
 
 def test_nearest_is_the_edit_distance():
@@ -457,4 +483,4 @@ def test_empty_and_null_tables(spark, rows):
     assert packing.pack(docs).select("doc_id", "start").count() == n
     assert language_id.language_id(docs, docs).count() == n
     assert toxicity.toxicity(docs, labels, fold(5) != 0).count() == n
-    assert decontaminate.decontaminate(docs, spark.createDataFrame([(1, "again and again")], "item_id long, text string"), shortest=1).count() in (n, n - 2)
+    assert decontaminate.decontaminate(docs, spark.createDataFrame([(1, "again and again")], "item_id long, text string")).count() == max(n - 2, 0)  # row by row
