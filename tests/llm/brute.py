@@ -18,7 +18,7 @@ def base_rules(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again), failed
 
 
-def line_dedup(docs):
+def line_dedup(docs, min_docs=3):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda line: line.strip(BLANKS).translate(lower)
     holders = defaultdict(set)
@@ -29,7 +29,7 @@ def line_dedup(docs):
     out = {}
     for i, text in docs:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if not (len(holders.get(key(x), ())) >= 3 and i < max(holders[key(x)]))]
+        kept = [x for x in lines if not (len(holders.get(key(x), ())) >= min_docs and i < max(holders[key(x)]))]
         out[i] = len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()
     return out
 

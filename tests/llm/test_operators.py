@@ -108,13 +108,36 @@ def test_line_dedup(spark, docs):
     assert any(x[1] for x in found.values())
 
 
-def test_line_runs_stay_few(spark, docs):
-    runs = line_dedup.LineRuns(spark, fanout=2)
-    for k in range(6):
-        runs.add(frame(spark, docs).where(F.col("doc_id") % 6 == k))
+@pytest.mark.parametrize("min_docs", [2, 3, 4])
+def test_line_runs_stay_few(spark, docs, min_docs, monkeypatch):
+    """Runs are merged by levels, and lines that wait over several batches go when their key is settled."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", 4)
+    runs = line_dedup.LineRuns(spark, fanout=2, min_docs=min_docs)
+    top = max(i for i, _ in docs) + 1
+    for k in reversed(range(6)):
+        runs.add(frame(spark, docs).where(F.col("doc_id").between(k * top // 6, (k + 1) * top // 6 - 1)))
     assert [len(level) for level in runs.levels] == [0, 1, 1]
     found = {r.doc_id: r.n_dropped for r in runs.clean(frame(spark, docs)).collect()}
-    assert found == {i: x[1] for i, x in brute.line_dedup(docs).items()}
+    assert found == {i: x[1] for i, x in brute.line_dedup(docs, min_docs).items()}
+    assert min_docs > 3 or any(found.values())
+    with pytest.raises(ValueError, match="descending"):
+        runs.add(frame(spark, docs))
+
+
+def test_very_frequent_lines_and_clashing_names(spark):
+    line = "a line that nearly every document holds, " * 2
+    texts = [(i, "\n".join([line, f"a line of its own, number {i}, long enough", line.upper()] if i % 10 else ["short", line])) for i in range(2500)]
+    texts += [(5, line + "\nother rows of a document count once"), (5, line), (None, line), (9000, None)]
+    rows = spark.createDataFrame([(i, t, "a", "b", "c", "d", 7) for i, t in texts], "doc_id long, text string, gone_keys string, cleaned_ string, `a.b` string, `row` string, n_lines int")
+    got = line_dedup.line_dedup(rows.repartition(7))
+    assert got.columns == ["doc_id", "text", "gone_keys", "cleaned_", "a.b", "row", "n_lines", "n_dropped"]
+    found = sorted((r.doc_id or -1, r.text, r["a.b"], r.n_lines, r.n_dropped) for r in got.collect())
+    want = []
+    for i, text in texts:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if i in (None, 2499) or x.strip().lower() != line.strip()]
+        want.append((i or -1, "\n".join(kept), "c", len(lines), len(lines) - len(kept)))
+    assert found == sorted(want)
 
 
 def test_near_duplicates(spark, docs):

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -147,6 +147,23 @@ def text_of(batch: pa.RecordBatch | pa.Table, name: str = "text") -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to be no column's."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(frame: DataFrame, name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return frame["`" + name.replace("`", "``") + "`"]
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from where the driver has it, and keeps Arrow batches small, as texts may be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
