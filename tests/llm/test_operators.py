@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -475,18 +476,55 @@ def test_url_filter(spark, docs):
 def test_segmenter():
     """Against all cuts of a name into words of the dictionary and single unknown characters."""
     counts = {"news": 50, "paper": 40, "newspaper": 5, "daily": 30, "new": 20, "spaper": 1}
-    segmenter = url_filter.Segmenter(counts)
+    segmenter = url_filter.Segmenter(sum(counts.values()))
 
     def best(rest):
         if not rest:
             return 0.0
-        known = [segmenter.log[rest[:k]] + best(rest[k:]) for k in range(1, len(rest) + 1) if rest[:k] in counts]
+        known = [segmenter.log(counts[rest[:k]]) + best(rest[k:]) for k in range(1, len(rest) + 1) if rest[:k] in counts]
         return max([segmenter.unknown + best(rest[1:]), *known])
 
     for name in ("dailynewspaper", "newsxdaily", "", "newspapernews", "xyz", "newnewspaperdaily"):
-        cut = segmenter.cut(name)
+        cut = segmenter.cut(name, [(i, len(w), n) for w, n in counts.items() for i in range(len(name)) if name.startswith(w, i)])
         assert "".join(cut) == name
-        assert sum(segmenter.log.get(w, segmenter.unknown) for w in cut) == pytest.approx(best(name))
+        assert sum(segmenter.log(counts[w]) if w in counts else segmenter.unknown for w in cut) == pytest.approx(best(name))
+
+
+def test_url_verdicts_against_plain_bayes(spark):
+    """Segmentation and naive Bayes over whole tables, with a host that holds a third of the rows, against plain versions."""
+    rng = random.Random(21)
+    words = ["shop", "blog", "news", "daily", "cats", "dogs", "best", "sale"]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for k in range(50)] + [(99, None)]
+    urls = [f"https://{rng.choice(words)}{rng.choice(words)}{rng.choice(['', 'x7'])}.{rng.choice(['com', 'net', 'xyz'])}/{rng.choice(['en', 'de', 'fr'])}/{rng.choice(words)}-{rng.choice(words)}/{k}" for k in range(900)]
+    urls += ["http://verylarge" + "host" * 40 + f".org/en/{k % 7}" for k in range(2000)] + [None, "none"]
+    pages = spark.createDataFrame([(k, u, 1, 2) for k, u in enumerate(urls)], "page_id long, url string, `own name` int, words int")
+    got = rows_of(url_filter.url_filter(pages.repartition(6), frame(spark, docs), URL_RULES), "page_id")
+    counts = Counter(w for _, t in docs for w in (t or "").split())
+    total = sum(counts.values())
+
+    def cut(name):
+        best = [(0.0, [])]
+        for j in range(1, len(name) + 1):
+            options = [(best[j - 1][0] + math.log(0.01 / total), [*best[j - 1][1], name[j - 1]])]
+            options += [(best[i][0] + math.log(counts[name[i:j]] / total), [*best[i][1], name[i:j]]) for i in range(j) if name[i:j] in counts]
+            best.append(max(options, key=lambda x: x[0]))
+        return best[-1][1]
+
+    pieces = lambda text: re.findall("[a-z]+|[0-9]+", text)
+    seen, labels = {}, {}
+    for k, url in enumerate(urls):
+        host, path = brute.url_parts(url)
+        seen[k] = ["h:" + w for name in pieces(host) for w in cut(name)] + ["p:" + w for w in pieces(path.lower()) if not w.isdigit()]
+        labels[k] = brute.url_rule(host, path, URL_RULES)[1]
+    n = {v: Counter(w for k, own in seen.items() if labels[k] == v for w in own) for v in ("allow", "block")}
+    known = set(n["allow"]) | set(n["block"])
+    odds = {w: math.log((n["block"][w] + 0.5) / (n["block"].total() + 0.5 * len(known))) - math.log((n["allow"][w] + 0.5) / (n["allow"].total() + 0.5 * len(known))) for w in known}
+    prior = math.log(sum(v == "block" for v in labels.values()) / sum(v == "allow" for v in labels.values()))
+    assert len(got) == len(urls) and got[0]["own name"] == 1
+    for k in seen:
+        z = prior + sum(odds.get(w, 0) for w in seen[k])
+        assert got[k].words == seen[k] and got[k].block_score == pytest.approx(1 / (1 + math.exp(-z)))
+        assert got[k].verdict == (labels[k] or ("block" if z > 0 else "allow"))
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None), (3, None), (3, "again and again"), (3, "again and again"), (4, "")]])

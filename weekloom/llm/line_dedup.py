@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weekloom.llm.textops import Scratch, column, ship, text_of, unused
+from weekloom.llm.textops import Scratch, column, frequent, ship, text_of, unused
 
 BLANKS = b" \t\n\x0b\x0c\r"
 FREQUENT = 200
@@ -113,17 +113,12 @@ class LineRuns:
             )
         return out
 
-    def frequent(self, rows: DataFrame, total: int) -> DataFrame | None:
+    def frequent_keys(self, rows: DataFrame, total: int) -> DataFrame | None:
         """key, last_b: keys with a large share of the rows and at least ``min_docs`` documents."""
-        least = max(1000, total // FREQUENT)
-        if total <= least:
-            return None
-        tag = F.xxhash64("key")
-        top = rows.select(F.expr(f"approx_top_k(xxhash64(key), {FREQUENT}, {50 * FREQUENT})").alias("top")).first()["top"] or []
-        tags = [x[0] for x in top if x[1] >= least]
+        tags = frequent(rows, F.col("key"), FREQUENT) if total > 1000 else []
         if not tags:
             return None
-        counted = rows.where(tag.isin(tags)).groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last_b"))
+        counted = rows.where(F.xxhash64("key").isin(tags)).groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last_b"))
         return self.scratch.put(counted.where(F.col("n") >= self.min_docs).select("key", "last_b"))
 
     def add(self, batch: DataFrame) -> None:
@@ -135,7 +130,7 @@ class LineRuns:
         if self.floor is not None and high >= self.floor:
             raise ValueError(f"batches come in descending doc_id: {high} is not below {self.floor}")
         self.floor = low
-        heavy = self.frequent(rows, total)
+        heavy = self.frequent_keys(rows, total)
         rest = rows if heavy is None else rows.join(F.broadcast(heavy), "key", "left_anti")  # at most FREQUENT keys
         by_key = Window.partitionBy("key")
         place = F.dense_rank().over(by_key.orderBy(F.desc("doc_id")))

@@ -164,6 +164,24 @@ def column(frame: DataFrame, name: str) -> Column:
     return frame["`" + name.replace("`", "``") + "`"]
 
 
+def frequent(rows: DataFrame, key: Column, most: int = 200) -> list[int]:
+    """Hashes (xxhash64) of the keys that a sketch finds in more than 1 / ``most`` of at least 1000 * ``most`` / 200 rows; at most ``most`` of them."""
+    found = rows.select(F.xxhash64(key).alias("tag")).agg(F.count("*").alias("n"), F.expr(f"approx_top_k(tag, {most}, {50 * most})").alias("top")).first()
+    return [x[0] for x in found["top"] or () if x[1] > max(1000, found["n"] // most)]
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins rows with a table of distinct keys.  Keys with a large share of the rows are joined by broadcast (at most 200 of the table's rows), so no task gets all their rows.
+
+    Both sides are read more than once, so they should be written tables.
+    """
+    tags = frequent(rows, F.col(key))
+    if not tags:
+        return rows.join(table.hint("merge"), key, how)
+    hot = F.xxhash64(key).isin(tags)
+    return rows.where(hot).join(F.broadcast(table.where(hot)), key, how).unionByName(rows.where(~hot | F.col(key).isNull()).join(table.where(~hot).hint("merge"), key, how))
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from where the driver has it, and keeps Arrow batches small, as texts may be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

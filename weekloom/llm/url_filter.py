@@ -1,21 +1,24 @@
 """URL filters: rules, then naive Bayes over the words of host and path.
 
-Names of hosts are often several words run together.  A unigram Viterbi search cuts each label of a host into the
-words of a dictionary (the ``most_words`` most frequent words of the corpus, with their counts over all of it),
-maximising the sum of log probabilities; an unknown character costs a fixed amount, so every name has
-a cut.  A multinomial naive Bayes classifier over the words of host and path then judges the urls that no
-rule fits.  It learns from the urls that a rule does fit, with the rule's verdict as their label.
+Names of hosts are often several words run together.  A unigram Viterbi search cuts each run of letters or digits of a host into
+the words of the corpus, maximising the sum of log probabilities; an unknown character costs a fixed amount, so every
+name has a cut.  A multinomial naive Bayes classifier over the words of host and path then judges the urls that no rule fits.
+It learns from the urls that a rule does fit, with the rule's verdict as their label: from all of them, or from
+about ``most_training`` chosen by a hash of the url where there are more.
+
+*Dictionary.*  Every word of the corpus counts, with its count over all texts: each distinct name's substrings are joined with the table
+of counts, so neither the driver nor a task holds a dictionary.  Substrings are of 2 to 63 characters, as a part
+of a host's name has at most 63.  The words of a name are joined back to hosts, and those of a host to its urls; names and
+hosts with a large share of the rows are joined by broadcast.
 
 A rule is (verdict, host, path prefix): it fits its host and all subdomains if the path begins
 with its path; the longest fitting rule wins (by host and path together, then by the rule's text).
-A null url, or one without ``://``, has an empty host and path; with nothing learnt the verdict is allow.
+A null url, or one without ``://``, has an empty host and path.  Unless both verdicts are learnt from, nothing can be told apart:
+the score is 0 and the verdict allow; so it is at a score of exactly a half.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -23,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.pretokens import Memo
-from weekloom.llm.textops import Scratch, ship
+from weekloom.llm.textops import Scratch, column, lookup, ship
 from weekloom.llm.words import word_counts
 
-LONGEST_WORD = 20
-BINS = 1 << 15
-_WORDS = re.compile("[a-z]+|[0-9]+|[^\x00-\x7f]+").findall
+#: Fixed value: a part of a host's name has at most so many characters.
+LONGEST_WORD = 63
+NAMES = "[a-z]+|[0-9]+|[^\\x00-\\x7f]+"
+ADDED = ("host", "path", "rule", "words", "block_score", "verdict")
 
 
 def parted(url: Column) -> tuple[Column, Column]:
@@ -51,20 +54,25 @@ def ruled(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 
 class Segmenter:
-    """Cuts a name into the words of a dictionary by Viterbi search."""
+    """Cuts a name into known words by Viterbi search; ``total`` is the number of words that the counts are shares of."""
+
+    def __init__(self, total: int):
+        self.total = float(np.log(max(total, 1)))
+        self.unknown = float(np.log(0.01)) - self.total
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
-        self.log = {w: float(np.log(n / total)) for w, n in counts.items()}
-        self.unknown = float(np.log(0.01 / total))
+    def log(self, n: int) -> float:
+        return float(np.log(n)) - self.total
 
-    def cut(self, name: str) -> list[str]:
+    def cut(self, name: str, known: list[tuple[int, int, int]]) -> list[str]:
+        """``known``: start, length and count of each word that occurs in the name.  Of equal cuts, the one with the shorter last word."""
+        ending: dict[int, list] = {}
+        for i, size, n in sorted(known, reverse=True):
+            ending.setdefault(i + size, []).append((i, self.log(n)))
         best, back = [0.0], [0]
         for j in range(1, len(name) + 1):
             top, at = best[j - 1] + self.unknown, j - 1
-            for i in range(max(0, j - LONGEST_WORD), j):
-                p = self.log.get(name[i:j])
-                if p is not None and best[i] + p > top:
+            for i, p in ending.get(j, ()):
+                if best[i] + p > top:
                     top, at = best[i] + p, i
             best.append(top)
             back.append(at)
@@ -75,61 +83,65 @@ class Segmenter:
         return words[::-1]
 
 
-def url_words(segmenter: Segmenter, host: str, path: str) -> list[str]:
-    """Words of the host's labels, each cut, and of the path; those of the host are marked."""
-    labels = [w for label in host.split(".") for w in _WORDS(label)]
-    return ["h:" + w for label in labels for w in segmenter.cut(label)] + ["p:" + w for w in _WORDS(path.lower()) if not w.isdigit()]
-
-
-def _bin(word: str) -> int:
-    return zlib.crc32(word.encode()) % BINS
-
-
-def dictionary(docs: DataFrame, most_words: int) -> dict[str, int]:
-    """At most so many words come to the driver; their counts are over all texts."""
-    words = word_counts(docs, F.lit("")).select(F.col("word").cast("string").alias("word"), "n").where(F.is_valid_utf8("word") & F.length("word").between(2, LONGEST_WORD))  # long words may be cut within a character
-    return {x["word"]: x["n"] for x in words.orderBy(F.desc("n"), "word").limit(most_words).collect()}
-
-
-def url_filter(urls: DataFrame, docs: DataFrame, rules: list[tuple[str, str, str]], most_words: int = 30_000) -> DataFrame:
-    """All columns of urls, host, path, rule, words array<string>, block_score double and verdict."""
+def segmented(names: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """name, cut array<string>: each distinct name (column ``name``) cut into words of docs."""
+    counts = word_counts(docs, F.lit("")).select(F.col("word").cast("string").alias("word"), "n").where(F.is_valid_utf8("word") & F.length("word").between(2, LONGEST_WORD))
+    counts = scratch.put(counts)
+    segmenter = Segmenter(counts.agg(F.sum("n")).first()[0] or 0)
+    size = F.length("name")
+    parts = names.where(size > 1).select("name", F.explode(F.sequence(F.lit(0), size - 2)).alias("i"))
+    parts = parts.select("name", "i", F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST_WORD), size - F.col("i")))).alias("size"))
+    parts = scratch.put(parts.withColumn("word", F.substr("name", F.col("i") + 1, F.col("size"))))
+    known = lookup(parts, counts, "word").groupBy("name").agg(F.collect_list(F.struct("i", "size", "n")).alias("known"))
+    every = names.join(known.hint("merge"), "name", "left")
+
+    @F.arrow_udf("array<string>")
+    def cut(names: pa.Array, known: pa.Array) -> pa.Array:
+        return pa.array([segmenter.cut(x, [(w["i"], w["size"], w["n"]) for w in own or ()]) for x, own in zip(names.to_pylist(), known.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+    return every.select("name", cut("name", "known").alias("cut"))
+
+
+def bayes(rows: DataFrame, most_training: int) -> dict[str, float]:
+    """Log odds of block to allow for each word seen in urls with a rule's verdict, and under "" for the prior; empty unless both are seen."""
+    labelled = rows.where("rule_verdict IS NOT NULL")
+    n = {x[0]: x[1] for x in labelled.groupBy("rule_verdict").count().collect()}
+    if not (n.get("allow") and n.get("block")):
+        return {}
+    share = most_training / sum(n.values())
+    if share < 1:
+        labelled = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000))
+    seen = labelled.select("rule_verdict", F.explode("words").alias("word")).groupBy("word").agg(*[F.count_if(F.col("rule_verdict") == v).alias(v) for v in ("allow", "block")]).toArrow()
+    allow, block = (seen[v].to_numpy() + 0.5 for v in ("allow", "block"))
+    ratio = np.log(block / block.sum()) - np.log(allow / allow.sum())
+    return dict(zip(seen["word"].to_pylist(), ratio.tolist(), strict=True)) | {"": float(np.log(n["block"]) - np.log(n["allow"]))}
+
+
+def url_filter(urls: DataFrame, docs: DataFrame, rules: list[tuple[str, str, str]], most_training: int = 100_000) -> DataFrame:
+    """All columns of urls (those named like an added one are replaced), host, path, rule, words array<string>, block_score double and verdict."""
     spark = ship(urls.sparkSession)
     scratch = Scratch(spark)
-    own = [c for c in urls.columns if c not in ("host", "path", "rule", "words", "block_score", "verdict")]
-    rows = ruled(urls.select(*[urls[c] for c in own]), rules)
-    held = spark.sparkContext.broadcast(dictionary(docs, most_words))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(held.value)
-        words = Memo(lambda x: url_words(segmenter, *x), 100_000)
-        for batch in batches:
-            found = [words[x] for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], [*batch.schema.names, "words"])
-
-    kind = rows.select(F.struct(*own).alias("row")).schema["row"].dataType.simpleString()
-    rows = rows.select(F.struct(*own).alias("row"), "host", "path", "rule", "rule_verdict")
-    rows = scratch.put(rows.mapInArrow(cut, f"row {kind}, host string, path string, rule string, rule_verdict string, words array<string>"))
-    bins = F.crc32(F.col("word").cast("binary")) % BINS
-    seen = rows.where("rule_verdict IS NOT NULL").select("rule_verdict", F.explode("words").alias("word")).groupBy("rule_verdict", bins.cast("int").alias("bin")).count().collect()
-    counts = {v: np.zeros(BINS) for v in ("allow", "block")}
-    for x in seen:
-        counts[x["rule_verdict"]][x["bin"]] = x["count"]
-    n = {x["rule_verdict"]: x["count"] for x in rows.where("rule_verdict IS NOT NULL").groupBy("rule_verdict").count().collect()}
-    used = int(((counts["allow"] + counts["block"]) > 0).sum()) or 1
-    logs = {v: np.log((c + 0.5) / (c.sum() + 0.5 * used)) for v, c in counts.items()}
-    ratio = logs["block"] - logs["allow"] if n.get("allow") and n.get("block") else np.zeros(BINS)
-    ratio = np.where(counts["allow"] + counts["block"] > 0, ratio, 0.0)
-    prior = float(np.log(n.get("block", 0) + 1) - np.log(n.get("allow", 0) + 1)) if n.get("allow") and n.get("block") else -1.0
-    model = spark.sparkContext.broadcast((ratio, prior))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio, prior = model.value
-        weight = Memo(lambda w: ratio[_bin(w)], 100_000)
-        for batch in batches:
-            z = [prior + sum(map(weight.__getitem__, words)) for words in batch.column(5).to_pylist()]
-            score = 1 / (1 + np.exp(-np.clip(np.array(z, float), -700, 700)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "block_score"])
-
-    done = rows.mapInArrow(judge, f"row {kind}, host string, path string, rule string, rule_verdict string, words array<string>, block_score double")
+    own = [c for c in urls.columns if c not in ADDED]
+    row = F.struct(*[column(urls, c).alias(f"c{k}") for k, c in enumerate(own)]).alias("own")
+    rows = scratch.put(ruled(urls.select(row, urls["url"].alias("url")), rules))
+    hosts = scratch.put(rows.select("host").distinct())
+    named = hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit(NAMES), F.lit(0))).alias("k", "name"))
+    cuts = scratch.put(segmented(named.select("name").distinct(), docs, scratch))
+    named = lookup(scratch.put(named), cuts, "name").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("k", "cut"))).alias("cuts"))
+    words = scratch.put(named.select("host", F.transform(F.flatten("cuts.cut"), lambda w: F.concat(F.lit("h:"), w)).alias("host_words")))
+    of_path = F.filter(F.regexp_extract_all(F.lower("path"), F.lit(NAMES), F.lit(0)), lambda w: ~w.rlike("^[0-9]"))
+    every = F.concat(F.coalesce("host_words", F.array().cast("array<string>")), F.transform(of_path, lambda w: F.concat(F.lit("p:"), w)))
+    rows = scratch.put(lookup(rows, words, "host", "left").withColumn("words", every).drop("host_words"))
+    model = spark.sparkContext.broadcast(bayes(rows, most_training))
+
+    @F.arrow_udf("double")
+    def judged(lists: pa.Array) -> pa.Array:
+        weights = model.value
+        if not weights:
+            return pa.array(np.zeros(len(lists)))
+        z = np.array([weights[""] + sum(weights.get(w, 0.0) for w in words) for words in lists.to_pylist()], float)
+        return pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+
+    done = rows.withColumn("block_score", judged("words"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
-    return done.select(*[F.col("row")[c].alias(c) for c in own], "host", "path", "rule", "words", "block_score", verdict.alias("verdict"))
+    return done.select(*[F.col(f"own.c{k}").alias(c) for k, c in enumerate(own)], "host", "path", "rule", "words", "block_score", verdict.alias("verdict"))
