@@ -149,10 +149,28 @@ def test_ladder(spark):
     ladder = sampling.nested_ladder(pool, anchor, [9, 30, 61], 1)
     assert {r.n_series: r["count"] for r in ladder.groupBy("n_series").count().collect()} == {9: 9, 30: 30, 61: 61}
     assert all(r.n_missing == 0 for r in sampling.nesting(ladder).collect())
-    for sizes, message in (([9, 61], "must be one"), ([30, 500], "exceeds")):
-        with pytest.raises(ValueError, match=message):
+    assert {r.unique_id for r in ladder.where("n_series = 30").collect()} == {r.unique_id for r in anchor.collect()}
+    for n in (9, 61):
+        assert {r["count"] for r in ladder.where(f"n_series = {n}").groupBy("stratum").count().collect()} <= {n // 3, n // 3 + 1}
+    for sizes in ([9, 61], [30, 500]):
+        with pytest.raises(ValueError, match="rungs"):
             sampling.nested_ladder(pool, anchor, sizes, 1)
-    assert sampling.largest_remainder({"a": 5, "b": 3, "c": 2}, 5, {"a": 5, "b": 3, "c": 2}) == {"a": 3, "b": 1, "c": 1}
+    with pytest.raises(ValueError, match="lacks 2 of"):
+        sampling.nested_ladder(pool.where("unique_id <> 's000'"), spark.createDataFrame([("s000", "0|0"), ("x", "0|0"), ("s001", "1|0")], pool.schema), [3], 1)
+
+
+def test_quota_by_largest_broken_part(spark):
+    pool = spark.createDataFrame([(f"s{k}", "aaaaabbbcc"[k]) for k in range(10)], "unique_id string, stratum string")
+    for n, want in ((5, {"a": 3, "b": 1, "c": 1}), (0, {"a": 0, "b": 0, "c": 0}), (99, {"a": 5, "b": 3, "c": 2})):
+        assert {r.stratum: r.quota for r in sampling.quota(pool, n).collect()} == want
+
+
+def test_ladder_fills_up_what_the_anchor_lacks(spark):
+    pool = spark.createDataFrame([(f"s{k:03d}", "ab"[k % 2]) for k in range(100)], "unique_id string, stratum string")
+    anchor = pool.where("stratum = 'a'").orderBy("unique_id").limit(20)
+    ladder = sampling.nested_ladder(pool, anchor, [10, 20, 40, 60], 1)
+    got = {(r.n_series, r.stratum): r["count"] for r in ladder.groupBy("n_series", "stratum").count().collect()}
+    assert got == {(10, "a"): 10, (20, "a"): 20, (40, "a"): 20, (40, "b"): 20, (60, "a"): 30, (60, "b"): 30}
 
 
 def test_contexts(spark):

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.config import Protocol
@@ -63,90 +61,51 @@ def strata(profile: DataFrame, protocol: Protocol) -> DataFrame:
     return rows.withColumn("decile", decile).withColumn("zero_bin", zero).withColumn("stratum", F.concat_ws("|", F.col("decile").cast("string"), F.col("zero_bin").cast("string"))).drop("r", "n")
 
 
-def largest_remainder(counts: dict[str, int], n: int, cap: dict[str, int]) -> dict[str, int]:
-    """Shares of ``counts`` in n seats: the whole part, then one each by largest remainder under the caps, then wherever most room is.
+def quota(labelled: DataFrame, n: int) -> DataFrame:
+    """stratum, n_pool, quota: n series (all, if there are fewer) shared out in proportion to the strata's sizes.
 
-    Ties go by the stratum's name.
+    A stratum gets the whole part of its share; the series still missing go one each by the largest broken part, ties by stratum.
+    No stratum gets more than it has, as a share of at most n of n_pool in all is at most the stratum's size.
     """
-    total = sum(counts.values())
-    exact = {s: c * n / total for s, c in counts.items()}
-    quota = {s: min(math.floor(x), cap[s]) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (-round(exact[s] - math.floor(exact[s]), 9), s)):
-        if sum(quota.values()) < n and quota[s] < cap[s]:
-            quota[s] += 1
-    for s in sorted(cap, key=lambda s: (-cap[s], s)):
-        quota[s] += max(0, min(cap[s] - quota[s], n - sum(quota.values())))
-    return quota
-
+    sized = labelled.groupBy("stratum").agg(F.count("*").alias("n_pool"))  # at most deciles x zero bins rows
+    every = Window.partitionBy()
+    wanted = F.least(F.lit(n), F.sum("n_pool").over(every))
+    shares = sized.withColumn("share", F.col("n_pool") * wanted / F.sum("n_pool").over(every)).withColumn("wanted", wanted).withColumn("whole", F.floor("share"))
+    by_rest = Window.partitionBy(F.lit(0)).orderBy(F.round(F.col("whole") - F.col("share"), 9), "stratum")
+    one_more = F.row_number().over(by_rest) <= F.col("wanted") - F.sum("whole").over(every)
+    return shares.select("stratum", "n_pool", (F.col("whole") + one_more.cast("long")).alias("quota"))
 
-def stratum_counts(labelled: DataFrame) -> dict[str, int]:
-    return {r["stratum"]: r["count"] for r in labelled.groupBy("stratum").count().collect()}  # at most deciles x zero bins
 
-
-def quota(labelled: DataFrame, n: int) -> DataFrame:
-    counts = stratum_counts(labelled)
-    given = largest_remainder(counts, n, counts)
-    return labelled.sparkSession.createDataFrame([(s, counts[s], given[s]) for s in sorted(counts)], "stratum string, n_pool long, quota long")
-
-
-def draw(labelled: DataFrame, quotas: dict[str, int], seed: str) -> DataFrame:
-    """The first ``quota`` series of each stratum in the order of a seeded hash: the same at any partitioning."""
-    given = F.create_map(*[x for s, k in quotas.items() for x in (F.lit(s), F.lit(k))]) if quotas else None
-    rank = F.row_number().over(Window.partitionBy("stratum").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "unique_id").cast("binary")), "unique_id"))
-    return labelled.withColumn("rank", rank).where(F.col("rank") <= F.coalesce(given[F.col("stratum")], F.lit(0))).drop("rank") if quotas else labelled.limit(0)
+def shuffled(seed: str) -> list[Column]:
+    """An order by a seeded hash: the same at any partitioning."""
+    return [F.md5(F.concat_ws("|", F.lit(seed), "unique_id").cast("binary")), F.col("unique_id")]
 
 
 def stratified_sample(labelled: DataFrame, n: int, seed: int) -> DataFrame:
-    counts = stratum_counts(labelled)
-    return draw(labelled, largest_remainder(counts, n, counts), str(seed))
-
-
-def _rebalanced(need: dict[str, int], room: dict[str, int], target: int) -> dict[str, int]:
-    need = dict(need)
-    while sum(need.values()) > target:
-        need[max(need, key=lambda s: (need[s], s))] -= 1
-    while sum(need.values()) < target:
-        s = max(room, key=lambda s: (room[s] - need[s], s))
-        if room[s] <= need[s]:
-            raise ValueError(f"cannot reach {target}: the pool is exhausted")
-        need[s] += 1
-    return need
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy(*shuffled(str(seed))))
+    shares = quota(labelled, n).select("stratum", "quota")
+    return labelled.withColumn("place", place).join(F.broadcast(shares), "stratum").where("place <= quota").select(labelled.columns)
 
 
 def nested_ladder(pool: DataFrame, anchor: DataFrame, sizes: list[int], seed: int) -> DataFrame:
-    """Samples of growing size, each holding the one before; the rung of the anchor's size is the anchor.  Adds n_series.
+    """Rungs of growing size over one order of the whole pool, so that each holds the one before.  Adds n_series.
 
-    Rungs below the anchor are thinned from the one above; rungs beyond it keep the one below and draw what is missing.
+    The anchor's series come first.  Among them, and then among all others, series come by (place - 1/2) / stratum size, where
+    the place in the stratum is by seeded hash and goes on behind the anchor's: every rung is spread over the strata in proportion,
+    and beyond the anchor the strata that it has too few of are filled up first.  A rung is the first n series; that of the anchor's size is the anchor.
     """
-    sizes = sorted(sizes)
-    n_anchor = anchor.count()
-    if n_anchor not in sizes:
-        raise ValueError(f"the anchor's size {n_anchor} must be one of the rungs {sizes}")
-    if missing := anchor.join(pool, "unique_id", "left_anti").count():
-        raise ValueError(f"{missing} anchor series are outside the pool")
-    counts = stratum_counts(pool)
-    if sizes[-1] > sum(counts.values()):
-        raise ValueError(f"largest rung {sizes[-1]} exceeds the pool ({sum(counts.values())})")
-    full = lambda c: {s: c.get(s, 0) for s in counts}
-    rungs = {n_anchor: anchor.select(pool.columns)}
-    held = {n_anchor: full(stratum_counts(anchor))}
-    for n in [s for s in sizes if s < n_anchor][::-1]:
-        above = min(s for s in rungs if s > n)
-        held[n] = largest_remainder(counts, n, held[above])
-        rungs[n] = draw(rungs[above], held[n], f"{seed},{n}")
-    for n in [s for s in sizes if s > n_anchor]:
-        below = max(s for s in rungs if s < n)
-        room = {s: counts[s] - held[below][s] for s in counts}
-        ideal = largest_remainder(counts, n, counts)
-        need = _rebalanced({s: min(max(ideal[s] - held[below][s], 0), room[s]) for s in counts}, room, n - below)
-        free = pool.join(rungs[below].select("unique_id"), "unique_id", "left_anti")
-        rungs[n] = rungs[below].unionByName(draw(free, need, f"{seed},{n}"))
-        held[n] = {s: held[below][s] + need[s] for s in counts}
-    out = None
-    for n in sizes:
-        rung = rungs[n].withColumn("n_series", F.lit(n).cast("long"))
-        out = rung if out is None else out.unionByName(rung)
-    return out
+    held, total, chosen = (frame.count() for frame in (anchor.join(pool, "unique_id", "left_semi"), pool, anchor))
+    if held < chosen:
+        raise ValueError(f"the pool lacks {chosen - held} of the {chosen} series of the anchor")
+    if chosen not in sizes or max(sizes) > total:
+        raise ValueError(f"rungs {sorted(sizes)} need one of {chosen} series, the anchor, and none above {total}, the pool")
+    marked = pool.join(anchor.select("unique_id", F.lit(0).alias("later")), "unique_id", "left").withColumn("later", F.coalesce("later", F.lit(1)))
+    in_stratum = Window.partitionBy("stratum")
+    place = F.row_number().over(in_stratum.orderBy("later", *shuffled(str(seed))))
+    ordered = marked.withColumn("turn", (place - 0.5) / F.count("*").over(in_stratum))
+    ordered = written(global_rank(ordered, ["later", "turn", "stratum"], "nth"))
+    rungs = F.array(*[F.lit(n).cast("long") for n in sorted(sizes)])
+    return ordered.select(*pool.columns, F.explode(F.filter(rungs, lambda n: n >= F.col("nth"))).alias("n_series"))
 
 
 def stratum_report(labelled: DataFrame) -> DataFrame:

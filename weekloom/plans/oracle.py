@@ -180,6 +180,12 @@ count(*) FILTER (WHERE meets_min_train AND covers_span AND coalesce(mase_den > 0
 avg(CASE WHEN zero_share >= 0.05 THEN 1.0 WHEN zero_share < 0.05 THEN 0.0 END)::DOUBLE AS share_intermittent, median(zero_share) AS median_zero_share, max(zero_share) AS max_zero_share, round(sum(total_volume), 1) AS total_volume FROM profile) UNPIVOT (value FOR property IN (COLUMNS(*)))""",
     "strata": "SELECT * FROM labelled",
     "quota": "SELECT stratum, n_pool, quota FROM quotas WHERE n_series = (SELECT count(*) // 2 FROM labelled)",
+    "nested_ladder": """WITH sizes AS (SELECT DISTINCT unnest([count(*) // 4, count(*) // 2, 3 * count(*) // 4]) AS n_series FROM labelled),
+anchor AS (SELECT unique_id FROM ladder WHERE n_series = (SELECT count(*) // 2 FROM labelled)),
+placed AS (SELECT unique_id, stratum, later, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (PARTITION BY stratum ORDER BY later, md5('42|' || unique_id), unique_id) AS place
+  FROM (SELECT *, CASE WHEN unique_id IN (SELECT unique_id FROM anchor) THEN 0 ELSE 1 END AS later FROM labelled)),
+ordered AS (SELECT *, row_number() OVER (ORDER BY later, (place - 0.5::DOUBLE) / n, stratum) AS nth FROM placed)
+SELECT n_series, unique_id, stratum FROM ordered JOIN sizes ON nth <= n_series""",
     "stratified_sample": "SELECT unique_id, stratum FROM ladder WHERE n_series = (SELECT count(*) // 2 FROM labelled)",
     "stratum_report": "SELECT decile, count(*) AS n_series, count(*) FILTER (WHERE zero_bin > 0) AS n_intermittent, min(total_volume) AS least_volume, max(total_volume) AS most_volume, count(DISTINCT stratum) AS n_strata FROM labelled GROUP BY decile",
     "ids_digest": "SELECT n_series, substr(sha256(string_agg(unique_id, chr(10) ORDER BY unique_id)), 1, 16) AS digest FROM ladder GROUP BY n_series",
