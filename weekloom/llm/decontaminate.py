@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.textops import Chunk, Hasher, chunks, mix, ship, stride, text_of
+from weekloom.llm.textops import Chunk, Hasher, chunks, mix, ship, small, stride, text_of
 from weekloom.llm.words import lowered
 
 INSIDE = np.zeros(256, bool)
@@ -293,7 +293,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2,
 
         def run(batches: Iterator[pa.RecordBatch], name=name, held=held) -> Iterator[pa.RecordBatch]:
             index = built(name, held.value)
-            for batch in batches:
+            for batch in small(batches):
                 ids = batch.column(0).to_pylist()
                 found = [(ids[c.lo + t], *rest) for c in chunks(text_of(batch)) for t, *rest in index.matches(c)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else [[]] * 5)], ["doc_id", "item_id", "n_edits", "n_item_words", "start_word"])

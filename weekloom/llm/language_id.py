@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm.pretokens import default_path
-from weekloom.llm.textops import Hasher, Scratch, chunks, ship, text_of
+from weekloom.llm.textops import Hasher, Scratch, chunks, ship, small, text_of
 from weekloom.llm.words import LETTERS, letter_words, lowered, word_counts
 
 UND = "und"
@@ -163,7 +163,7 @@ def learn(training: DataFrame, lang: Column, path: str, rounds: int = 2) -> tupl
                     k = number[g]
                     sums[k] += expected(words, np.array(n), vocabulary, table[:, k : k + 1])
 
-            for batch in batches:
+            for batch in small(batches):
                 for g, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     own = waiting[g]
                     own[0].append(word)
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, names: list[str], prior: np.ndarray, table: np.nda
         vocabulary, (names, log_prior, table) = pieces(path), held.value
         memo: dict[int, int] = {}
         logs = np.zeros((1024, len(names)))
-        for batch in batches:
+        for batch in small(batches):
             pred, score = [], []
             for chunk in chunks(text_of(batch), 2 << 20):
                 total = np.zeros((len(chunk.texts), len(names)))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weekloom.llm.textops import Scratch, column, frequent, ship, text_of, unused
+from weekloom.llm.textops import Scratch, column, frequent, ship, small, text_of, unused
 
 BLANKS = b" \t\n\x0b\x0c\r"
 FREQUENT = 200
@@ -47,7 +47,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, row (a hash of the text), key, lines: each key of a row once, with the numbers of its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list = [[], [], [], []]
             for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_of(batch).cast(pa.large_binary()), strict=True):
                 found = defaultdict(list)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.textops import Scratch, bags, chunks, mix, shingles, ship, stride, text_of
+from weekloom.llm.textops import Scratch, bags, chunks, mix, shingles, ship, small, stride, text_of
 
 WIDTH, SIMILARITY = 5, 0.8
 REGISTERS, BAND = 64, 4
@@ -90,7 +90,7 @@ def signed(docs: DataFrame, registers: int, band: int) -> DataFrame:
     """doc_id, bag (16 bytes), signature array<int> and bands array<long>; the last three are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column(0)
             for chunk in chunks(text_of(batch)):
                 n = len(chunk.texts)
@@ -235,7 +235,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, scratch: Scra
     right = salted.join(texts.withColumnRenamed("doc_id", "b").hint("merge"), "b").withColumnRenamed("text", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             value = overlap(text_of(batch, "left"), text_of(batch, "right"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], ["a", "b", "similarity"])
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from weekloom.llm.pretokens import Memo, byte_letters, default_path, simple, tokenizer, units
-from weekloom.llm.textops import ship, text_of
+from weekloom.llm.textops import ship, small, text_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tokens array<int>"
 
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, end: int =
                 column.clear()
             return out
 
-        for batch in batches:
+        for batch in small(batches):
             for document, text in zip(batch.column(0).to_pylist(), text_of(batch), strict=True):
                 ids = np.frombuffer(encode(text.as_py() or "") + last, "<i4")
                 whole = len(ids) - len(ids) % size

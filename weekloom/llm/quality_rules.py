@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.textops import Chunk, Hasher, Scratch, bags, chunks, mix, ship, text_of
+from weekloom.llm.textops import Chunk, Hasher, Scratch, bags, chunks, mix, ship, small, text_of
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_upper", "n_letters", "n_marks"]
 #: A rule refuses a document whose value, in whole hundredths of the range, reaches the cutoff.
@@ -102,7 +102,7 @@ def measure(docs: DataFrame) -> DataFrame:
     """doc_id, stratum and COUNTS; a null text counts as empty, a null language is the stratum ``""``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [counted(c) for c in chunks(text_of(batch))]
             values = np.concatenate(found) if found else np.zeros((0, len(COUNTS)), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, values.T)], ["doc_id", "stratum", *COUNTS])

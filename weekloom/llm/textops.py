@@ -182,10 +182,15 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> D
     return rows.where(hot).join(F.broadcast(table.where(hot)), key, how).unionByName(rows.where(~hot | F.col(key).isNull()).join(table.where(~hot).hint("merge"), key, how))
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, so that what is worked on at once stays small; Spark itself bounds a batch by rows and bytes."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(lo, BATCH_ROWS)
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it, and keeps Arrow batches small, as texts may be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lets Python workers import this package from where the driver has it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
@@ -197,7 +202,7 @@ def ship(spark: SparkSession) -> SparkSession:
 class Scratch:
     """Tables written to the shared folder named in ``spark.checkpoint.dir``, to cut lineage.
 
-    Where the session has no such setting (tests on one machine), a temporary folder takes its place.
+    Where a session on one machine (a local master) has no such setting, a temporary folder takes its place; a cluster must have it.
     """
 
     _own = ""
@@ -206,6 +211,8 @@ class Scratch:
         self.spark = ship(spark)
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             Scratch._own = root = Scratch._own or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
         self.count = 0

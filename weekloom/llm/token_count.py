@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weekloom.llm.pretokens import Memo, byte_letters, default_path, units
-from weekloom.llm.textops import ship, text_of
+from weekloom.llm.textops import ship, small, text_of
 
 #: A unit's last byte is another symbol than the same byte before the end.
 LAST = 256
@@ -97,7 +97,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = unit_counter(path).__getitem__
-        for batch in batches:
+        for batch in small(batches):
             found, total = [], []
             for text in text_of(batch):
                 cut = units(text.as_py() or "")

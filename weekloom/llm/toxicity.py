@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.textops import Chunk, Hasher, Scratch, chunks, mix, ship, stride, text_of
+from weekloom.llm.textops import Chunk, Hasher, Scratch, chunks, mix, ship, small, stride, text_of
 from weekloom.llm.words import letter_words
 
 BINS = 1 << 20
@@ -71,7 +71,7 @@ def bin_counts(sample: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, every = np.zeros((2, BINS), np.int32), Features(None, None)
-        for batch in batches:
+        for batch in small(batches):
             kind = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in chunks(text_of(batch)):
                 text, keys, _ = every(chunk)
@@ -89,7 +89,7 @@ def feature_lists(sample: DataFrame, wanted: Features) -> DataFrame:
     """kind, and the wanted features and their densities, of each text of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             kind = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in chunks(text_of(batch)):
                 text, keys, density = wanted(chunk)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.textops import Chunk, Hasher, chunks, ship, text_of
+from weekloom.llm.textops import Chunk, Hasher, chunks, ship, small, text_of
 
 #: A word is a run of A-Z, a-z and bytes from 0x80 on, of any length.
 LETTERS = np.zeros(256, bool)
@@ -51,7 +51,7 @@ def word_counts(docs: DataFrame, group: Column, most: int = 300_000, most_bytes:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(grp, pa.string()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["grp", "word", "n"])
 
-        for batch in batches:
+        for batch in small(batches):
             groups = batch.column(0).to_pylist()
             for chunk in chunks(text_of(batch), 4 << 20):
                 buf, starts, ends, text = letter_words(chunk)
