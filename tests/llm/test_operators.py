@@ -13,10 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from weekloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_count, toxicity, url_filter
+from weekloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality_rules, suffix_array, suffix_dedup, token_count, toxicity, url_filter
 from weekloom.llm.pretokens import default_path, tokenizer, units
 from weekloom.llm.queries import URL_RULES, fold
-from weekloom.llm.suffix_array import common_prefixes, doubled, suffix_array
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, score string, row int, key string, n_lines string"
 EMPTY_LABELS = "doc_id long, quality int, toxic int"
@@ -60,24 +59,39 @@ def rows_of(frame, key="doc_id"):
     return {r[key]: r for r in frame.collect()}
 
 
-def test_suffix_array_and_prefixes():
+@pytest.mark.parametrize("digits, short", [(256, 1024), (256, 1), (4, 1)])
+def test_suffix_array_and_prefixes(monkeypatch, digits, short):
+    """With the recursion down to the last character, and with names in digits, too."""
+    monkeypatch.setattr(suffix_array, "DIGITS", digits)
+    monkeypatch.setattr(suffix_array, "SHORT", short)
     rng = np.random.default_rng(3)
-    for _ in range(150):
-        text = rng.integers(0, rng.integers(1, 4), rng.integers(1, 50)).astype(np.uint8)
+    for turn in range(150):
+        text = rng.integers(0, rng.integers(1, 4), 2500 if turn < 3 else rng.integers(1, 50)).astype(np.uint8)
         if rng.random() < 0.3:
             text = np.tile(text, 4)
         body = text.tobytes()
         want = sorted(range(len(body)), key=lambda i: body[i:])
-        assert suffix_array(text, 256).tolist() == want
-        assert doubled(text.astype(np.int64)).tolist() == want
-        shared = common_prefixes(text, np.array(want), 10)
+        assert suffix_array.suffix_array(text, 256).tolist() == want
+        shared = suffix_array.common_prefixes(text, np.array(want))
         for a, b in zip(want, want[1:], strict=False):
             n = 0
-            while n < min(10, len(body) - max(a, b)) and body[a + n] == body[b + n]:
+            while n < len(body) - max(a, b) and body[a + n] == body[b + n]:
                 n += 1
             assert shared[b] == n
 
 
+def test_suffix_dedup_with_frequent_substrings(spark):
+    """A long passage and a ruler in most documents, some within one task, some not; the sample changes no result."""
+    rng = random.Random(31)
+    letters = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    passage = letters(400)
+    texts = [(3 * i, letters(rng.randint(0, 120)) + passage[rng.randint(0, 60) :] + "-" * rng.randint(40, 130) + letters(rng.randint(0, 90))) for i in range(150)]
+    want = brute.suffix_dedup(texts)
+    for sample in (1000, 60, 1):
+        got = suffix_dedup.suffix_dedup(frame(spark, texts), sample=sample, most=50)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("most", [20_000, 1])
 def test_suffix_dedup(spark, docs, most):
     got = suffix_dedup.suffix_dedup(frame(spark, docs), most=most)
