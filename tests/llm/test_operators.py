@@ -59,11 +59,12 @@ def rows_of(frame, key="doc_id"):
     return {r[key]: r for r in frame.collect()}
 
 
-@pytest.mark.parametrize("digits, short", [(256, 1024), (256, 1), (4, 1)])
-def test_suffix_array_and_prefixes(monkeypatch, digits, short):
-    """With the recursion down to the last character, and with names in digits, too."""
-    monkeypatch.setattr(suffix_array, "DIGITS", digits)
-    monkeypatch.setattr(suffix_array, "SHORT", short)
+@pytest.mark.parametrize("groups", [None, 16, 3, 1])
+def test_suffix_array_and_prefixes(monkeypatch, groups):
+    """With buckets alone and in groups at every level."""
+    if groups:
+        monkeypatch.setattr(suffix_array, "ALPHABET", 1)
+        monkeypatch.setattr(suffix_array, "groups_for", lambda n: groups)
     rng = np.random.default_rng(3)
     for turn in range(150):
         text = rng.integers(0, rng.integers(1, 4), 2500 if turn < 3 else rng.integers(1, 50)).astype(np.uint8)
