@@ -3,9 +3,9 @@
 A document is the bag (multiset) of its five-word shingles; two are near duplicates if the overlap of their bags,
 sum of minima over sum of maxima, is at least 0.8.
 
-*Signatures.*  The weight of a shingle is how often it occurs.  Weights are cut at the levels 1, 2, 4, 8, ...; each
+*Signatures.*  The weight of a shingle is how often it occurs.  Weights are discretised in a hierarchy of levels 1, 2, 4, 8, ...; each
 slice between two levels has a Poisson process of its own, seeded by shingle and slice, with the slice's width as
-rate.  A point has a time, a register and a place within the slice; a document takes it if the place lies below the
+rate (processes of disjoint slices are independent, so that they add up to one process over all weights).  A point has a time, a register and a place within the slice; a document takes it if the place lies below the
 weight.  A register's value is its earliest point.  Two documents agree in a register with a
 probability equal to the weighted Jaccard similarity.  Points are made in order of time and only up to a
 limit by which all registers are full with high probability, so nearly all shingles cost one comparison; a document with an
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.textops import Scratch, bags, chunks, mix, shingles, ship, small, stride, text_of
+from weekloom.llm.textops import Scratch, bags, chunks, lookup, mix, shingles, ship, small, stride, text_of
 
 WIDTH, SIMILARITY = 5, 0.8
 REGISTERS, BAND = 64, 4
@@ -143,9 +143,10 @@ def overlap(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 def placed(classes: DataFrame, all_pairs: int, scratch: Scratch) -> DataFrame:
     """doc_id, b, key, n, large: each class in each bucket with other classes, the bucket's size, and the class's keys of all its large buckets, by band (0 where not large)."""
-    keyed = classes.select("doc_id", F.posexplode("bands").alias("b", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = scratch.put(keyed.join(shared, "key"))
+    keyed = scratch.put(classes.select("doc_id", F.posexplode("bands").alias("b", "key")))
+    shared = scratch.put(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = scratch.put(lookup(keyed, shared, "key"))
+    scratch.drop(keyed, shared)
     own = members.where(F.col("n") > all_pairs).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "key"))).alias("own"))
     bands = classes.select("doc_id", F.size("bands").alias("bands"))
     large = own.join(bands, "doc_id").select("doc_id", F.transform(F.sequence(F.lit(0), F.col("bands") - 1), lambda b: F.coalesce(F.try_element_at("own", b), F.lit(0))).alias("large"))
@@ -272,8 +273,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, registers:
     n_links (verified links of its class to other classes): one row per distinct doc_id."""
     scratch = Scratch(docs.sparkSession)
     every = scratch.put(signed(docs, registers, band))
-    ranked = every.where("bag IS NOT NULL").groupBy("bag").agg(F.min("doc_id").alias("class_id"))
-    classes = scratch.put(every.join(ranked, "bag").where("doc_id = class_id").select("doc_id", "signature", "bands").dropDuplicates(["doc_id"]))
+    ranked = scratch.put(every.where("bag IS NOT NULL").groupBy("bag").agg(F.min("doc_id").alias("class_id")))
+    of = scratch.put(lookup(every.select("doc_id", "bag"), ranked, "bag", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
+    own = ranked.select(F.col("bag").alias("own_bag"), F.col("class_id").alias("own_id"))
+    classes = every.join(own.hint("merge"), (F.col("doc_id") == F.col("own_id")) & (F.col("bag") == F.col("own_bag")))  # by doc_id too, so that no task gets all copies of one text
+    classes = scratch.put(classes.select("doc_id", "signature", "bands").dropDuplicates(["doc_id"]))
     members = placed(classes, all_pairs, scratch)
     pairs = scratch.put(candidates(members, classes, all_pairs, scratch))
     links = scratch.put(verified(pairs, docs, similarity, scratch))
@@ -281,8 +285,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, registers:
     roots = components(links.select("a", "b").unionByName(blocks.select(F.col("root").alias("a"), F.col("doc_id").alias("b"))), scratch)
     each = links.select(F.explode(F.array("a", "b")).alias("class_id"), F.lit(1).cast("long").alias("n")).unionByName(blocks.select(F.col("doc_id").alias("class_id"), "n"))
     n = each.groupBy("class_id").agg(F.sum("n").alias("n_links"))
-    of = every.join(ranked, "bag", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    out = of.join(roots.join(n, roots["node"] == n["class_id"], "left").select(F.col("node").alias("class_id"), "root", "n_links"), "class_id", "left")
+    found = scratch.put(roots.join(n, roots["node"] == n["class_id"], "left").select(F.col("node").alias("class_id"), "root", "n_links"))
+    out = lookup(of, found, "class_id", "left")
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min(F.coalesce("root", "class_id")).alias("group_id"), F.max(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
 
 
