@@ -1,7 +1,8 @@
-"""Forecasters: per-series models as grouped numpy functions, global models on pooled rows, and batch plug-ins.
+"""Forecasters: per-series models over batches of series, global models on pooled rows, and batch plug-ins.
 
 Each takes the gap-filled training frame of all folds (fold, origin, unique_id, ds, y) and returns the
-forecast schema.  A series on which a model fails gives NULL forecasts, which the contract check counts.
+forecast schema.  A series travels as one row with an array of its weeks (some hundreds), so a task fits a whole
+Arrow batch of series at once.  A series on which a model fails gives NULL forecasts, which the contract check counts.
 """
 
 from __future__ import annotations
@@ -11,103 +12,181 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.config import Protocol
 from weekloom.operators.baselines import SERIES, widened, z_values
-from weekloom.operators.features import context_tail, context_padded
+from weekloom.operators.features import context_padded, context_tail
 
 SCHEMA = "model string, fold int, unique_id string, step int, yhat double, q array<double>"
-Fit = Callable[[np.ndarray, int, int], tuple[np.ndarray, np.ndarray]]
+#: (values, steps, season) to points and spreads of one series.
+Fit = Callable[..., tuple[np.ndarray, np.ndarray]]
+#: The same for a list of series; a row of NaN for each that can't be fitted.
+FitMany = Callable[..., tuple[np.ndarray, np.ndarray]]
+SHORTEST = 4
 
 
-def per_series(filled: DataFrame, name: str, fit: Fit, protocol: Protocol) -> DataFrame:
-    """``fit(values, steps, season)`` gives points and spreads for one series; a series is a few hundred rows."""
-    z, steps, season = np.array(z_values(protocol)), protocol.longest, protocol.season
+def one_by_one(fit: Fit) -> FitMany:
+    """A fit of many series from that of one; series that are too short, or on which it fails, give NaN."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows.sort_values("ds")["y"].dropna().to_numpy(float)
-        try:
-            point, spread = fit(y, steps, season)
-        except (ValueError, IndexError, ZeroDivisionError, np.linalg.LinAlgError):
-            point = spread = np.full(steps, np.nan)
-        q = point[:, None] + spread[:, None] * z
-        none = lambda x: None if np.isnan(x) else float(x)
-        return pd.DataFrame({"model": name, "fold": rows["fold"].iat[0], "unique_id": rows["unique_id"].iat[0], "step": np.arange(1, steps + 1), "yhat": [none(x) for x in point], "q": [None if np.isnan(x).any() else list(x) for x in q]})
+    def run(series: list[np.ndarray], steps: int, season: int, **parameters) -> tuple[np.ndarray, np.ndarray]:
+        points, spreads = (np.full((len(series), steps), np.nan) for _ in range(2))
+        for k, y in enumerate(series):
+            if len(y) >= SHORTEST:
+                try:
+                    points[k], spreads[k] = fit(y, steps, season, **parameters)
+                except (ValueError, IndexError, TypeError, ArithmeticError, np.linalg.LinAlgError):
+                    points[k] = spreads[k] = np.nan
+        return points, spreads
 
-    return filled.select("fold", "unique_id", "ds", "y").groupBy(*SERIES).applyInPandas(run, SCHEMA)
+    return run
 
 
-def _grow(errors: np.ndarray, steps: int) -> np.ndarray:
-    return np.sqrt(np.mean(errors**2)) * np.sqrt(np.arange(1, steps + 1)) if len(errors) else np.zeros(steps)
+def of_weeks(column: str) -> Column:
+    """The column's values in order of the weeks for which y is known; a series is some hundred rows."""
+    return F.transform(F.array_sort(F.collect_list(F.when(F.col("y").isNotNull(), F.struct("ds", column)))), lambda x: x[column])
 
 
-def _aicc(errors: np.ndarray, k: int) -> float:
-    n = len(errors)
-    return n * np.log(max(np.mean(errors**2), 1e-12)) + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1)
+def contexts(filled: DataFrame, keys: tuple[str, ...] = tuple(SERIES)) -> DataFrame:
+    return filled.groupBy(*keys).agg(of_weeks("y").alias("context"))
 
 
-def _smooth(y: np.ndarray, alpha: float, beta: float | None, gamma: float | None, m: int) -> tuple[np.ndarray, float, float, np.ndarray]:
-    """Additive exponential smoothing: errors, level, slope and seasonal state."""
-    level, slope = float(np.mean(y[: min(m, len(y))])), 0.0
-    seasonal = y[:m] - level if gamma is not None else np.zeros(m)
-    seasonal = seasonal.copy()
-    errors = np.empty(len(y))
-    for t, value in enumerate(y):
-        s = seasonal[t % m]
-        errors[t] = e = value - (level + slope + s)
-        level += slope + alpha * e
-        if beta is not None:
-            slope += alpha * beta * e
-        if gamma is not None:
-            seasonal[t % m] = s + gamma * (1 - alpha) * e
-    return errors, level, slope, seasonal
+def _rows(name: str, folds, ids, points: np.ndarray, spreads: np.ndarray, z: np.ndarray) -> pd.DataFrame:
+    n, steps = points.shape
+    yhat = points.ravel()
+    q = yhat[:, None] + spreads.ravel()[:, None] * z
+    good = np.isfinite(q).all(axis=1) & np.isfinite(yhat)
+    return pd.DataFrame({
+        "model": name, "fold": np.repeat(np.asarray(folds, np.int32), steps), "unique_id": np.repeat(np.asarray(ids, object), steps), "step": np.tile(np.arange(1, steps + 1, dtype=np.int32), n),
+        "yhat": pd.Series(np.where(good, yhat, np.nan)).astype(object).where(good, None), "q": [list(x) if ok else None for x, ok in zip(q, good, strict=True)],
+    })
 
 
-def ets(y: np.ndarray, steps: int, season: int, grid: tuple[float, ...] = (0.05, 0.2, 0.5)) -> tuple[np.ndarray, np.ndarray]:
-    """Exponential smoothing; level, trend and season are chosen by AICc on a grid."""
-    best = None
-    for alpha in grid:
-        for beta in (None, 0.05):
-            for gamma in (None, 0.1) if len(y) >= 2 * season else (None,):
-                errors, level, slope, seasonal = _smooth(y, alpha, beta, gamma, season)
-                score = _aicc(errors[min(season, len(errors) // 2) :], 2 + (beta is not None) + (season if gamma is not None else 0) // 4)
-                if best is None or score < best[0]:
-                    best = score, errors, level, slope, seasonal
-    _, errors, level, slope, seasonal = best
-    k = np.arange(1, steps + 1)
-    return level + slope * k + seasonal[(len(y) + k - 1) % season], _grow(errors[len(errors) // 4 :], steps)
+def per_series(filled: DataFrame, name: str, fit: FitMany, protocol: Protocol, **parameters) -> DataFrame:
+    z, steps, season = np.array(z_values(protocol)), protocol.longest, protocol.season
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                yield _rows(name, rows["fold"], rows["unique_id"], *fit([np.asarray(y, float) for y in rows["context"]], steps, season, **parameters), z)
 
-def theta(y: np.ndarray, steps: int, season: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classical theta: seasonally adjusted, the mean of the trend line and smoothing of twice the curvature."""
-    n = len(y)
-    adjust = np.zeros(season)
-    if n >= 2 * season:
-        residual = y - np.mean(y)
-        adjust = np.array([np.mean(residual[k::season]) for k in range(season)])
-    x = y - adjust[np.arange(n) % season]
-    slope, start = np.polyfit(np.arange(n), x, 1)
-    line = start + slope * np.arange(n)
-    double = 2 * x - line
-    errors, level, _, _ = min((_smooth(double, a, None, None, 1) for a in (0.05, 0.1, 0.2, 0.4, 0.7)), key=lambda r: np.mean(r[0] ** 2))
-    k = np.arange(1, steps + 1)
-    point = (start + slope * (n - 1 + k) + level) / 2 + adjust[(n + k - 1) % season]
-    return point, _grow(errors / 2, steps)
+    return contexts(filled).mapInPandas(run, SCHEMA)
 
 
-def seasonal_ar(y: np.ndarray, steps: int, season: int) -> tuple[np.ndarray, np.ndarray]:
+def _grow(errors: np.ndarray, steps: int) -> np.ndarray:
+    return np.sqrt(np.mean(errors**2)) * np.sqrt(np.arange(1, steps + 1)) if len(errors) else np.zeros(steps)
+
+
+def _aicc(squares: np.ndarray, n: np.ndarray, k: np.ndarray | int) -> np.ndarray:
+    return n * np.log(np.maximum(squares / np.maximum(n, 1), 1e-12)) + 2 * k + 2 * k * (k + 1) / np.maximum(n - k - 1, 1)
+
+
+class Smoothing:
+    """Additive exponential smoothing of many series at once: a loop over the weeks, arrays over the series.
+
+    Series end in the same row; ``start`` is the first row of each.
+    """
+
+    def __init__(self, series: list[np.ndarray], season: int):
+        self.season, self.n = season, np.array([len(y) for y in series])
+        self.rows = int(self.n.max())
+        self.start, self.cols = self.rows - self.n, np.arange(len(series))
+        self.y = np.zeros((self.rows, len(series)))
+        self.first = np.zeros((season, len(series)))
+        self.level = np.zeros(len(series))
+        for k, y in enumerate(series):
+            self.y[self.start[k] :, k] = y
+            self.level[k] = np.mean(y[:season])
+            if len(y) >= season:
+                self.first[:, k] = y[:season] - self.level[k]
+
+    def run(self, alpha: float, beta: float, gamma: float, seasonal: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Errors (rows x series), level, slope and seasonal state (season x series)."""
+        level, slope, state = self.level.copy(), np.zeros(len(self.cols)), self.first.copy() if seasonal else np.zeros_like(self.first)
+        errors = np.zeros_like(self.y)
+        for t in range(self.rows):
+            on, at = t >= self.start, (t - self.start) % self.season
+            e = np.where(on, self.y[t] - level - slope - state[at, self.cols], 0.0)
+            errors[t] = e
+            level += np.where(on, slope, 0.0) + alpha * e
+            slope += alpha * beta * e
+            state[at, self.cols] += gamma * (1 - alpha) * e
+        return errors, level, slope, state
+
+    def behind(self, rows: np.ndarray) -> np.ndarray:
+        """Of rows x series, those at least so many rows behind a series' first."""
+        return np.arange(self.rows)[:, None] >= self.start + rows
+
+
+def ets(series: list[np.ndarray], steps: int, season: int, alphas: tuple[float, ...] = (0.05, 0.2, 0.5), betas: tuple[float, ...] = (0.0, 0.05), gammas: tuple[float, ...] = (0.1,)) -> tuple[np.ndarray, np.ndarray]:
+    """Exponential smoothing; level, trend and season are chosen for each series by AICc on a grid."""
+    points, spreads = (np.full((len(series), steps), np.nan) for _ in range(2))
+    good = np.array([k for k, y in enumerate(series) if len(y) >= SHORTEST], int)
+    if not len(good):
+        return points, spreads
+    s = Smoothing([series[k] for k in good], season)
+    judged = s.behind(np.minimum(season, s.n // 2))
+    k = np.arange(1, steps + 1)
+    best = np.full(len(good), np.inf)
+    for alpha in alphas:
+        for beta in betas:
+            for gamma in (None, *gammas):
+                errors, level, slope, state = s.run(alpha, beta, gamma or 0.0, gamma is not None)
+                score = _aicc((errors**2 * judged).sum(axis=0), judged.sum(axis=0), 2 + (beta > 0) + (season // 4 if gamma is not None else 0))
+                score = np.where((s.n >= 2 * season) | (gamma is None), score, np.inf)
+                better = score < best
+                ahead = level[:, None] + slope[:, None] * k + state[(s.n[:, None] + k - 1) % season, s.cols[:, None]]
+                late = s.behind(s.n // 4)
+                width = np.sqrt((errors**2 * late).sum(axis=0) / late.sum(axis=0))[:, None] * np.sqrt(k)
+                points[good[better]], spreads[good[better]] = ahead[better], width[better]
+                best = np.where(better, score, best)
+    return points, spreads
+
+
+def theta(series: list[np.ndarray], steps: int, season: int, alphas: tuple[float, ...] = (0.05, 0.1, 0.2, 0.4, 0.7)) -> tuple[np.ndarray, np.ndarray]:
+    """Classical theta: seasonally adjusted, the mean of the trend line and smoothing of twice the curvature."""
+    points, spreads = (np.full((len(series), steps), np.nan) for _ in range(2))
+    good = [k for k, y in enumerate(series) if len(y) >= SHORTEST]
+    if not good:
+        return points, spreads
+    k, adjusted, lines, doubles = np.arange(1, steps + 1), [], [], []
+    for y in (series[i] for i in good):
+        n, adjust = len(y), np.zeros(season)
+        if n >= 2 * season:
+            adjust = np.array([np.mean(y[j::season]) for j in range(season)]) - np.mean(y)
+        x = y - adjust[np.arange(n) % season]
+        t = np.arange(n) - (n - 1) / 2
+        slope = float(t @ x / (t @ t))
+        line = np.mean(x) + slope * t
+        adjusted.append(adjust[(n + k - 1) % season])
+        lines.append(line[-1] + slope * k)
+        doubles.append(2 * x - line)
+    s = Smoothing(doubles, 1)
+    best = np.full(len(good), np.inf)
+    for alpha in alphas:
+        errors, level, _, _ = s.run(alpha, 0.0, 0.0, False)
+        squares = (errors**2).sum(axis=0) / s.n
+        better = np.flatnonzero(squares < best)
+        at = np.array(good)[better]
+        points[at] = (np.array(lines)[better] + level[better, None]) / 2 + np.array(adjusted)[better]
+        spreads[at] = np.sqrt(squares[better, None]) / 2 * np.sqrt(k)
+        best = np.minimum(best, squares)
+    return points, spreads
+
+
+def seasonal_ar(y: np.ndarray, steps: int, season: int, most: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Autoregression of the seasonal (or first) differences; the order is chosen by AICc."""
     lag = season if len(y) >= 2 * season + 8 else 1
     d = y[lag:] - y[:-lag]
+    most = min(most, (len(d) - 1) // 4)
     best = None
-    for p in range(0, min(6, len(d) // 4)):
-        design = np.column_stack([np.ones(len(d) - 6), *[d[6 - j : len(d) - j] for j in range(1, p + 1)]])
-        coef, *_ = np.linalg.lstsq(design, d[6:], rcond=None)
-        errors = d[6:] - design @ coef
-        score = _aicc(errors, p + 1)
+    for p in range(most + 1):
+        design = np.column_stack([np.ones(len(d) - most), *[d[most - j : len(d) - j] for j in range(1, p + 1)]])
+        coef, *_ = np.linalg.lstsq(design, d[most:], rcond=None)
+        errors = d[most:] - design @ coef
+        score = float(_aicc(errors @ errors, len(errors), p + 1))
         if best is None or score < best[0]:
             best = score, coef, errors
     _, coef, errors = best
@@ -119,122 +198,217 @@ def seasonal_ar(y: np.ndarray, steps: int, season: int) -> tuple[np.ndarray, np.
 
 
 def fourier_trend(y: np.ndarray, steps: int, season: int, knots: int = 5, terms: int = 6, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Piecewise linear trend and yearly Fourier terms by ridge regression."""
+    """Piecewise linear trend and yearly Fourier terms by ridge regression; the spread grows with the trend's uncertainty ahead."""
     n = len(y)
-    t = np.arange(n + steps) / max(n, 1)
+    t = np.arange(n + steps) / n
     bends = [np.maximum(t - k, 0) for k in np.linspace(0.1, 0.8, knots)]
     waves = [f(2 * np.pi * k * np.arange(n + steps) / season) for k in range(1, terms + 1) for f in (np.sin, np.cos)]
     design = np.column_stack([np.ones(n + steps), t, *bends, *waves])
     penalty = np.diag([0.0, 0.0] + [ridge * 5] * knots + [ridge] * (2 * terms))
-    coef = np.linalg.solve(design[:n].T @ design[:n] + penalty, design[:n].T @ y)
+    normal = design[:n].T @ design[:n] + penalty
+    coef = np.linalg.solve(normal, design[:n].T @ y)
     fitted = design @ coef
-    return fitted[n:], np.full(steps, np.std(y - fitted[:n]))
+    ahead = design[n:]
+    leverage = np.einsum("ij,ij->i", ahead, np.linalg.solve(normal, ahead.T).T)
+    return fitted[n:], np.std(y - fitted[:n]) * np.sqrt(1 + np.maximum(leverage, 0))
 
 
 LAGS = (1, 2, 3, 4, 13, 26)
 
 
-def _lag_rows(y: np.ndarray, season: int) -> tuple[np.ndarray, np.ndarray]:
-    reach = season
-    rows = [_lag_row(y[:t], season) for t in range(reach, len(y))]
-    return np.array(rows), y[reach:]
+def reach(season: int) -> int:
+    return max(season, *LAGS)
+
 
+def lag_design(y: np.ndarray, season: int, at: np.ndarray) -> np.ndarray:
+    """One, lags and rolling means before each of the places ``at``; ``y`` may be one series or rows of series (weeks last)."""
+    sums = np.concatenate([np.zeros((*y.shape[:-1], 1)), np.cumsum(y, axis=-1)], axis=-1)
+    columns = [np.ones((*y.shape[:-1], len(at))), *[y[..., at - k] for k in (*LAGS, season)], *[(sums[..., at] - sums[..., at - k]) / k for k in (4, 13, season)]]
+    return np.stack(columns, axis=-1)
 
-def _lag_row(past: np.ndarray, season: int) -> list[float]:
-    return [1.0, *[past[-k] for k in (*LAGS, season)], *[float(np.mean(past[-k:])) for k in (4, 13, season)]]
+
+def run_forward(y: np.ndarray, steps: int, season: int, predict: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """``predict(features, step)`` applied to its own output; ``y`` is one series or rows of series."""
+    path = y[..., -reach(season) :]
+    for k in range(steps):
+        fresh = predict(lag_design(path, season, np.array([path.shape[-1]]))[..., 0, :], k)
+        path = np.concatenate([path, fresh[..., None]], axis=-1)
+    return path[..., -steps:]
 
 
 def ridge_local(y: np.ndarray, steps: int, season: int, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Ridge regression on lags and rolling means, one model per series, run forward step by step."""
+    if len(y) <= reach(season):
+        raise ValueError("too short for its lags")
     scale = max(float(np.mean(np.abs(y))), 1e-9)
-    x, target = _lag_rows(y / scale, season)
+    v, at = y / scale, np.arange(reach(season), len(y))
+    x, target = lag_design(v, season, at), v[at]
     coef = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ target)
-    path = list(y / scale)
-    for _ in range(steps):
-        path.append(float(np.dot(_lag_row(np.array(path[-season:]), season), coef)))
-    return np.array(path[len(y) :]) * scale, _grow((target - x @ coef) * scale, steps)
+    return run_forward(v, steps, season, lambda f, _: f @ coef) * scale, _grow((target - x @ coef) * scale, steps)
 
 
-def ridge_global(filled: DataFrame, protocol: Protocol, ridge: float = 1.0) -> DataFrame:
-    """The same regression pooled over all series of a fold: normal equations are sums of small matrices, added up in Spark."""
-    season, steps, z = protocol.season, protocol.longest, np.array(z_values(protocol))
-    width = 1 + len(LAGS) + 1 + 3
+def _pooled(rows: DataFrame, moments: Callable[[dict], tuple[np.ndarray, np.ndarray] | None], outputs: int, ridge: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Coefficients (features x outputs) and residual root mean squares by fold of a ridge regression over all series.
 
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for fold, context in zip(rows["fold"], rows["context"], strict=True):
-                y = np.array(context, float)
-                if len(y) > season:
-                    x, target = _lag_rows(y / max(float(np.mean(np.abs(y))), 1e-9), season)
-                    out.append((fold, np.concatenate([(x.T @ x).ravel(), x.T @ target, [target @ target, len(target)]])))
-            flat = [(f, i, v) for f, values in out for i, v in enumerate(values)]
-            yield pd.DataFrame(flat, columns=["fold", "i", "v"]).astype({"fold": "int32", "i": "int32", "v": "float64"})
-
-    whole = filled.where(F.col("y").isNotNull()).groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("ds", "y"))), lambda x: x["y"]).alias("context"))  # a series is a few hundred rows
-    sums = whole.select("fold", "context").mapInPandas(moments, "fold int, i int, v double").groupBy("fold", "i").agg(F.sum("v").alias("v"))
-    coefs = {}
-    for fold, part in sums.toPandas().groupby("fold"):  # folds x width^2 numbers
+    ``moments`` gives a series' design and targets.  Normal equations are sums of small matrices, added up in Spark: only folds x features^2 numbers come to the driver.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, list] = {}
+        for part in batches:
+            for row in part.to_dict("records"):
+                made = moments(row)
+                if made is not None:
+                    x, y = made
+                    own = total.setdefault(int(row["fold"]), [0.0, 0.0, 0.0, 0])
+                    for k, value in enumerate((x.T @ x, x.T @ y, (y**2).sum(axis=0), len(y))):
+                        own[k] = own[k] + value
+        for fold, (xx, xy, yy, n) in total.items():
+            yield pd.DataFrame({"fold": [fold], "moments": [np.concatenate([np.ravel(xx), np.ravel(xy), yy, [n]])]})
+
+    found = rows.mapInPandas(run, "fold int, moments array<double>").select("fold", F.posexplode("moments").alias("i", "v")).groupBy("fold", "i").agg(F.sum("v").alias("v")).toPandas()
+    out = {}
+    for fold, part in found.groupby("fold"):
         v = part.sort_values("i")["v"].to_numpy()
-        xx, xy, (yy, n) = v[: width**2].reshape(width, width), v[width**2 : -2], v[-2:]
+        # width^2 + width * outputs + outputs + 1 numbers
+        width = int((-outputs + np.sqrt(outputs**2 + 4 * (len(v) - outputs - 1))) / 2 + 0.5)
+        xx, xy = v[: width**2].reshape(width, width), v[width**2 : width * (width + outputs)].reshape(width, outputs)
+        yy, n = v[-outputs - 1 : -1], v[-1]
         coef = np.linalg.solve(xx + ridge * np.eye(width), xy)
-        coefs[int(fold)] = coef, float(np.sqrt(max(yy - 2 * coef @ xy + coef @ xx @ coef, 0) / max(n, 1)))
+        squares = yy - 2 * (coef * xy).sum(axis=0) + np.einsum("ij,ik,kj->j", coef, xx, coef)
+        out[int(fold)] = coef, np.sqrt(np.maximum(squares, 0) / max(n, 1))
+    return out
+
+
+def _scaled(context) -> tuple[np.ndarray, float]:
+    y = np.asarray(context, float)
+    scale = max(float(np.mean(np.abs(y))), 1e-9) if len(y) else 1.0
+    return y / scale, scale
+
+
+def _known(row: dict, n: int) -> np.ndarray:
+    """Year-ago units and prices, the price planned and the season's phase for ``n`` weeks and those ahead, each price and amount over its series' mean."""
+    filled = lambda x: pd.Series(np.asarray(x, float)).ffill().bfill().fillna(0.0).to_numpy()
+    units, arp = filled(row["units"]), filled(row["arp"])
+    ahead = pd.DataFrame(list(row["ahead"])).astype(float).ffill().bfill().fillna(0.0)
+    per = lambda x, of: x / max(float(np.mean(np.abs(of))), 1e-9)
+    ago = lambda x: np.concatenate([np.zeros(min(52, n)), x[: max(n - 52, 0)]])
+    weeks = np.concatenate([np.asarray(row["week"], float), ahead["week_of_year"]])
+    columns = [
+        np.concatenate([per(ago(units), units), per(ahead["units_yago"], units)]), np.concatenate([per(ago(arp), arp), per(ahead["arp_yago"], arp)]),
+        np.concatenate([per(np.concatenate([arp[:1], arp[:-1]]), arp), per(ahead["planned_arp"], arp)]), np.sin(2 * np.pi * weeks / 52), np.cos(2 * np.pi * weeks / 52),
+    ]
+    return np.stack(columns, axis=1)
+
+
+def ridge_global(filled: DataFrame, protocol: Protocol, ridge: float = 1.0, future: DataFrame | None = None) -> DataFrame:
+    """The regression of ``ridge_local`` pooled over all series of a fold, refitted for each fold.
+
+    With ``future`` (of split.future_covariates; ``filled`` then has units and arp too) it also sees what is known of each week ahead.
+    """
+    season, steps, z = protocol.season, protocol.longest, np.array(z_values(protocol))
+    informed = future is not None
+    if not informed:
+        whole = contexts(filled)
+    else:
+        fields = ["units_yago", "arp_yago", "planned_arp", "week_of_year"]
+        ahead = future.groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", *fields))), lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias("ahead"))
+        measured = filled.withColumn("week", F.weekofyear("ds")).groupBy(*SERIES).agg(of_weeks("y").alias("context"), *[of_weeks(c).alias(c) for c in ("units", "arp", "week")])
+        whole = measured.join(ahead, list(SERIES))
+
+    def moments(row: dict):
+        v, _ = _scaled(row["context"])
+        first = max(reach(season), 52 if informed else 0)
+        if len(v) <= first:
+            return None
+        at = np.arange(first, len(v))
+        x = lag_design(v, season, at)
+        return (np.concatenate([x, _known(row, len(v))[at]], axis=1) if informed else x), v[at][:, None]
+
+    models = _pooled(whole, moments, 1, ridge)
+    name = "ridge_global"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for fold, uid, context in zip(rows["fold"], rows["unique_id"], rows["context"], strict=True):
-                y = np.array(context, float)
-                point = spread = np.full(steps, np.nan)
-                if fold in coefs and len(y) >= season:
-                    coef, sigma = coefs[fold]
-                    scale = max(float(np.mean(np.abs(y))), 1e-9)
-                    path = list(y / scale)
-                    for _ in range(steps):
-                        path.append(float(np.dot(_lag_row(np.array(path[-season:]), season), coef)))
-                    point, spread = np.array(path[len(y) :]) * scale, sigma * scale * np.sqrt(np.arange(1, steps + 1))
-                out += [("ridge_global", fold, uid, k + 1, None if np.isnan(p) else float(p), None if np.isnan(p) else list(p + s * z)) for k, (p, s) in enumerate(zip(point, spread, strict=True))]
-            yield pd.DataFrame(out, columns=["model", "fold", "unique_id", "step", "yhat", "q"]).astype({"fold": "int32", "step": "int32", "yhat": "float64"})
+        for part in batches:
+            points, spreads = (np.full((len(part), steps), np.nan) for _ in range(2))
+            for k, row in enumerate(part.to_dict("records")):
+                v, scale = _scaled(row["context"])
+                if int(row["fold"]) in models and len(v) >= reach(season):
+                    coef, sigma = models[int(row["fold"])]
+                    extra = _known(row, len(v))[len(v) :] if informed else np.zeros((steps, 0))
+                    points[k] = run_forward(v, steps, season, lambda f, h: np.concatenate([f, extra[h]]) @ coef[:, 0]) * scale  # noqa: B023
+                    spreads[k] = sigma[0] * scale * np.sqrt(np.arange(1, steps + 1))
+            if len(part):
+                yield _rows(name, part["fold"], part["unique_id"], points, spreads, z)
 
     return whole.mapInPandas(run, SCHEMA)
 
 
-def _training_rows(filled: DataFrame, protocol: Protocol) -> tuple[DataFrame, list[str]]:
-    """Scaled lag features and the target at each step ahead, of all series and folds."""
-    w = Window.partitionBy(*SERIES).orderBy("ds")
-    scale = F.greatest(F.avg(F.abs("y")).over(Window.partitionBy(*SERIES)), F.lit(1e-9))
-    rows = filled.select(*SERIES, "ds", "origin", "y", scale.alias("scale")).withColumn("v", F.col("y") / F.col("scale"))
-    names = [f"f{k}" for k in range(0, 4)] + ["f12", "f25", "season", "m4", "m13"]
-    rows = rows.withColumns({**{f"f{k}": F.lag("v", k).over(w) for k in (0, 1, 2, 3, 12, 25)}, "season": F.lag("v", protocol.season - 1).over(w), "m4": F.avg("v").over(w.rowsBetween(-3, 0)), "m13": F.avg("v").over(w.rowsBetween(-12, 0))})
-    return rows.dropna(subset=names), names
+def linear_global(filled: DataFrame, protocol: Protocol, ridge: float = 1.0) -> DataFrame:
+    """A direct linear map from the last season of values to all weeks ahead, pooled over all windows of all series of a fold.
 
+    A model with one linear head for the moving average and one for the remainder of a window is such a map too.
+    """
+    season, steps, z = protocol.season, protocol.longest, np.array(z_values(protocol))
 
-def direct_global(filled: DataFrame, protocol: Protocol, name: str, learner: Callable, steps: tuple[int, ...] | None = None) -> DataFrame:
-    """One regression per step ahead, pooled over all series and folds' common past; trained up to the first origin only."""
-    rows, names = _training_rows(filled, protocol)
-    first = rows.where("fold = 0")  # the earliest fold's rows are training data for every fold
-    w = Window.partitionBy(*SERIES).orderBy("ds")
-    last = rows.withColumn("back", F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.desc("ds")))).where("back = 1")
-    assembler = VectorAssembler(inputCols=names, outputCol="features")
-    train, now = assembler.transform(first).persist(), assembler.transform(last).persist()
-    out = None
-    for k in steps or tuple(range(1, protocol.longest + 1)):
-        model = learner().fit(train.withColumn("label", F.lead("v", k).over(w)).where("label IS NOT NULL").select("features", "label"))
-        part = model.transform(now).select(F.lit(name).alias("model"), *SERIES, F.lit(k).alias("step"), (F.col("prediction") * F.col("scale")).alias("yhat"), (F.col("scale") * 0.3).alias("spread"))
-        out = part if out is None else out.unionByName(part)
-    return out.select("model", *SERIES, "step", "yhat", widened(F.col("yhat"), F.col("spread"), protocol).alias("q"))
+    def moments(row: dict):
+        v, _ = _scaled(row["context"])
+        if len(v) < season + steps:
+            return None
+        windows = np.lib.stride_tricks.sliding_window_view(v, season + steps)
+        return np.concatenate([np.ones((len(windows), 1)), windows[:, :season]], axis=1), windows[:, season:]
 
+    whole = contexts(filled)
+    models = _pooled(whole, moments, steps, ridge)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            points, spreads = (np.full((len(part), steps), np.nan) for _ in range(2))
+            for k, row in enumerate(part.to_dict("records")):
+                v, scale = _scaled(row["context"])
+                if int(row["fold"]) in models and len(v) >= season:
+                    coef, sigma = models[int(row["fold"])]
+                    points[k], spreads[k] = np.concatenate([[1.0], v[-season:]]) @ coef * scale, sigma * scale
+            if len(part):
+                yield _rows("linear_global", part["fold"], part["unique_id"], points, spreads, z)
+
+    return whole.mapInPandas(run, SCHEMA)
 
-def linear_global(filled: DataFrame, protocol: Protocol) -> DataFrame:
-    return direct_global(filled, protocol, "linear_global", lambda: LinearRegression(regParam=1e-3, solver="normal"))
 
+def gbt_global(filled: DataFrame, protocol: Protocol, trees: int = 10, depth: int = 4, seed: int | None = None) -> DataFrame:
+    """Boosted trees on the lags of all series, one model a fold, applied to its own forecasts step by step.
 
-def gbt_global(filled: DataFrame, protocol: Protocol) -> DataFrame:
-    """Boosted trees at the first, middle and last step; steps between take the nearest of them before."""
-    steps = (1, max(1, protocol.longest // 2), protocol.longest)
-    knots = direct_global(filled, protocol, "gbt_global", lambda: GBTRegressor(maxIter=8, maxDepth=4, seed=protocol.seed), steps)
-    upto = F.when(F.col("step") == steps[0], steps[1] - 1).when(F.col("step") == steps[1], steps[2] - 1).otherwise(steps[2])
-    return knots.withColumn("step", F.explode(F.sequence("step", upto)))
+    The spread is the residual root mean square of one step, growing with the square root of the steps.
+    """
+    season, back = protocol.season, reach(protocol.season)
+    names = [f"lag{k}" for k in (*LAGS, season)] + [f"mean{k}" for k in (4, 13, season)]
+
+    def features(path: str, end: Column) -> list[Column]:
+        """Of the values of the array ``path`` before its element ``end`` (counted from 1)."""
+        at = lambda k: F.element_at(path, (end - k).cast("int"))
+        mean = lambda k: F.aggregate(F.slice(path, (end - k).cast("int"), k), F.lit(0.0), lambda s, x: s + x) / k
+        return [*[at(k).alias(f"lag{k}") for k in (*LAGS, season)], *[mean(k).alias(f"mean{k}") for k in (4, 13, season)]]
+
+    whole = contexts(filled).withColumn("scale", F.greatest(F.aggregate("context", F.lit(0.0), lambda s, x: s + F.abs(x)) / F.size("context"), F.lit(1e-9)))
+    whole = whole.where(F.size("context") > back).select(*SERIES, "scale", F.transform("context", lambda x: x / F.col("scale")).alias("path"))
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    out = None
+    for fold in sorted(r["fold"] for r in filled.select("fold").distinct().collect()):  # folds
+        own = whole.where(F.col("fold") == fold)
+        weeks = own.select("path", F.explode(F.sequence(F.lit(back + 1), F.size("path"))).alias("end"))
+        train = assembler.transform(weeks.select(*features("path", F.col("end")), F.element_at("path", F.col("end")).alias("label"))).select("features", "label")
+        model = GBTRegressor(maxIter=trees, maxDepth=depth, seed=protocol.seed if seed is None else seed).fit(train)
+        sigma = model.transform(train).agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))).first()[0]
+        state = own.select(*SERIES, "scale", F.slice("path", F.size("path") - back + 1, F.lit(back)).alias("path"))
+        for k in range(protocol.longest):
+            seen = assembler.transform(state.select("*", *features("path", F.size("path") + 1)))
+            state = model.transform(seen).select(*SERIES, "scale", F.concat("path", F.array("prediction")).alias("path"))
+        made = state.select("fold", "unique_id", "scale", F.posexplode(F.slice("path", back + 1, protocol.longest)).alias("k", "v"))
+        part = made.select(F.lit("gbt_global").alias("model"), *SERIES, (F.col("k") + 1).alias("step"), (F.col("v") * F.col("scale")).alias("yhat"), (F.lit(sigma) * F.col("scale") * F.sqrt(F.col("k") + 1)).alias("spread"))
+        out = part if out is None else out.unionByName(part)
+    every = filled.select(*SERIES).distinct().withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(protocol.longest))))
+    out = every.join(out.drop("model"), [*SERIES, "step"], "left")  # series that are too short for the lags
+    return out.select(F.lit("gbt_global").alias("model"), *SERIES, "step", "yhat", F.when(F.col("yhat").isNotNull(), widened(F.col("yhat"), F.col("spread"), protocol)).alias("q"))
 
 
 def plugin(filled: DataFrame, protocol: Protocol, name: str, forecast: Callable[[np.ndarray, np.ndarray, int], np.ndarray], context: int = 104) -> DataFrame:
@@ -253,27 +427,29 @@ def plugin(filled: DataFrame, protocol: Protocol, name: str, forecast: Callable[
     return tails.mapInPandas(run, SCHEMA)
 
 
-def tune(filled: DataFrame, actual: DataFrame, denominators: DataFrame, trials: list[tuple[int, dict]], fit: Callable[..., tuple], protocol: Protocol) -> DataFrame:
-    """Mean MASE of each trial over all series: trials x series run as one job.  A trial that fails on a series is recorded as failed."""
+def tune(filled: DataFrame, actual: DataFrame, denominators: DataFrame, trials: list[tuple[str, int, dict]], fits: dict[str, FitMany], protocol: Protocol) -> DataFrame:
+    """Mean MASE over all series of each trial (model, number, parameters): trials x series run as one job.
+
+    A trial that fails on a series is recorded as failed.
+    """
     spark = filled.sparkSession
-    points = spark.createDataFrame([(t, str(sorted(p.items()))) for t, p in trials], "trial int, params string")
-    own, steps, season = dict(trials), protocol.longest, protocol.season
-    series = filled.groupBy("unique_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ds", "y"))), lambda x: x["y"]).alias("values"))  # a series' weeks
-    work = series.join(F.broadcast(points)).repartition("unique_id", "trial")
+    points = spark.createDataFrame([(m, t, ",".join(f"{k}={v}" for k, v in sorted(p.items()))) for m, t, p in trials], "model string, trial int, params string")
+    own, steps, season, z = {(m, t): p for m, t, p in trials}, protocol.longest, protocol.season, np.zeros(1)
+    work = contexts(filled, ("unique_id",)).join(F.broadcast(points)).repartition("unique_id", "model", "trial")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for trial, uid, values in zip(rows["trial"], rows["unique_id"], rows["values"], strict=True):
-                try:
-                    point = fit(np.array([v for v in values if v is not None], float), steps, season, **own[trial])[0]
-                except (ValueError, IndexError, ZeroDivisionError, TypeError, np.linalg.LinAlgError):
-                    point = np.full(steps, np.nan)
-                out += [(trial, uid, k + 1, None if np.isnan(x) else float(x)) for k, x in enumerate(point)]
-            yield pd.DataFrame(out, columns=["trial", "unique_id", "step", "yhat"]).astype({"trial": "int32", "step": "int32", "yhat": "float64"})
+            for (model, trial), part in rows.groupby(["model", "trial"]):
+                made = fits[model]([np.asarray(y, float) for y in part["context"]], steps, season, **own[model, trial])
+                yield _rows(model, np.full(len(part), trial), part["unique_id"], *made, z).rename(columns={"fold": "trial"})[["model", "trial", "unique_id", "step", "yhat"]]
 
-    made = work.select("trial", "unique_id", "values").mapInPandas(run, "trial int, unique_id string, step int, yhat double")
+    made = work.select("model", "trial", "unique_id", "context").mapInPandas(run, "model string, trial int, unique_id string, step int, yhat double")
     scored = made.join(actual.select("unique_id", "step", "y"), ["unique_id", "step"]).join(denominators.select("unique_id", "mase_den"), "unique_id")
-    per = scored.groupBy("trial", "unique_id").agg((F.avg(F.abs(F.col("y") - F.col("yhat"))) / F.first(F.nullif("mase_den", F.lit(0.0)))).alias("mase"), F.count_if(F.col("yhat").isNull()).alias("n_failed"))
-    by = per.groupBy("trial").agg(F.avg("mase").alias("value"), F.sum("n_failed").alias("n_failed"))
-    return by.join(F.broadcast(points), "trial").select("trial", "params", F.when(F.col("n_failed") == 0, F.col("value")).alias("value"), F.when(F.col("n_failed") == 0, "ok").otherwise("failed").alias("status"))
+    per = scored.groupBy("model", "trial", "unique_id").agg((F.avg(F.abs(F.col("y") - F.col("yhat"))) / F.first(F.nullif("mase_den", F.lit(0.0)))).alias("mase"), F.count_if(F.col("yhat").isNull()).alias("n_failed"))
+    by = per.groupBy("model", "trial").agg(F.avg("mase").alias("value"), F.sum("n_failed").alias("n_failed"))
+    ok = F.col("n_failed") == 0
+    return by.join(F.broadcast(points), ["model", "trial"]).select("model", "trial", "params", F.when(ok, F.col("value")).alias("value"), F.when(ok, "ok").otherwise("failed").alias("status"))
+
+
+#: Models that fit each series by itself.
+LOCAL: dict[str, FitMany] = {"ets": ets, "theta": theta, "seasonal_ar": one_by_one(seasonal_ar), "fourier_trend": one_by_one(fourier_trend), "ridge_local": one_by_one(ridge_local)}

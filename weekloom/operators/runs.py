@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNIT = ["model", "result_key", "fold"]
@@ -83,6 +83,19 @@ def merge_trials(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("model").distinct(), "model", "left_anti").unionByName(new)
 
 
+def save_best(best: DataFrame, budget: int, path: str) -> None:
+    best.withColumn("budget", F.lit(budget)).write.mode("overwrite").json(path)
+
+
+def load_best(spark: SparkSession, path: str) -> tuple[dict[str, str], dict[str, int]]:
+    """Best parameters and trials spent by model, a row per model; nothing if nothing was recorded."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return {}, {}
+    rows = spark.read.schema("model string, params string, budget int").json(path).collect()
+    return {r["model"]: r["params"] for r in rows}, {r["model"]: r["budget"] for r in rows}
+
+
 def barren(budget: DataFrame, best: DataFrame) -> DataFrame:
     """Models that had trials to spend and found no parameters."""
     return budget.where("budget > 0").join(best, "model", "left_anti").select("model", "budget")
@@ -100,8 +113,3 @@ def param_grid(spaces: DataFrame, n: int, seed: str) -> DataFrame:
 def search_space_report(spaces: DataFrame, chosen: DataFrame) -> DataFrame:
     """Range of each parameter and the value of the best trial (columns model, parameter, value)."""
     return spaces.select("model", "parameter", "low", "high").join(chosen, ["model", "parameter"], "left")
-
-
-def newest_by_unit(rows: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*UNIT).orderBy(F.desc("built_at"))
-    return rows.withColumn("_k", F.rank().over(w)).where("_k = 1").drop("_k")

@@ -26,8 +26,9 @@ def seasonal_denominators(panel: DataFrame, upto: DataFrame | None, season: int)
 
 
 def _scored(actual: DataFrame, forecast: DataFrame, protocol: Protocol) -> DataFrame:
-    """Forecasts beside actual values, once for each horizon that holds the step."""
-    both = actual.join(forecast.drop("ds"), ["fold", "unique_id", "step"])
+    """Actual values of each model, with its forecast or NULL, once for each horizon that holds the step."""
+    wanted = actual.join(F.broadcast(forecast.select("model").distinct()))  # a handful of models
+    both = wanted.join(forecast.drop("ds"), ["model", "fold", "unique_id", "step"], "left")
     ahead = F.array(*[F.lit(h) for h in protocol.horizons])
     return both.withColumn("horizon", F.explode(ahead)).where("step <= horizon")
 
@@ -87,6 +88,36 @@ def score_quantile(actual: DataFrame, forecast: DataFrame, protocol: Protocol) -
     return _long(by, KEYS, cells + [(name, c(name), c("n"), none) for name, _, _ in pairs])
 
 
+def quantile_columns(columns: list[str], levels: tuple[float, ...], stem: str = "yhat_q") -> dict[float, str]:
+    """Level to column, ascending, of those columns named after a level in percent (``yhat_q10``) that is one of ``levels``."""
+    found = {int(c.removeprefix(stem)) / 100: c for c in columns if c.startswith(stem) and c.removeprefix(stem).isdigit()}
+    return {q: found[q] for q in sorted(found) if any(abs(q - x) < 1e-9 for x in levels)}
+
+
+def assert_contract(expected: DataFrame, forecast: DataFrame) -> None:
+    """Raises if a forecast lacks a column, a key, or any value at all, or has one too many, twice, or quantiles out of order.
+
+    The message names the first five series of each kind.
+    """
+    if lacking := {"model", "fold", "unique_id", "step", "yhat", "q"} - set(forecast.columns):
+        raise ValueError(f"the forecast has no column {', '.join(sorted(lacking))}")
+    counts = contract(expected, forecast).agg(*[F.sum(c).alias(c) for c in ("n_duplicate", "n_absent", "n_unexpected", "n_crossed", "n_null", "n_keys")]).first()
+    if counts["n_keys"] is None or counts["n_null"] == counts["n_keys"]:
+        raise ValueError("the forecast has no value")
+    want, keys = expected.select("fold", "unique_id", "step"), ["fold", "unique_id", "step"]
+    offending = {"n_duplicate": lambda: forecast.groupBy("model", *keys).count().where("count > 1"), "n_absent": lambda: want.join(forecast, keys, "left_anti"), "n_unexpected": lambda: forecast.join(want, keys, "left_anti"), "n_crossed": lambda: forecast.where(crossed("q"))}
+    for name, rows in offending.items():
+        if counts[name]:
+            first = [r[0] for r in rows().select("unique_id").distinct().orderBy("unique_id").limit(5).collect()]
+            raise ValueError(f"{counts[name]} rows are {name.removeprefix('n_')}, of series {', '.join(map(str, first))}" + (" and others" if len(first) == 5 else ""))
+
+
+def crossed(q: str) -> Column:
+    """Whether a quantile lies below the one before it by more than 1e-9; only where all are finite."""
+    finite = F.forall(q, lambda x: x.isNotNull() & ~F.isnan(x))
+    return finite & F.exists(F.sequence(F.lit(1), F.size(q) - 1), lambda i: F.col(q)[i] < F.col(q)[i - 1] - 1e-9)
+
+
 def contract(expected: DataFrame, forecast: DataFrame) -> DataFrame:
     """Counts of every way in which a forecast breaks its contract, by model and fold.
 
@@ -96,7 +127,7 @@ def contract(expected: DataFrame, forecast: DataFrame) -> DataFrame:
     want = expected.select("fold", "unique_id", "step").join(F.broadcast(models))  # a handful of models
     got = forecast.groupBy("model", "fold", "unique_id", "step").agg(
         F.count("*").alias("n"), F.max("yhat").alias("yhat"),
-        F.max(F.exists(F.sequence(F.lit(1), F.size("q") - 1), lambda i: F.col("q")[i] < F.col("q")[i - 1] - 1e-9).cast("int")).alias("crossed"),
+        F.max(crossed("q").cast("int")).alias("crossed"),
     )
     both = want.withColumn("wanted", F.lit(1)).join(got, ["model", "fold", "unique_id", "step"], "full")
     return both.groupBy("model", "fold").agg(

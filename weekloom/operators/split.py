@@ -92,6 +92,15 @@ def behind_origin(train: DataFrame) -> DataFrame:
     return last.where("last_ds IS NULL OR last_ds < origin")
 
 
+#: What each column beside the target is to a model.
+STATIC, KNOWN, MEASURED = ("internal_id", "geography"), ("y_yago", "units_yago", "arp_yago", "planned_arp", "week_of_year"), {"Units": "units", "ARP": "arp"}
+
+
+def covariate_roles(target: str) -> dict[str, tuple[str, ...]]:
+    """Columns by role: constant for a series, known of the weeks ahead, and measured in the week itself (never the target)."""
+    return {"static": STATIC, "known": KNOWN, "measured": tuple(c for name, c in MEASURED.items() if name != target)}
+
+
 def future_covariates(panel: DataFrame, folds: DataFrame, protocol: Protocol) -> DataFrame:
     """What a forecast may know about the weeks ahead: year-ago values, the last price, the calendar, statics."""
     train = training(panel, folds)

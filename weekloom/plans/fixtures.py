@@ -5,6 +5,7 @@ Shared results are written once per session and directory, which keeps the plans
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -12,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weekloom.config import PROTOCOL
-from weekloom.operators import baselines, panel, sampling, score, split
+from weekloom.operators import backtest, baselines, forecasters, panel, sampling, score, split
 from weekloom.sources.raw import raw_export
-from weekloom.sources.scratch import written
+from weekloom.sources.scratch import root_of, written
 
 _held: dict[tuple, DataFrame] = {}
 
@@ -75,6 +76,18 @@ def filled(spark, d):
     return split.impute(train, ("fold", "unique_id"))
 
 
+@shared
+def filled_known(spark, d):
+    """The training frame with the covariates measured in its weeks."""
+    train = split.training(eligible_panel(spark, d), folds(spark, d)).select("fold", "origin", "unique_id", "ds", "y", "units", "arp")
+    return split.impute(train, ("fold", "unique_id"))
+
+
+@shared
+def future(spark, d):
+    return split.future_covariates(eligible_panel(spark, d), folds(spark, d), PROTOCOL)
+
+
 @shared
 def actual(spark, d):
     return split.test_window(eligible_panel(spark, d), folds(spark, d), PROTOCOL)
@@ -120,6 +133,33 @@ def timings(spark, d):
     return timings_of(metrics(spark, d))
 
 
+def models(spark, d) -> list[backtest.Model]:
+    """Every model of the package, and one with covariates."""
+    ahead = future(spark, d)
+    by_rule = {"naive": baselines.naive, "seasonal_naive": baselines.seasonal_naive, "mean_13": baselines.window_mean}
+    pooled = {"ridge_global": forecasters.ridge_global, "linear_global": forecasters.linear_global}
+    return [
+        *[backtest.Model(name, lambda rows, _, fit=fit: fit(rows, PROTOCOL), "baseline") for name, fit in by_rule.items()],
+        *[backtest.Model(name, lambda rows, _, name=name, fit=fit: forecasters.per_series(rows, name, fit, PROTOCOL)) for name, fit in forecasters.LOCAL.items()],
+        *[backtest.Model(name, lambda rows, _, fit=fit: fit(rows, PROTOCOL), "global", covariates=False if name == "ridge_global" else None) for name, fit in pooled.items()],
+        backtest.Model("ridge_global", lambda rows, _: forecasters.ridge_global(rows, PROTOCOL, future=ahead), "global", covariates=True),
+        backtest.Model("gbt_global", lambda rows, seed: forecasters.gbt_global(rows, PROTOCOL, seed=seed), "global"),
+    ]
+
+
+_stores: dict[tuple, str] = {}
+
+
+def store(spark, d) -> str:
+    """The results store of the whole backtest, run once per session and directory."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _stores:
+        root = f"{root_of(spark)}/{uuid.uuid4().hex}"
+        backtest.run(filled_known(spark, d), actual(spark, d), denominators(spark, d), models(spark, d), PROTOCOL, root)
+        _stores[key] = root
+    return _stores[key]
+
+
 @shared
 def labelled(spark, d):
     return sampling.strata(eligible(spark, d), PROTOCOL)

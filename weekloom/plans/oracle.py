@@ -54,7 +54,7 @@ FROM by_series b CROSS JOIN steps LEFT JOIN marked m ON m.fold = b.fold AND m.un
 SELECT fold, unique_id, step, origin + 7 * step AS ds FROM (SELECT unique_id, min(ds) AS lo FROM panel GROUP BY unique_id) JOIN origins ON lo <= origin CROSS JOIN steps) g
 LEFT JOIN panel p ON p.unique_id = g.unique_id AND p.ds = g.ds""",
     "actual": "SELECT * FROM tests WHERE unique_id IN (SELECT unique_id FROM eligible)",
-    "scored": "SELECT f.model, a.fold, h.horizon, a.unique_id, a.step, a.y, f.yhat, f.q, a.y IS NOT NULL AND f.yhat IS NOT NULL AS ok FROM actual a JOIN forecasts f USING (fold, unique_id, step) JOIN (VALUES (4), (13)) h(horizon) ON a.step <= h.horizon",
+    "scored": "SELECT a.model, a.fold, h.horizon, a.unique_id, a.step, a.y, f.yhat, f.q, a.y IS NOT NULL AND f.yhat IS NOT NULL AS ok FROM (SELECT * FROM actual, (SELECT DISTINCT model FROM forecasts)) a LEFT JOIN forecasts f USING (model, fold, unique_id, step) JOIN (VALUES (4), (13)) h(horizon) ON a.step <= h.horizon",
     "point": """SELECT model, fold, horizon, unique_id, count(*) FILTER (WHERE ok) AS n, count(*) FILTER (WHERE NOT ok) AS u,
 avg(abs(y - yhat)) FILTER (WHERE ok) AS mae, sqrt(avg((y - yhat) * (y - yhat)) FILTER (WHERE ok)) AS rmse,
 avg(200 * abs(y - yhat) / (abs(y) + abs(yhat))) FILTER (WHERE ok AND abs(y) + abs(yhat) > 0) AS smape, count(*) FILTER (WHERE ok AND abs(y) + abs(yhat) > 0) AS n_s, count(*) FILTER (WHERE ok AND abs(y) + abs(yhat) = 0) AS u_s,
@@ -180,6 +180,8 @@ count(*) FILTER (WHERE meets_min_train AND covers_span AND coalesce(mase_den > 0
 avg(CASE WHEN zero_share >= 0.05 THEN 1.0 WHEN zero_share < 0.05 THEN 0.0 END)::DOUBLE AS share_intermittent, median(zero_share) AS median_zero_share, max(zero_share) AS max_zero_share, round(sum(total_volume), 1) AS total_volume FROM profile) UNPIVOT (value FOR property IN (COLUMNS(*)))""",
     "strata": "SELECT * FROM labelled",
     "quota": "SELECT stratum, n_pool, quota FROM quotas WHERE n_series = (SELECT count(*) // 2 FROM labelled)",
+    "score_absent": """SELECT model, fold, horizon, count(*) AS n_weeks, count(*) FILTER (WHERE ok AND NOT lost) AS n_scored, count(*) FILTER (WHERE NOT ok OR lost) AS n_undefined
+FROM (SELECT *, model = 'naive' AND step = 13 AND fold = 2 AS lost FROM scored) GROUP BY model, fold, horizon""",
     "nested_ladder": """WITH sizes AS (SELECT DISTINCT unnest([count(*) // 4, count(*) // 2, 3 * count(*) // 4]) AS n_series FROM labelled),
 anchor AS (SELECT unique_id FROM ladder WHERE n_series = (SELECT count(*) // 2 FROM labelled)),
 placed AS (SELECT unique_id, stratum, later, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (PARTITION BY stratum ORDER BY later, md5('42|' || unique_id), unique_id) AS place

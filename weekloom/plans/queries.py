@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.config import PROTOCOL as P
-from weekloom.operators import baselines, features, forecasters, panel, runs, sampling, scaling, score, split, stats, tables
+from weekloom.operators import backtest, baselines, features, forecasters, panel, runs, sampling, scaling, score, split, stats, tables
 from weekloom.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,7 +296,7 @@ def _model(name: str, fit) -> None:
     query(run)
 
 
-for _name, _fit in (("ets", forecasters.ets), ("theta", forecasters.theta), ("seasonal_ar", forecasters.seasonal_ar), ("fourier_trend", forecasters.fourier_trend), ("ridge_local", forecasters.ridge_local)):
+for _name, _fit in forecasters.LOCAL.items():
     _model(_name, _fit)
 
 
@@ -305,6 +305,11 @@ def forecast_ridge_global(spark, d):
     return forecasters.ridge_global(fx.filled(spark, d), P).drop("q")
 
 
+@query
+def forecast_ridge_covariates(spark, d):
+    return forecasters.ridge_global(fx.filled_known(spark, d), P, future=fx.future(spark, d)).drop("q")
+
+
 @query
 def forecast_linear_global(spark, d):
     return forecasters.linear_global(fx.filled(spark, d), P).drop("q")
@@ -326,6 +331,64 @@ def forecast_plugin(spark, d):
     return forecasters.plugin(fx.filled(spark, d), P, "context_quantiles", context_quantiles).drop("q")
 
 
+@query
+def score_absent(spark, d):
+    """A forecast that is not there counts as undefined."""
+    made = fx.forecasts(spark, d).where("NOT (model = 'naive' AND step = 13 AND fold = 2)")
+    rows = score.score_point(fx.actual(spark, d), made, fx.denominators(spark, d), P).where("metric = 'MAE'")
+    return rows.groupBy("model", "fold", "horizon").agg((F.sum("n_points") + F.sum("n_undefined")).alias("n_weeks"), F.sum("n_points").alias("n_scored"), F.sum("n_undefined").alias("n_undefined"))
+
+
+# -- the whole backtest
+
+
+def _stored(spark, d):
+    return backtest.collect(spark, fx.store(spark, d))
+
+
+@query
+def backtest_models(spark, d):
+    """Every model on every fold, from the results store."""
+    rows = tables.label_ablation_arms(_stored(spark, d)[0])
+    wanted = rows.where(F.col("metric").isin("MASE", "CRPS", "coverage_80"))
+    return wanted.groupBy("model", "metric", "horizon").agg(F.median("value").alias("median"), F.avg("value").alias("mean"), F.count("value").alias("n_scores"), F.count_distinct("unique_id").alias("n_series"))
+
+
+@query
+def backtest_cost(spark, d):
+    """Measured seconds of the fits and predictions of all models."""
+    return tables.cost_per_1k(tables.label_ablation_arms(_stored(spark, d)[1]))
+
+
+@query
+def backtest_resume(spark, d):
+    """A second run over the store finds every unit complete and runs none."""
+    root, models = fx.store(spark, d), fx.models(spark, d)
+    again = backtest.run(fx.filled_known(spark, d), fx.actual(spark, d), fx.denominators(spark, d), models, P, root)
+    timings = tables.label_ablation_arms(_stored(spark, d)[1])
+    return runs.progress(timings.select("model", "result_key", "fold").distinct(), timings).join(F.broadcast(again.agg(F.count("*").alias("n_run_again"))))  # one row
+
+
+@query
+def covariate_ablation(spark, d):
+    """The same model with and without what is known of the weeks ahead."""
+    rows = tables.label_ablation_arms(_stored(spark, d)[0]).where(F.col("model").isin("ridge_global", "ridge_global+cov"))
+    return tables.accuracy_table(rows, "MASE")
+
+
+@query
+def ladder_directories(spark, d):
+    """One run per rung, each in a directory of its own, read back together."""
+    roots, plain = [], [m for m in fx.models(spark, d) if m.name == P.baseline]
+    for n in sorted(r["n_series"] for r in fx.ladder(spark, d).select("n_series").distinct().collect()):  # rungs
+        ids = fx.ladder(spark, d).where(F.col("n_series") == n).select("unique_id")
+        roots.append(f"{fx.store(spark, d)}/rung={n}")
+        own = lambda rows: rows.join(ids, "unique_id", "left_semi")  # noqa: B023, E731
+        backtest.run(own(fx.filled(spark, d)), own(fx.actual(spark, d)), fx.denominators(spark, d), plain, P, roots[-1])
+    metrics, _ = backtest.load_ladder(spark, roots)
+    return scaling.medians_by_rung(metrics)
+
+
 # -- accuracy, cost and ranking tables
 
 
@@ -600,12 +663,24 @@ def search_space_report(spark, d):
     return runs.search_space_report(_spaces(spark, d), best)
 
 
-def tune_ets(spark, d):
+#: Parameter, kind, least and greatest value of each tuned model's search space.
+SPACES = {"ets": [("alphas", "log", 0.02, 0.8)], "fourier_trend": [("ridge", "log", 0.05, 50.0)], "ridge_local": [("ridge", "log", 0.05, 50.0)]}
+TRIALS = 6
+
+
+def tuning_points(spark) -> list[tuple[str, int, dict]]:
+    rows = [(m, name, kind, low, high, [low, high]) for m, space in SPACES.items() for name, kind, low, high in space]
+    grid = runs.param_grid(spark.createDataFrame(rows, "model string, parameter string, kind string, low double, high double, choices array<double>"), TRIALS, str(P.seed))
+    found: dict[tuple[str, int], dict] = {}
+    for r in grid.collect():  # models x trials x parameters
+        found.setdefault((r["model"], r["trial"]), {})[r["parameter"]] = (r["value"],) if r["parameter"] == "alphas" else r["value"]
+    return [(m, t, p) for (m, t), p in sorted(found.items())]
+
+
+@query
+def tune_models(spark, d):
+    """The same number of trials for each model, on weeks before the first fold."""
     start = split.tuning_origin(fx.folds(spark, d), P).select(F.lit(0).alias("fold"), F.col("tuning_origin").alias("origin"))
     rows = fx.eligible_panel(spark, d)
     train = split.impute(split.training(rows, start).select("fold", "origin", "unique_id", "ds", "y"), ("fold", "unique_id"))
-    grid = [(k, {"grid": g}) for k, g in enumerate([(0.05,), (0.2,), (0.5,)])]
-    return forecasters.tune(train, split.test_window(rows, start, P), fx.denominators(spark, d), grid, forecasters.ets, P)
-
-
-query(tune_ets)
+    return forecasters.tune(train, split.test_window(rows, start, P), fx.denominators(spark, d), tuning_points(spark), forecasters.LOCAL, P)
