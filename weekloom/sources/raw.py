@@ -41,16 +41,18 @@ def scan_csv(spark: SparkSession, path: str, protocol: Protocol) -> DataFrame:
     return rows
 
 
-#: Plain SQL that Spark and other engines run alike: weekly sales by brand and region, with a coarser
-#: geography level, a second channel, weeks without a row and weeks whose amount is unknown.
+#: Plain SQL that Spark and other engines run alike: weekly sales by product and region, where a brand is as many products as there
+#: are hundreds of suppliers, so that the number of series grows with the tables; with a coarser geography level, a second channel, weeks without a row and weeks whose amount is unknown.
 EXPORT_SQL = """
-WITH base AS (
-  SELECT p_brand AS brand, r_name AS market, l_returnflag AS rf,
+WITH size AS (
+  SELECT greatest(1, CAST(floor(count(*) / 100.0) AS INT)) AS k FROM {supplier}
+), base AS (
+  SELECT p_brand || CASE WHEN k > 1 THEN '/' || CAST(s_suppkey % k AS STRING) ELSE '' END AS brand, r_name AS market, l_returnflag AS rf,
          CAST(date_trunc('week', l_shipdate) AS DATE) + 6 AS wk,
          CAST(l_extendedprice AS DECIMAL(14,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS rev,
          CAST(l_quantity AS DECIMAL(12,2)) AS qty
   FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey
-  JOIN {nation} ON n_nationkey = s_nationkey JOIN {region} ON r_regionkey = n_regionkey
+  JOIN {nation} ON n_nationkey = s_nationkey JOIN {region} ON r_regionkey = n_regionkey CROSS JOIN size
 ), lv AS (
   SELECT brand, wk, market, 'CONVENTIONAL|MULTI OUTLET' AS channel, CAST(sum(rev) AS DOUBLE) AS d, CAST(sum(qty) AS DOUBLE) AS u
   FROM base WHERE wk <= DATE '2001-07-29' GROUP BY GROUPING SETS ((brand, wk, market), (brand, wk))
@@ -60,7 +62,7 @@ WITH base AS (
 )
 SELECT brand AS internal_id, coalesce(market, 'TOTAL') AS Geography, wk AS Time_Period_End_Date,
        CASE WHEN market IS NULL THEN 'CENSUS REGION' ELSE 'MARKET' END AS Geography_Level, channel AS Channel_Outlet,
-       CASE WHEN (CAST(substr(brand, 7) AS INT) * 31 + weekofyear(wk) + year(wk) * 53) % 97 = 0 THEN NULL ELSE d END AS Dollars,
+       CASE WHEN (CAST(split_part(substr(brand, 7), '/', 1) AS INT) * 31 + weekofyear(wk) + year(wk) * 53) % 97 = 0 THEN NULL ELSE d END AS Dollars,
        u AS Units, d / u AS ARP
 FROM lv
 """
