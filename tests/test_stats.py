@@ -62,7 +62,7 @@ def test_wilcoxon(spark):
 
 def test_bootstrap_is_reproducible(spark):
     rows = spark.createDataFrame([("m", f"s{k}", float(k)) for k in range(30)], "model string, unique_id string, value double")
-    one, two = (stats.bootstrap_mean(rows.repartition(p), "model", ["unique_id"], 200, "7").first() for p in (1, 5))
+    one, two = (stats.bootstrap_mean(rows.repartition(p), ["model"], ["unique_id"], 200, "7").first() for p in (1, 5))
     assert one == two and one.low < one["mean"] < one.high
     band = stats.bootstrap_median_band(rows.where("unique_id = 's3'"), ["model"], 20, "7").first()
     assert band.low == band.high == 3.0

@@ -10,6 +10,7 @@ from statistics import NormalDist
 
 from weekloom.config import PROTOCOL as P
 from weekloom.functions.distributions import range_quantile
+from weekloom.operators.stats import POISSON
 from weekloom.plans.queries import places
 from weekloom.sources.raw import EXPORT_SQL, SALES_TABLES
 
@@ -115,7 +116,17 @@ SELECT model_a, model_b, d, count(*) OVER (PARTITION BY model_a, model_b, abs(d)
     "wilcoxon": """SELECT p.model_a, p.model_b, n, coalesce(m, 0) AS n_nonzero, median_diff, share_first_better, least(coalesce(plus, 0), coalesce(minus, 0)) AS statistic,
 (least(coalesce(plus, 0), coalesce(minus, 0)) - m * (m + 1) / 4) / nullif(sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24), 0) AS z
 FROM (SELECT model_a, model_b, count(*) AS n, median(round(a - b, 12)) AS median_diff, avg(CASE WHEN round(a - b, 12) < 0 THEN 1.0 ELSE 0.0 END) AS share_first_better FROM pairs GROUP BY model_a, model_b) p LEFT JOIN rank_sums USING (model_a, model_b)""",
-    "small": "SELECT p AS p_value, model_a, model_b FROM (SELECT model_a, model_b, round(share_first_better / 20, 9) AS p FROM wilcoxon)",
+    "dm_tests": """SELECT model_a, model_b, mean_diff, CAST(n AS BIGINT) AS n, n_clusters, CASE WHEN n < 3 THEN NULL WHEN v > 0 THEN mean_diff / sqrt(v / n) WHEN mean_diff = 0 THEN 0 END AS statistic FROM (
+SELECT model_a, model_b, sum(s) / sum(k) AS mean_diff, sum(k) AS n, count(*) AS n_clusters, sum((s - k * m) * (s - k * m)) / sum(k) AS v FROM (
+  SELECT *, sum(s) OVER (PARTITION BY model_a, model_b) / sum(k) OVER (PARTITION BY model_a, model_b) AS m FROM (SELECT model_a, model_b, split_part(unique_id, '@@', 1) AS c, sum(abs(a) - abs(b)) AS s, count(*) AS k FROM pairs GROUP BY ALL)) GROUP BY model_a, model_b)""",
+    # two-sided tails by the midpoint rule; Student's after the substitution t = sqrt(df) * tan(x)
+    "dm_p": """SELECT model_a, model_b, mean_diff, n, n_clusters, statistic, df, CASE WHEN statistic = 0 AND mean_diff = 0 THEN 1.0
+ELSE 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * h * list_sum(list_transform(range(0, 20000), lambda i: pow(cos((i + 0.5) * h), df - 1))) END AS p_value
+FROM (SELECT *, CAST(n_clusters - 1 AS DOUBLE) AS df, atan(abs(statistic) / sqrt(n_clusters - 1)) / 20000 AS h FROM dm_tests)""",
+    "signed_p": """SELECT model_a, model_b, CASE WHEN n < 2 OR n_nonzero = 0 OR z IS NULL THEN 1.0 ELSE 1 - sqrt(2 / pi()) * h * list_sum(list_transform(range(0, 20000), lambda i: exp(-pow((i + 0.5) * h, 2) / 2))) END AS p_value
+FROM (SELECT *, abs(z) / 20000 AS h FROM wilcoxon)""",
+    "holms": "SELECT model_a, model_b, p_value, least(max(x) OVER (ORDER BY k), 1.0) AS p_holm FROM (SELECT *, (count(*) OVER () - k + 1) * p_value AS x FROM (SELECT *, row_number() OVER (ORDER BY p_value, model_a, model_b) AS k FROM signed_p))",
+    "critical": f"SELECT *, rank_diff > cd AS significant FROM (SELECT a.model AS model_a, b.model AS model_b, abs(a.mean_rank - b.mean_rank) AS rank_diff, {range_quantile(0.05, 3)!r} * sqrt(12.0 / (6 * a.n)) AS cd FROM ranks a JOIN ranks b ON a.model < b.model)",
 }
 
 
@@ -220,9 +231,8 @@ JOIN (SELECT model, sum(fit_seconds) AS fit_seconds_total, median(fit_seconds) A
     "failure_report": "SELECT model, stage, fold, horizon, repeat, substr(error, 1, 200) AS error FROM timings WHERE status = 'failed' QUALIFY row_number() OVER (PARTITION BY model, stage ORDER BY fold, horizon, repeat) = 1",
     "pareto_frontier": "WITH both_ AS (SELECT model, round(per1k_s, 6) AS per1k_s, round(m, 6) AS median FROM per_1k JOIN (SELECT model, median(value) AS m FROM mase WHERE horizon = 4 GROUP BY model) USING (model) WHERE horizon = 4) SELECT * FROM both_ a WHERE NOT EXISTS (SELECT 1 FROM both_ b WHERE b.per1k_s <= a.per1k_s AND b.median <= a.median AND (b.per1k_s < a.per1k_s OR b.median < a.median))",
     "blocks": "SELECT * FROM blocks",
-    "dm_pairwise": """SELECT model_a, model_b, mean_diff, CAST(n AS BIGINT) AS n, n_clusters, CASE WHEN n < 3 THEN NULL WHEN v > 0 THEN mean_diff / sqrt(v / n) WHEN mean_diff = 0 THEN 0 END AS statistic FROM (
-SELECT model_a, model_b, sum(s) / sum(k) AS mean_diff, sum(k) AS n, count(*) AS n_clusters, sum((s - k * m) * (s - k * m)) / sum(k) AS v FROM (
-  SELECT *, sum(s) OVER (PARTITION BY model_a, model_b) / sum(k) OVER (PARTITION BY model_a, model_b) AS m FROM (SELECT model_a, model_b, split_part(unique_id, '@@', 1) AS c, sum(abs(a) - abs(b)) AS s, count(*) AS k FROM pairs GROUP BY ALL)) GROUP BY model_a, model_b)""",
+    "dm_pairwise": "SELECT * FROM dm_tests",
+    "dm_p_values": "SELECT * FROM dm_p",
     "dm_time_indexed": """WITH e AS (SELECT model, ds, avg(y - yhat) AS value FROM actual JOIN forecasts USING (fold, unique_id, step) WHERE step = 4 GROUP BY model, ds),
 d AS (SELECT x.model AS model_a, z.model AS model_b, ds, abs(x.value) - abs(z.value) AS d FROM e x JOIN e z USING (ds) WHERE x.model < z.model AND x.value IS NOT NULL AND z.value IS NOT NULL),
 c AS (SELECT *, d - avg(d) OVER (PARTITION BY model_a, model_b) AS c FROM d), l AS (SELECT *, lag(c, 1) OVER w AS l1, lag(c, 2) OVER w AS l2, lag(c, 3) OVER w AS l3 FROM c WINDOW w AS (PARTITION BY model_a, model_b ORDER BY ds)),
@@ -231,14 +241,18 @@ SELECT model_a, model_b, round(mean_diff, 2) AS mean_diff, n, round(CASE WHEN n
     "mean_ranks": "SELECT * FROM ranks",
     "friedman": """SELECT n AS n_blocks, k AS n_models, CASE WHEN n >= 2 AND k >= 3 THEN (12 * ss / (n * k * (k + 1)) - 3 * n * (k + 1)) / nullif(1 - ties / (n * k * (k * k - 1)), 0) END AS statistic
 FROM (SELECT sum(s * s) AS ss, max(n) AS n, count(*) AS k FROM (SELECT model, sum(rank) AS s, count(*) AS n FROM ranked GROUP BY model)), (SELECT sum(tied * tied - 1) AS ties FROM ranked)""",
-    "nemenyi": f"SELECT *, rank_diff > cd AS significant FROM (SELECT a.model AS model_a, b.model AS model_b, abs(a.mean_rank - b.mean_rank) AS rank_diff, {range_quantile(0.05, 3)!r} * sqrt(12.0 / (6 * a.n)) AS cd FROM ranks a JOIN ranks b ON a.model < b.model)",
-    "cd_cliques": """WITH r AS (SELECT *, row_number() OVER (ORDER BY mean_rank, model) AS pos FROM ranks), e AS (SELECT a.pos, max(b.pos) AS last FROM r a JOIN r b ON b.pos >= a.pos AND b.mean_rank - a.mean_rank <= 0.6 GROUP BY a.pos)
+    "nemenyi": "SELECT * FROM critical",
+    "posthoc_comparison": "SELECT *, significant = significant_holm AS agree FROM (SELECT c.*, p_holm, p_holm < 0.05 AS significant_holm FROM critical c JOIN holms USING (model_a, model_b))",
+    "tied_with_best": """WITH best_ AS (SELECT arg_min(model, (m, model)) AS best FROM (SELECT model, median(value) AS m FROM mase WHERE horizon = 4 GROUP BY model))
+SELECT best AS model FROM best_ UNION SELECT CASE WHEN model_a = best THEN model_b ELSE model_a END FROM dm_p, best_ WHERE best IN (model_a, model_b) AND p_value >= 0.05""",
+    "cd_cliques": """WITH r AS (SELECT *, row_number() OVER (ORDER BY mean_rank, model) AS pos FROM ranks), e AS (SELECT a.pos, max(b.pos) AS last FROM r a JOIN r b ON b.pos >= a.pos AND b.mean_rank - a.mean_rank <= (SELECT max(cd) FROM critical) GROUP BY a.pos)
 SELECT pos AS first_rank, last AS last_rank FROM e WHERE last > pos AND NOT EXISTS (SELECT 1 FROM e f WHERE f.pos < e.pos AND f.last >= e.last)""",
     "wilcoxon_holm": "SELECT * FROM wilcoxon",
-    "holm_adjust": "SELECT model_a, model_b, p_value, least(max(x) OVER (ORDER BY k), 1.0) AS p_holm FROM (SELECT *, (count(*) OVER () - k + 1) * p_value AS x FROM (SELECT *, row_number() OVER (ORDER BY p_value, model_a, model_b) AS k FROM small))",
-    "bootstrap_skill": f"""WITH v AS (SELECT model, skill AS value, row_number() OVER (PARTITION BY model ORDER BY unique_id, fold) - 1 AS j FROM skills WHERE horizon = 4 AND fold < 2 AND skill IS NOT NULL), g AS (SELECT model, count(*) AS n, avg(value) AS mean FROM v GROUP BY model),
-m AS (SELECT d.model, b, avg(value) AS m FROM {_draws("g", "model", 200)} d JOIN v ON v.model = d.model AND v.j = d.j GROUP BY d.model, b)
-SELECT model, n, mean, low, high FROM g JOIN (SELECT model, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY model) USING (model)""",
+    "holm_adjust": "SELECT * FROM holms",
+    "bootstrap_skill": f"""WITH v AS (SELECT model, horizon, unique_id, fold, skill AS value FROM skills WHERE skill IS NOT NULL),
+w AS (SELECT model, horizon, b, value, len(list_filter({list(POISSON)}, lambda p: u >= p)) AS w FROM (SELECT *, substr(md5('42|' || b || '|' || unique_id || '|' || fold), 1, 12) AS u FROM v, range(2000) r(b))),
+m AS (SELECT model, horizon, b, sum(w * value) / sum(w) AS m FROM w GROUP BY ALL)
+SELECT model, horizon, n, mean, low, high FROM (SELECT model, horizon, count(*) AS n, avg(value) AS mean FROM v GROUP BY ALL) JOIN (SELECT model, horizon, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY ALL) USING (model, horizon)""",
     "ladder_scan": "SELECT n_series, count(*) AS n_rows, count(DISTINCT unique_id) AS n_ids, count(DISTINCT model) AS n_models FROM rungs GROUP BY n_series",
     "common_series": "SELECT * FROM common",
     "scaling_table": "SELECT *, run_s_h4 * 1000 / n_series AS per1k_s_h4, run_s_h13 * 1000 / n_series AS per1k_s_h13 FROM (SELECT model, n_series, count(DISTINCT unique_id) AS eval_series, " + ", ".join(f"{_median(m, h)} AS {m}_h{h}" for m in ("MASE", "RMSSE") for h in (4, 13)) + " FROM rungs WHERE unique_id IN (SELECT unique_id FROM common) GROUP BY model, n_series) LEFT JOIN (SELECT model, n_series, " + ", ".join(f"max({c}) FILTER (WHERE horizon = {h}) AS {n}_h{h}" for h in (4, 13) for c, n in (("fit_s", "fit_s"), ("per1k_s", "run_s"))) + " FROM rung_per_1k GROUP BY model, n_series) USING (model, n_series)",
@@ -340,6 +354,8 @@ DOUBLES: dict[str, str] = {
     "mean_ranks": "mean_rank",
     "friedman": "statistic",
     "nemenyi": "rank_diff cd",
+    "dm_p_values": "mean_diff statistic df p_value",
+    "posthoc_comparison": "rank_diff cd p_holm",
     "wilcoxon_holm": "median_diff share_first_better statistic z",
     "holm_adjust": "p_value p_holm",
     "bootstrap_skill": "mean low high",

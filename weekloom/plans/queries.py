@@ -501,7 +501,8 @@ def nemenyi(spark, d):
 
 @query
 def cd_cliques(spark, d):
-    return stats.cd_cliques(stats.mean_ranks(fx.blocks(spark, d)), 0.6).select(F.col("first_rank").cast("long"), F.col("last_rank").cast("long"))
+    cd = stats.nemenyi(fx.blocks(spark, d)).agg(F.max("cd")).first()[0]  # the same for all pairs
+    return stats.cd_cliques(stats.mean_ranks(fx.blocks(spark, d)), cd).select(F.col("first_rank").cast("long"), F.col("last_rank").cast("long"))
 
 
 @query
@@ -518,8 +519,8 @@ def posthoc_comparison(spark, d):
 
 @query
 def holm_adjust(spark, d):
-    ranks = stats.wilcoxon(stats.paired(fx.blocks(spark, d), ["unique_id"]), ["model_a", "model_b"])
-    return stats.holm(ranks.select("model_a", "model_b", F.round(F.col("share_first_better") / 20, 9).alias("p_value")))
+    tests = stats.wilcoxon_p(stats.wilcoxon(stats.paired(fx.blocks(spark, d), ["unique_id"]), ["model_a", "model_b"]))
+    return stats.holm(tests.select("model_a", "model_b", "p_value"))
 
 
 @query
@@ -530,8 +531,8 @@ def tied_with_best(spark, d):
 
 @query
 def bootstrap_skill(spark, d):
-    skill = tables.skill_scores(fx.metrics(spark, d), P.baseline).where("horizon = 4 AND fold < 2").select("model", "unique_id", "fold", F.col("skill").alias("value"))
-    return stats.bootstrap_mean(skill, "model", ["unique_id", "fold"], 200, str(P.seed))
+    skill = tables.skill_scores(fx.metrics(spark, d), P.baseline).select("model", "horizon", "unique_id", "fold", F.col("skill").alias("value"))
+    return stats.bootstrap_mean(skill, ["model", "horizon"], ["unique_id", "fold"], 2000, str(P.seed))
 
 
 # -- the ladder
