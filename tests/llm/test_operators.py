@@ -560,3 +560,55 @@ def test_empty_and_null_tables(spark, rows):
     assert language_id.language_id(docs, docs).count() == n
     assert toxicity.toxicity(docs, labels, fold(5) != 0).count() == n
     assert decontaminate.decontaminate(docs, spark.createDataFrame([(1, "again and again")], "item_id long, text string")).count() == max(n - 2, 0)  # row by row
+
+
+def test_placement_is_the_least_sum_of_squares():
+    """Against trying every window, and a new one, for each piece."""
+    rng = random.Random(17)
+    size, fitter, levels = 16, packing.SumOfSquares(16), Counter()
+    squares = lambda c: sum(n * n for level, n in c.items() if level < size)
+    for k in range(400):
+        n = rng.randint(1, size - 1)
+        options = []
+        for h in [0, *sorted(level for level, count in levels.items() if count and level + n <= size)]:
+            after = Counter(levels)
+            after[h] -= h > 0
+            after[h + n] += h + n < size
+            options.append((squares(+after), h, +after))
+        least = min(x[0] for x in options)
+        full = fitter.place((k, 0, np.zeros(n, "<i4"), n))
+        levels = Counter({int(h): int(fitter.count[h]) for h in np.flatnonzero(fitter.count[:size]) if h})
+        assert squares(levels) == least and (full is None or full.fill == size)
+
+
+def test_risk_falls_and_is_kept_from_below():
+    """Non-negative PU learning tells two classes apart though the unlabelled sample holds positives."""
+    rng = np.random.default_rng(5)
+    kind = np.r_[np.ones(300, int), np.zeros(1000, int)]
+    toxic = np.r_[np.ones(300, bool), rng.random(1000) < 0.2]
+    rows = [np.unique(np.r_[rng.integers(0, 20, 6), [20] if t and rng.random() < 0.9 else []].astype(np.int64)) for t in toxic]
+    weight = toxicity.nnpu(kind, rows, [np.ones(len(x)) for x in rows], 21, 0.2)
+    z = np.array([weight[x].sum() + weight[x + 21].sum() for x in rows]) + weight[-1]
+    assert (z[300:][toxic[300:]] > 0).mean() > 0.85 and (z[300:][~toxic[300:]] > 0).mean() < 0.02
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    """Extra columns named like those that operators add or use, a text of one long word and one of very many words."""
+    names = ["score", "kept", "shard", "stratum", "n_words", "rule", "host", "sample_id", "gone", "least", "row", "a.b", "doc id"]
+    texts = [(1, "word " * 300_000), (2, "x" * 500_000), (3, "some words of a plain text"), (4, None), (4, "some words of a plain text"), (None, "")]
+    docs = spark.createDataFrame([(i, t, "xx", *["own"] * len(names)) for i, t in texts], "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(3, 1, 0), (3, 0, 1), (None, 1, 1)], EMPTY_LABELS)
+    n = len(texts)
+    assert sorted(r.n_tokens for r in token_count.token_counts(docs).collect())[:2] == [0, 0]
+    judged = quality_rules.quality(docs, labels).collect()
+    assert {r.n_words for r in judged if r.doc_id == 1} == {300_000} and all(r.base_failed for r in judged)
+    assert suffix_dedup.suffix_dedup(docs).count() == n and packing.pack(docs).agg(F.sum("length")).first()[0] > n
+    found = language_id.language_id(docs, docs).collect()
+    assert len(found) == n and {r.lang_pred for r in found if r.doc_id in (1, 2, 3)} == {"xx"}
+    scored = toxicity.toxicity(docs, labels, fold(5) != 0)
+    assert scored.columns == [c for c in docs.columns if c != "score"] + ["score", "predicted"] and scored.count() == n
+    items = spark.createDataFrame([(1, "Plain text!", "own")], "item_id long, text string, gone string")
+    assert decontaminate.decontaminate(docs, items).columns == docs.columns
+    assert {r.doc_id for r in decontaminate.contaminated(docs, items).collect()} == {3, 4}
+    assert near_dedup.keep_one(docs).columns == docs.columns
+    assert {r.doc_id: r.group_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}

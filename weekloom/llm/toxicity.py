@@ -11,7 +11,8 @@ training rows.  P and U are bounded samples (``most_p``, ``most_u``: the documen
 are counted and gathered in Spark.  Only features whose shares in P and U differ by ``least_z`` standard errors and
 by a factor of ``least_lift`` are used; every document is then scored in full.
 
-A null or empty text has the score of the bias alone.
+A null or empty text has the score of the bias alone.  Several labels of a doc_id count as the most toxic one; rows that repeat a doc_id
+are scored each, and learnt from if the sample holds it.  Columns of docs named score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -112,7 +113,13 @@ def gather(docs: DataFrame, labels: DataFrame, usable: Column, most_p: int, most
     labelled = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("sample_id")).agg(F.max("toxic").alias("toxic"))
     labelled = labelled.withColumnRenamed("sample_id", "doc_id").where(usable)
     n, toxic = labelled.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
-    first = lambda rows, most: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+    def first(rows: DataFrame, most: int) -> DataFrame:
+        """Those of the ``most`` smallest hashes.  All but about 1.5 times as many are filtered out by a cutoff before any are sorted."""
+        share = 1.5 * most / max(rows.count(), 1)
+        few = rows if share >= 1 else rows.where(F.xxhash64("doc_id") < int((share - 0.5) * 2.0**64))
+        return few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
     p = first(labelled.where("toxic > 0").select("doc_id"), most_p).withColumn("kind", F.lit(1))
     u = first(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(usable & F.col("doc_id").isNotNull()).distinct(), most_u).withColumn("kind", F.lit(0))
     ids = p.unionByName(u).withColumnRenamed("doc_id", "sample_id")
@@ -144,7 +151,7 @@ def nnpu(kind: np.ndarray, rows: list[np.ndarray], densities: list[np.ndarray],
     return weight
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column, most_p: int = 4000, most_u: int = 12_000, most_features: int = 20_000, least_z: float = 4.0, least_lift: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, usable: Column, most_p: int = 4000, most_u: int = 12_000, least_z: float = 4.0, least_lift: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of the features, and weights with the bias last.  Only rows where ``usable`` (an expression of doc_id) holds are learnt from."""
     scratch = Scratch(docs.sparkSession)
     rows, prior = gather(docs, labels, usable, most_p, most_u)
@@ -156,10 +163,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, most_p: int = 4000
     bins, _ = strong(count[1], count[0], n_p, n_u, least_z / 2, 1.1)
     listed = feature_lists(sample, Features(bins, None)).select("kind", F.explode("features").alias("feature"))
     exact = listed.groupBy("feature").agg(F.count_if(F.col("kind") == 1).alias("p"), F.count_if(F.col("kind") == 0).alias("u")).where(F.col("p") + F.col("u") >= 4).toArrow()
-    good, z = strong(exact["p"].to_numpy(), exact["u"].to_numpy(), n_p, n_u, least_z, least_lift)
-    kept = np.flatnonzero(good)
-    kept = kept[np.argsort(-z[kept], kind="stable")[:most_features]]
-    keys = np.sort(exact["feature"].to_numpy().astype(np.int64)[kept].view(np.uint64))
+    good, _ = strong(exact["p"].to_numpy(), exact["u"].to_numpy(), n_p, n_u, least_z, least_lift)
+    keys = np.sort(exact["feature"].to_numpy().astype(np.int64)[good].view(np.uint64))
     held = feature_lists(sample, Features.of(keys)).toArrow()
     weight = nnpu(held["kind"].to_numpy(), [np.array(x, np.int64) for x in held["features"].to_pylist()], [np.array(x, float) for x in held["densities"].to_pylist()], len(keys), prior)
     scratch.drop(sample)
