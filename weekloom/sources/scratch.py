@@ -14,7 +14,9 @@ def root_of(spark) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not _own:  # a session without the setting, as in tests
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own:  # a session on one machine without the setting, as in tests
         _own.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return _own[0]
 
