@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_count, toxicity, url_filter
+from weekloom.llm import alignment, decontaminate, language_id, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_count, toxicity, url_filter
 
 #: Verdict, host and path prefix of each rule.
 URL_RULES = [
@@ -75,6 +75,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_alignment(table(spark, sf_dir, "documents"), groups=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **{f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_minhash_near_dedup, op4_decontamination, op5_line_dedup, op6_url_filters, op7_suffix_array_dedup, op8_packing, op9_language_id, op10_toxicity)},
+    **{f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_minhash_near_dedup, op4_decontamination, op5_line_dedup, op6_url_filters, op7_suffix_array_dedup, op8_packing, op9_language_id, op10_toxicity, op11_token_alignment)},
     "pipeline": pipeline,
 }
 
