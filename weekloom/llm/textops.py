@@ -23,7 +23,9 @@ BATCH_ROWS = 1000
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
+_PRIME, _BITS = np.uint64((1 << 31) - 1), np.uint64(31)
+_BASES = (1_183_640_369, 1_907_561_021)
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,32 +47,62 @@ def stride(k: int) -> np.uint64:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = len(_powers.get("up", ()))
-    if have < n:
-        n = max(n, 2 * have, CHUNK_BYTES + 1024)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """The remainder of numbers below 2**63 by the prime 2**31 - 1."""
+    x = (x & _PRIME) + (x >> _BITS)
+    x = (x & _PRIME) + (x >> _BITS)
+    return x - _PRIME * (x >= _PRIME)
+
+
+def _power(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of both bases and of their inverses, from 0 to n at least."""
+    if not _powers or len(_powers[0][0]) <= n:
+        size = max(n + 1, CHUNK_BYTES + 1024)
+        found = []
+        for base in _BASES:
+            both = []
+            for x in (base, pow(base, -1, int(_PRIME))):
+                out = np.ones(size, np.uint64)
+                have = 1
+                while have < size:
+                    more = min(have, size - have)
+                    out[have : have + more] = _fold(out[:more] * np.uint64(pow(x, have, int(_PRIME))))
+                    have += more
+                both.append(out)
+            found.append(tuple(both))
+        _powers[:] = found
+    return _powers
 
 
 class Hasher:
-    """64-bit hashes of any substrings of ``buf``, each in constant time after one pass."""
+    """62-bit hashes, spread over 64 bits, of any substrings of ``buf``, each in constant time after one pass.
+
+    They are polynomials modulo a prime at two fixed points.  (Modulo a power of two, texts as plain as those of Thue and Morse collide for every base.)
+    """
 
     def __init__(self, buf: np.ndarray, values: np.ndarray = BYTE_VALUES):
-        up, self.down = _power(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(values[buf] * up[: len(buf)], out=self.sums[1:])
+        self.sums, self.down = [], []
+        for k, (up, down) in enumerate(_power(len(buf) + 1)):
+            letters = _fold(values >> np.uint64(1) if k else (values & _PRIME) + np.uint64(1))
+            terms = letters[buf]
+            terms *= up[: len(buf)]
+            high = terms >> _BITS
+            terms &= _PRIME
+            terms += high  # below 2**33: sums of 2**30 terms stay below 2**63
+            sums = np.zeros(len(buf) + 1, np.uint64)
+            np.cumsum(terms, out=sums[1:])
+            self.sums.append(sums)
+            self.down.append(down)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        one, two = (_fold(_fold(sums[ends] - sums[starts]) * down[starts]) for sums, down in zip(self.sums, self.down, strict=True))
+        return mix(one << _BITS | two)
 
     def windows(self, length: int) -> np.ndarray:
         """Of every substring of this length, by its start."""
-        n = max(len(self.sums) - length, 0)
-        return mix((self.sums[length:] - self.sums[:n]) * self.down[:n])
+        n = max(len(self.sums[0]) - length, 0)
+        one, two = (_fold(_fold(sums[length:] - sums[:n]) * down[:n]) for sums, down in zip(self.sums, self.down, strict=True))
+        return mix(one << _BITS | two)
 
 
 class Chunk:
