@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import alignment, decontaminate, language_id, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_count, toxicity, url_filter
+from weekloom.llm import alignment, decontaminate, language_id, licence_scan, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_count, toxicity, url_filter
 
 #: Verdict, host and path prefix of each rule.
 URL_RULES = [
@@ -18,6 +18,49 @@ URL_RULES = [
     ("block", "org", "/es/"),
 ]
 
+#: Phrases and their labels.
+LICENCE_PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
+
+#: Wordings of public licences, as notices and as the sentences they are known by, and labels.
+LICENCE_TEMPLATES = [
+    ("released under the MIT License", "mit"),
+    ("licensed under the MIT License", "mit"),
+    ("licensed under the Apache License, Version 2.0", "apache-2.0"),
+    ("this work is licensed under the GNU General Public License, version 3", "gpl-3.0"),
+    ("licensed under CC BY-NC 4.0", "cc-by-nc-4.0"),
+    ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa-4.0"),
+    ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc-4.0"),
+    ("to the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "cc0-1.0"),
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "mit",
+    ),
+    (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "apache-2.0",
+    ),
+    (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "gpl-3.0",
+    ),
+    (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "bsd",
+    ),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl-2.0"),
+    ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", "unlicense"),
+    ("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "zlib"),
+]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,6 +122,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.cross_alignment(table(spark, sf_dir, "documents"), groups=False)
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.licence_scan(table(spark, sf_dir, "documents"), LICENCE_TEMPLATES, LICENCE_PHRASES).drop("spans")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +133,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **{f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_minhash_near_dedup, op4_decontamination, op5_line_dedup, op6_url_filters, op7_suffix_array_dedup, op8_packing, op9_language_id, op10_toxicity, op11_token_alignment)},
+    **{f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_minhash_near_dedup, op4_decontamination, op5_line_dedup, op6_url_filters, op7_suffix_array_dedup, op8_packing, op9_language_id, op10_toxicity, op11_token_alignment, op12_license_scan)},
     "pipeline": pipeline,
 }
 
