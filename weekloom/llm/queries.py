@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import alignment, decontaminate, language_id, licence_scan, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_count, toxicity, url_filter
+from weekloom.llm import alignment, collocations, decontaminate, language_id, licence_scan, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_count, toxicity, url_filter
 
 #: Verdict, host and path prefix of each rule.
 URL_RULES = [
@@ -126,6 +126,10 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan.licence_scan(table(spark, sf_dir, "documents"), LICENCE_TEMPLATES, LICENCE_PHRASES).drop("spans")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -133,7 +137,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **{f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_minhash_near_dedup, op4_decontamination, op5_line_dedup, op6_url_filters, op7_suffix_array_dedup, op8_packing, op9_language_id, op10_toxicity, op11_token_alignment, op12_license_scan)},
+    **{f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_minhash_near_dedup, op4_decontamination, op5_line_dedup, op6_url_filters, op7_suffix_array_dedup, op8_packing, op9_language_id, op10_toxicity, op11_token_alignment, op12_license_scan, op13_collocations)},
     "pipeline": pipeline,
 }
 
@@ -177,5 +181,31 @@ WITH raw AS (
 )
 SELECT doc_id, CAST(length(body) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, body))) AS kept_sha256
 FROM raw LEFT JOIN cut USING (doc_id)
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), w -> w <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, m, array_to_string(gram, ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, m, unnest(list_transform(range(1, greatest(len(w) - m + 2, 1)), i -> w[i:i + m - 1])) AS gram FROM words, range(1, 6) AS t(m))
+  GROUP BY ALL HAVING count(*) >= 100
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang
+), cuts AS (
+  SELECT g.lang, g.phrase, g.f AS a, k, string_split(g.phrase, ' ') AS w FROM grams g, range(1, 5) AS t(k) WHERE m > k
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.k], ' ')
+  JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN totals USING (lang)
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM grams g WHERE g.lang = b.lang AND g.f >= b.a AND len(string_split(g.phrase, ' ')) > len(string_split(b.phrase, ' ')) AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
 """,
 }
