@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.config import Protocol
+from weekloom.operators import arima, pooled, smoothing, trend
 from weekloom.operators.baselines import SERIES, widened, z_values
 from weekloom.operators.features import context_padded, context_tail
+from weekloom.operators.pooled import LAGS, SCHEMA, lag_design, of_weeks, reach, rows_of, run_forward
 
-SCHEMA = "model string, fold int, unique_id string, step int, yhat double, q array<double>"
 #: (values, steps, season) to points and spreads of one series.
 Fit = Callable[..., tuple[np.ndarray, np.ndarray]]
-#: The same for a list of series; a row of NaN for each that can't be fitted.
+#: The same for a list of series, a row of NaN for each that can't be fitted; a third result are quantiles at the protocol's levels.
 FitMany = Callable[..., tuple[np.ndarray, np.ndarray]]
 SHORTEST = 4
 
@@ -44,33 +45,20 @@ def one_by_one(fit: Fit) -> FitMany:
     return run
 
 
-def of_weeks(column: str) -> Column:
-    """The column's values in order of the weeks for which y is known; a series is some hundred rows."""
-    return F.transform(F.array_sort(F.collect_list(F.when(F.col("y").isNotNull(), F.struct("ds", column)))), lambda x: x[column])
-
-
 def contexts(filled: DataFrame, keys: tuple[str, ...] = tuple(SERIES)) -> DataFrame:
     return filled.groupBy(*keys).agg(of_weeks("y").alias("context"))
 
 
-def _rows(name: str, folds, ids, points: np.ndarray, spreads: np.ndarray, z: np.ndarray) -> pd.DataFrame:
-    n, steps = points.shape
-    yhat = points.ravel()
-    q = yhat[:, None] + spreads.ravel()[:, None] * z
-    good = np.isfinite(q).all(axis=1) & np.isfinite(yhat)
-    return pd.DataFrame({
-        "model": name, "fold": np.repeat(np.asarray(folds, np.int32), steps), "unique_id": np.repeat(np.asarray(ids, object), steps), "step": np.tile(np.arange(1, steps + 1, dtype=np.int32), n),
-        "yhat": pd.Series(np.where(good, yhat, np.nan)).astype(object).where(good, None), "q": [list(x) if ok else None for x, ok in zip(q, good, strict=True)],
-    })
-
-
 def per_series(filled: DataFrame, name: str, fit: FitMany, protocol: Protocol, **parameters) -> DataFrame:
     z, steps, season = np.array(z_values(protocol)), protocol.longest, protocol.season
+    if fit in SIMULATED:
+        parameters = {"levels": tuple(protocol.levels)} | parameters
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if len(rows):
-                yield _rows(name, rows["fold"], rows["unique_id"], *fit([np.asarray(y, float) for y in rows["context"]], steps, season, **parameters), z)
+                points, spreads, *quantiles = fit([np.asarray(y, float) for y in rows["context"]], steps, season, **parameters)
+                yield rows_of(name, rows["fold"], rows["unique_id"], points, spreads, z, *quantiles)
 
     return contexts(filled).mapInPandas(run, SCHEMA)
 
@@ -213,29 +201,6 @@ def fourier_trend(y: np.ndarray, steps: int, season: int, knots: int = 5, terms:
     return fitted[n:], np.std(y - fitted[:n]) * np.sqrt(1 + np.maximum(leverage, 0))
 
 
-LAGS = (1, 2, 3, 4, 13, 26)
-
-
-def reach(season: int) -> int:
-    return max(season, *LAGS)
-
-
-def lag_design(y: np.ndarray, season: int, at: np.ndarray) -> np.ndarray:
-    """One, lags and rolling means before each of the places ``at``; ``y`` may be one series or rows of series (weeks last)."""
-    sums = np.concatenate([np.zeros((*y.shape[:-1], 1)), np.cumsum(y, axis=-1)], axis=-1)
-    columns = [np.ones((*y.shape[:-1], len(at))), *[y[..., at - k] for k in (*LAGS, season)], *[(sums[..., at] - sums[..., at - k]) / k for k in (4, 13, season)]]
-    return np.stack(columns, axis=-1)
-
-
-def run_forward(y: np.ndarray, steps: int, season: int, predict: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
-    """``predict(features, step)`` applied to its own output; ``y`` is one series or rows of series."""
-    path = y[..., -reach(season) :]
-    for k in range(steps):
-        fresh = predict(lag_design(path, season, np.array([path.shape[-1]]))[..., 0, :], k)
-        path = np.concatenate([path, fresh[..., None]], axis=-1)
-    return path[..., -steps:]
-
-
 def ridge_local(y: np.ndarray, steps: int, season: int, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Ridge regression on lags and rolling means, one model per series, run forward step by step."""
     if len(y) <= reach(season):
@@ -247,101 +212,12 @@ def ridge_local(y: np.ndarray, steps: int, season: int, ridge: float = 1.0) -> t
     return run_forward(v, steps, season, lambda f, _: f @ coef) * scale, _grow((target - x @ coef) * scale, steps)
 
 
-def _pooled(rows: DataFrame, moments: Callable[[dict], tuple[np.ndarray, np.ndarray] | None], outputs: int, ridge: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Coefficients (features x outputs) and residual root mean squares by fold of a ridge regression over all series.
-
-    ``moments`` gives a series' design and targets.  Normal equations are sums of small matrices, added up in Spark: only folds x features^2 numbers come to the driver.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, list] = {}
-        for part in batches:
-            for row in part.to_dict("records"):
-                made = moments(row)
-                if made is not None:
-                    x, y = made
-                    own = total.setdefault(int(row["fold"]), [0.0, 0.0, 0.0, 0])
-                    for k, value in enumerate((x.T @ x, x.T @ y, (y**2).sum(axis=0), len(y))):
-                        own[k] = own[k] + value
-        for fold, (xx, xy, yy, n) in total.items():
-            yield pd.DataFrame({"fold": [fold], "moments": [np.concatenate([np.ravel(xx), np.ravel(xy), yy, [n]])]})
-
-    found = rows.mapInPandas(run, "fold int, moments array<double>").select("fold", F.posexplode("moments").alias("i", "v")).groupBy("fold", "i").agg(F.sum("v").alias("v")).toPandas()
-    out = {}
-    for fold, part in found.groupby("fold"):
-        v = part.sort_values("i")["v"].to_numpy()
-        # width^2 + width * outputs + outputs + 1 numbers
-        width = int((-outputs + np.sqrt(outputs**2 + 4 * (len(v) - outputs - 1))) / 2 + 0.5)
-        xx, xy = v[: width**2].reshape(width, width), v[width**2 : width * (width + outputs)].reshape(width, outputs)
-        yy, n = v[-outputs - 1 : -1], v[-1]
-        coef = np.linalg.solve(xx + ridge * np.eye(width), xy)
-        squares = yy - 2 * (coef * xy).sum(axis=0) + np.einsum("ij,ik,kj->j", coef, xx, coef)
-        out[int(fold)] = coef, np.sqrt(np.maximum(squares, 0) / max(n, 1))
-    return out
-
-
-def _scaled(context) -> tuple[np.ndarray, float]:
-    y = np.asarray(context, float)
-    scale = max(float(np.mean(np.abs(y))), 1e-9) if len(y) else 1.0
-    return y / scale, scale
-
-
-def _known(row: dict, n: int) -> np.ndarray:
-    """Year-ago units and prices, the price planned and the season's phase for ``n`` weeks and those ahead, each price and amount over its series' mean."""
-    filled = lambda x: pd.Series(np.asarray(x, float)).ffill().bfill().fillna(0.0).to_numpy()
-    units, arp = filled(row["units"]), filled(row["arp"])
-    ahead = pd.DataFrame(list(row["ahead"])).astype(float).ffill().bfill().fillna(0.0)
-    per = lambda x, of: x / max(float(np.mean(np.abs(of))), 1e-9)
-    ago = lambda x: np.concatenate([np.zeros(min(52, n)), x[: max(n - 52, 0)]])
-    weeks = np.concatenate([np.asarray(row["week"], float), ahead["week_of_year"]])
-    columns = [
-        np.concatenate([per(ago(units), units), per(ahead["units_yago"], units)]), np.concatenate([per(ago(arp), arp), per(ahead["arp_yago"], arp)]),
-        np.concatenate([per(np.concatenate([arp[:1], arp[:-1]]), arp), per(ahead["planned_arp"], arp)]), np.sin(2 * np.pi * weeks / 52), np.cos(2 * np.pi * weeks / 52),
-    ]
-    return np.stack(columns, axis=1)
-
-
 def ridge_global(filled: DataFrame, protocol: Protocol, ridge: float = 1.0, future: DataFrame | None = None) -> DataFrame:
     """The regression of ``ridge_local`` pooled over all series of a fold, refitted for each fold.
 
     With ``future`` (of split.future_covariates; ``filled`` then has units and arp too) it also sees what is known of each week ahead.
     """
-    season, steps, z = protocol.season, protocol.longest, np.array(z_values(protocol))
-    informed = future is not None
-    if not informed:
-        whole = contexts(filled)
-    else:
-        fields = ["units_yago", "arp_yago", "planned_arp", "week_of_year"]
-        ahead = future.groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", *fields))), lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias("ahead"))
-        measured = filled.withColumn("week", F.weekofyear("ds")).groupBy(*SERIES).agg(of_weeks("y").alias("context"), *[of_weeks(c).alias(c) for c in ("units", "arp", "week")])
-        whole = measured.join(ahead, list(SERIES))
-
-    def moments(row: dict):
-        v, _ = _scaled(row["context"])
-        first = max(reach(season), 52 if informed else 0)
-        if len(v) <= first:
-            return None
-        at = np.arange(first, len(v))
-        x = lag_design(v, season, at)
-        return (np.concatenate([x, _known(row, len(v))[at]], axis=1) if informed else x), v[at][:, None]
-
-    models = _pooled(whole, moments, 1, ridge)
-    name = "ridge_global"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            points, spreads = (np.full((len(part), steps), np.nan) for _ in range(2))
-            for k, row in enumerate(part.to_dict("records")):
-                v, scale = _scaled(row["context"])
-                if int(row["fold"]) in models and len(v) >= reach(season):
-                    coef, sigma = models[int(row["fold"])]
-                    extra = _known(row, len(v))[len(v) :] if informed else np.zeros((steps, 0))
-                    points[k] = run_forward(v, steps, season, lambda f, h: np.concatenate([f, extra[h]]) @ coef[:, 0]) * scale  # noqa: B023
-                    spreads[k] = sigma[0] * scale * np.sqrt(np.arange(1, steps + 1))
-            if len(part):
-                yield _rows(name, part["fold"], part["unique_id"], points, spreads, z)
-
-    return whole.mapInPandas(run, SCHEMA)
+    return pooled.forecast(filled, pooled.lagged(protocol, informed=future is not None), protocol, ridge, future)
 
 
 def linear_global(filled: DataFrame, protocol: Protocol, ridge: float = 1.0) -> DataFrame:
@@ -349,30 +225,7 @@ def linear_global(filled: DataFrame, protocol: Protocol, ridge: float = 1.0) ->
 
     A model with one linear head for the moving average and one for the remainder of a window is such a map too.
     """
-    season, steps, z = protocol.season, protocol.longest, np.array(z_values(protocol))
-
-    def moments(row: dict):
-        v, _ = _scaled(row["context"])
-        if len(v) < season + steps:
-            return None
-        windows = np.lib.stride_tricks.sliding_window_view(v, season + steps)
-        return np.concatenate([np.ones((len(windows), 1)), windows[:, :season]], axis=1), windows[:, season:]
-
-    whole = contexts(filled)
-    models = _pooled(whole, moments, steps, ridge)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            points, spreads = (np.full((len(part), steps), np.nan) for _ in range(2))
-            for k, row in enumerate(part.to_dict("records")):
-                v, scale = _scaled(row["context"])
-                if int(row["fold"]) in models and len(v) >= season:
-                    coef, sigma = models[int(row["fold"])]
-                    points[k], spreads[k] = np.concatenate([[1.0], v[-season:]]) @ coef * scale, sigma * scale
-            if len(part):
-                yield _rows("linear_global", part["fold"], part["unique_id"], points, spreads, z)
-
-    return whole.mapInPandas(run, SCHEMA)
+    return pooled.forecast(filled, pooled.direct(protocol), protocol, ridge)
 
 
 def gbt_global(filled: DataFrame, protocol: Protocol, trees: int = 10, depth: int = 4, seed: int | None = None) -> DataFrame:
@@ -441,7 +294,7 @@ def tune(filled: DataFrame, actual: DataFrame, denominators: DataFrame, trials:
         for rows in batches:
             for (model, trial), part in rows.groupby(["model", "trial"]):
                 made = fits[model]([np.asarray(y, float) for y in part["context"]], steps, season, **own[model, trial])
-                yield _rows(model, np.full(len(part), trial), part["unique_id"], *made, z).rename(columns={"fold": "trial"})[["model", "trial", "unique_id", "step", "yhat"]]
+                yield rows_of(model, np.full(len(part), trial), part["unique_id"], *made, z).rename(columns={"fold": "trial"})[["model", "trial", "unique_id", "step", "yhat"]]
 
     made = work.select("model", "trial", "unique_id", "context").mapInPandas(run, "model string, trial int, unique_id string, step int, yhat double")
     scored = made.join(actual.select("unique_id", "step", "y"), ["unique_id", "step"]).join(denominators.select("unique_id", "mase_den"), "unique_id")
@@ -452,4 +305,9 @@ def tune(filled: DataFrame, actual: DataFrame, denominators: DataFrame, trials:
 
 
 #: Models that fit each series by itself.
-LOCAL: dict[str, FitMany] = {"ets": ets, "theta": theta, "seasonal_ar": one_by_one(seasonal_ar), "fourier_trend": one_by_one(fourier_trend), "ridge_local": one_by_one(ridge_local)}
+LOCAL: dict[str, FitMany] = {
+    "ets": smoothing.ets, "theta": theta, "arima": arima.arima, "sparse_trend": trend.sparse_trend,
+    "ets_grid": ets, "seasonal_ar": one_by_one(seasonal_ar), "fourier_trend": one_by_one(fourier_trend), "ridge_local": one_by_one(ridge_local),
+}
+#: Those that simulate their quantiles.
+SIMULATED = (trend.sparse_trend,)

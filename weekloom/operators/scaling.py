@@ -15,17 +15,18 @@ def common_series(rows: DataFrame) -> DataFrame:
     return rows.groupBy("unique_id").agg(F.count_distinct("n_series").alias("have")).join(F.broadcast(n)).where("have = n_rungs").select("unique_id")
 
 
-def scaling_table(rungs: DataFrame, timings: DataFrame, series: DataFrame | None, protocol: Protocol, band: int = 0) -> DataFrame:
+def scaling_table(rungs: DataFrame, timings: DataFrame | None, series: DataFrame | None, protocol: Protocol, band: int = 0) -> DataFrame:
     """A row per (model, rung): median accuracy over the fixed series and cost of the whole rung, also per 1,000 series.
 
-    ``band`` is the number of resamples of the interval around the medians (none if 0).
+    Without ``timings`` the costs are left out.  ``band`` is the number of resamples of the interval around the medians (none if 0).
     """
     kept = rungs if series is None else rungs.join(series.select("unique_id"), "unique_id", "left_semi")
     cell = lambda m, h: F.median(F.when((F.col("metric") == m) & (F.col("horizon") == h), F.col("value"))).alias(f"{m}_h{h}")
     out = kept.groupBy("model", "n_series").agg(F.count_distinct("unique_id").alias("eval_series"), *[cell(m, h) for m in ("MASE", "RMSSE") for h in protocol.horizons])
-    cost = tables.cost_per_1k(timings, ("n_series",))
-    wide = cost.groupBy("model", "n_series").agg(*[F.max(F.when(F.col("horizon") == h, F.col(c))).alias(name) for h in protocol.horizons for c, name in (("fit_s", f"fit_s_h{h}"), ("per1k_s", f"run_s_h{h}"))])
-    out = out.join(wide, ["model", "n_series"], "left").withColumns({f"per1k_s_h{h}": F.col(f"run_s_h{h}") * 1000 / F.col("n_series") for h in protocol.horizons})
+    if timings is not None:
+        cost = tables.cost_per_1k(timings, ("n_series",))
+        wide = cost.groupBy("model", "n_series").agg(*[F.max(F.when(F.col("horizon") == h, F.col(c))).alias(name) for h in protocol.horizons for c, name in (("fit_s", f"fit_s_h{h}"), ("per1k_s", f"run_s_h{h}"))])
+        out = out.join(wide, ["model", "n_series"], "left").withColumns({f"per1k_s_h{h}": F.col(f"run_s_h{h}") * 1000 / F.col("n_series") for h in protocol.horizons})
     if band:
         for h in protocol.horizons:
             of = kept.where((F.col("metric") == "MASE") & (F.col("horizon") == h))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weekloom.config import PROTOCOL
-from weekloom.operators import backtest, baselines, forecasters, panel, sampling, score, split
+from weekloom.operators import backtest, baselines, forecasters, panel, pooled, sampling, score, split
 from weekloom.sources.raw import raw_export
 from weekloom.sources.scratch import root_of, written
 
@@ -177,6 +177,27 @@ def ladder(spark, d):
     return out
 
 
+@shared
+def nested(spark, d):
+    """Nested rungs of a quarter, half and all of the labelled series; the stratified sample of a half is the anchor."""
+    pool = labelled(spark, d)
+    n = pool.count()
+    return sampling.nested_ladder(pool, sampling.stratified_sample(pool, n // 2, PROTOCOL.seed), sorted({max(n // 4, 1), n // 2, n}), PROTOCOL.seed).select("unique_id", "stratum", "n_series")
+
+
+@shared
+def fitted_rungs(spark, d):
+    """Scores of the pooled models fitted on each rung, for the series that all rungs have."""
+    rows, ladder_rows = filled(spark, d), nested(spark, d)
+    made = written(pooled.ladder(rows, ladder_rows, [pooled.lagged(PROTOCOL), pooled.direct(PROTOCOL)], PROTOCOL))
+    ids = ladder_rows.where(F.col("n_series") == ladder_rows.agg(F.min("n_series")).first()[0]).select("unique_id")
+    test, arm = actual(spark, d).join(ids, "unique_id", "left_semi"), F.concat_ws("|", "model", "n_series")
+    made = made.withColumn("model", arm).drop("n_series")
+    rows = score.score_point(test, made, denominators(spark, d), PROTOCOL).unionByName(score.score_quantile(test, made, PROTOCOL))
+    parts = F.split("model", r"\|")
+    return rows.withColumn("n_series", parts[1].cast("long")).withColumn("model", parts[0])
+
+
 @shared
 def rungs(spark, d):
     return metrics(spark, d).join(ladder(spark, d).select("unique_id", "n_series"), "unique_id")

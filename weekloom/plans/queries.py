@@ -559,6 +559,26 @@ def scaling_band(spark, d):
     return stats.bootstrap_median_band(rows.select("model", "n_series", "unique_id", "value"), ["model", "n_series"], 50, str(P.seed))
 
 
+@query
+def ladder_fitted(spark, d):
+    """The pooled models refitted on each nested rung, over the series that all rungs have, with bands of 300 resamples."""
+    return scaling.scaling_table(fx.fitted_rungs(spark, d), None, None, P, band=300)
+
+
+@query
+def ladder_fitted_crossovers(spark, d):
+    series = fx.fitted_rungs(spark, d).select("unique_id").distinct()
+    return scaling.crossovers(scaling.medians_by_rung(fx.fitted_rungs(spark, d)), scaling.reference_levels(fx.metrics(spark, d), P.baseline, series))
+
+
+@query
+def ladder_fitted_tests(spark, d):
+    """The largest rung against the smallest, and each against the baseline, by signed ranks."""
+    rows = fx.fitted_rungs(spark, d)
+    pairs = scaling.paired_rungs(rows, rows.select("unique_id").distinct(), fx.metrics(spark, d), P.baseline)
+    return stats.wilcoxon_p(stats.wilcoxon(pairs, ["model", "horizon", "comparison"])).drop("ties")
+
+
 @query
 def reference_levels(spark, d):
     return scaling.reference_levels(fx.metrics(spark, d), P.baseline, fx.labelled(spark, d))
@@ -665,7 +685,7 @@ def search_space_report(spark, d):
 
 
 #: Parameter, kind, least and greatest value of each tuned model's search space.
-SPACES = {"ets": [("alphas", "log", 0.02, 0.8)], "fourier_trend": [("ridge", "log", 0.05, 50.0)], "ridge_local": [("ridge", "log", 0.05, 50.0)]}
+SPACES = {"ets_grid": [("alphas", "log", 0.02, 0.8)], "fourier_trend": [("ridge", "log", 0.05, 50.0)], "ridge_local": [("ridge", "log", 0.05, 50.0)]}
 TRIALS = 6
 
 
