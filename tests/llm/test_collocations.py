@@ -87,7 +87,7 @@ def test_transducer(summed, monkeypatch):
             sequences = Counter({s[:k]: rng.randint(1, 5) for s in sequences for k in range(2, len(s) + 1)})
         rows = np.array([[*s, *[0] * (5 - len(s))] for s in sequences], np.int64).reshape(-1, 5)
         weight = np.array(list(sequences.values()), np.int64)
-        names = np.arange(vocabulary) * 11 + 5
+        names = collocations.named([b"w%d" % k for k in range(vocabulary)])
         rows, weight, _ = collocations.distinct(rows, weight)
         made = collocations.build(names, rows, weight, summed)
         made = collocations.Transducer.load(made.dump())

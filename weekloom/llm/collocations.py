@@ -1,36 +1,40 @@
 """Phrases whose words stand together more often than chance has it, by weighted acyclic automata of n-grams.
 
-Everything is counted by language.  The texts go through in *blocks* of bounded size:
-
-1.  A block counts its words and keeps its text as a stream of word numbers.  Words are added up over all blocks; those found ``least`` times get
-    an id, which goes back to the blocks that have them.  A phrase with a rarer word can't be found ``least`` times either.
-2.  A block's n-grams of 2 to ``longest`` words, sorted, are made into *count transducers*, one for each range of prefixes: acyclic automata in which an arc's
-    weight is the count of the n-gram that it ends.  They are built incrementally from sorted batches: what lies below a prefix
-    of two words is finished with its batch, and states with the same arcs and weights are kept once, by a register.
-3.  A range's transducers are united and their weights summed; n-grams found ``least`` times are the candidates.
+Everything is counted by language, in *blocks* of bounded size, and texts are read three times:
+
+1.  Words are counted and added up over all blocks.  A phrase with a word found less than ``least`` times can't be found ``least`` times
+    either, so a bitmap of the hashes of the frequent words is broadcast.
+2.  Pairs of neighbouring frequent words are counted by 32 bits of their hash, and a second bitmap is made of those that may be frequent.
+3.  A block's n-grams of 2 to ``longest`` words, cut where a word or pair isn't in the bitmaps, are sorted and made into *count transducers*, one for
+    each range of prefixes: acyclic automata in which an arc's weight is the count of the n-gram that it ends.  They are built incrementally from sorted
+    batches: what lies below a prefix of two words is finished with its batch, and states with the same arcs and weights are kept once, by a register.
+    A range's transducers are united and their weights summed; n-grams found ``least`` times are the candidates.
 4.  What the parts of a candidate count is looked up where they lie: the parts that were asked for in a range are composed with the transducer of its
     candidates, level by level.  (A part is found at least as often as the whole, so it is a candidate or a word.)
 
-So a frequent word or pair is one entry of each block, a range is bounded by the number of ranges, and what is shuffled are distinct n-grams of blocks.
-Within a block words are told apart by 62-bit hashes, between blocks by their bytes.
+The bitmaps have ``BITS`` bits each, whatever the input.  They only leave out what can't be a candidate: as they fill, more is
+shuffled, but no result changes, since words are told apart by their bytes between blocks and candidates by their own counts.  Within a block words are told apart by 62-bit hashes.
+A frequent word or pair is one entry of each block, and a range is bounded by the number of ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weekloom.llm.textops import Hasher, Scratch, chunks, lookup, ship, small, text_of
+from weekloom.llm.textops import Hasher, Scratch, chunks, lookup, mix, ship, small, stride, text_of
 
 BLOCK_BYTES = 8 << 20
 RANGE_WORDS = 500_000
 BATCH = 1 << 16
+BITS = 1 << 27
 UNKNOWN = "und"
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -38,7 +42,6 @@ _WORD = ~_BREAK
 _WORD[[0x20, 0x09]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_FRESH = np.uint32(1 << 31)
 
 
 class Transducer(NamedTuple):
@@ -77,12 +80,19 @@ class Transducer(NamedTuple):
         return weight
 
     def dump(self) -> bytes:
-        return packed([self.names, self.first, self.label, self.weight, self.target, np.array([self.root])])
+        names = b" ".join(self.names)
+        return packed([np.frombuffer(names, np.uint8), self.first, self.label, self.weight, self.target, np.array([self.root])])
 
     @staticmethod
     def load(data: bytes) -> Transducer:
-        *parts, root = unpacked(data)
-        return Transducer(*parts, int(root[0]))
+        names, *parts, root = unpacked(data)
+        return Transducer(named(names.astype(np.uint8).tobytes().split(b" ") if len(names) else []), *parts, int(root[0]))
+
+
+def named(words: list[bytes]) -> np.ndarray:
+    out = np.empty(len(words), object)
+    out[:] = words
+    return out
 
 
 def packed(arrays: list[np.ndarray]) -> bytes:
@@ -174,7 +184,7 @@ def build(names: np.ndarray, rows: np.ndarray, weight: np.ndarray, summed: bool)
     edges = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])[: len(rows)]
     at = np.unique(np.searchsorted(edges, np.arange(0, len(rows), BATCH)))
     cuts = edges[at[at < len(edges)]]
-    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=True):
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)][: len(cuts)], strict=True):
         builder.add(rows[lo:hi], weight[lo:hi], summed)
     return builder.finish(names[used[1:] - 1])
 
@@ -189,103 +199,178 @@ def distinct(rows: np.ndarray, weight: np.ndarray, head: np.ndarray | None = Non
     return rows[first], np.add.reduceat(weight, first) if len(first) else weight, head[first]
 
 
-def range_of(first, second, ranges: int):
-    """Which range of prefixes two words begin; for numbers, arrays and columns alike."""
-    return (first % 1_000_003 * 7919 + second % 1_000_003) % ranges
+def runs_of(head: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal numbers begins and ends."""
+    edges = np.flatnonzero(head[1:] != head[:-1]) + 1
+    return list(zip([0, *edges.tolist()], [*edges.tolist(), len(head)], strict=True)) if len(head) else []
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * stride(3) + second) >> np.uint64(32)
+
+
+class Bitmap:
+    """A set of numbers below BITS."""
+
+    def __init__(self, spark: SparkSession, numbers: DataFrame):
+        """From a column of numbers; what reaches the driver is BITS / 8 bytes at most."""
+        x = numbers.columns[0]
+        place = F.col(x) % BITS + 1
+        parts = numbers.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toArrow()
+        bits = np.zeros(BITS // 8, np.uint8)
+        for part, data in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+            bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(data, np.uint8)
+        self.held = spark.sparkContext.broadcast(bits)
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        at = numbers.astype(np.int64) % BITS
+        return (self.held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+class Words(NamedTuple):
+    """The words of one language in a block: hashes, whether each begins a piece, and how to get at their bytes."""
+
+    hashes: np.ndarray
+    fresh: np.ndarray
+    parts: list[tuple[int, bytes, np.ndarray, np.ndarray]]
+
+    def bytes_at(self, places: np.ndarray) -> list[bytes]:
+        stop = np.cumsum([x[0] for x in self.parts])
+        part = np.searchsorted(stop, places, "right")
+        at = places - np.r_[0, stop[:-1]][part]
+        return [self.parts[p][1][self.parts[p][2][k] : self.parts[p][3][k]] for p, k in zip(part.tolist(), at.tolist(), strict=True)]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[dict[str, Words]]:
+    """The words of batches of lang and text, in blocks."""
+    held: dict[str, list] = {}
+    size = 0
+
+    def done() -> dict[str, Words]:
+        out = {lang: Words(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), [(len(x[0]), *x[2:]) for x in parts]) for lang, parts in held.items()}
+        held.clear()
+        return out
+
+    for batch in small(batches):
+        langs = batch.column(0).to_pylist()
+        for chunk in chunks(text_of(batch)):
+            buf = _LOWER[chunk.buf]
+            starts, ends, text = chunk.runs(_WORD)
+            if not len(starts):
+                continue
+            hashes, data = Hasher(buf)(starts, ends), buf.tobytes()
+            piece = np.cumsum(_BREAK[buf])[starts]
+            fresh = np.r_[True, piece[1:] != piece[:-1]]
+            own = langs[chunk.lo : chunk.hi]
+            code = {g: k for k, g in enumerate(dict.fromkeys(own))}
+            kind = np.array([code[g] for g in own])[text]
+            for lang, k in code.items():
+                mine = np.flatnonzero(kind == k)
+                if len(mine):
+                    held.setdefault(lang, []).append((mix(hashes[mine] + stride(crc32(lang.encode()) + 1)), fresh[mine], data, starts[mine], ends[mine]))
+            size += len(data)
+            if size > block_bytes:
+                yield done()
+                size = 0
+    yield done()
+
+
+def word_counts(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """lang, word, bucket, f: all words; the bucket is what the bitmap knows of a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, block_bytes):
+            for lang, words in block.items():
+                keys, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
+                names = pa.array(words.bytes_at(first), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), names, pa.array((keys >> np.uint64(32)).astype(np.int64)), pa.array(n)], ["lang", "word", "bucket", "n"])
 
+    return docs.mapInArrow(run, "lang string, word string, bucket long, n long").groupBy("lang", "word", "bucket").agg(F.sum("n").alias("f"))
 
-def words_of_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """block, lang, n_words, stream (word numbers; the first of each piece is marked), words and counts: a row for each block and language."""
+
+def common_pairs(docs: DataFrame, common: Bitmap, least: int, ranges: int, block_bytes: int) -> DataFrame:
+    """key: 32-bit hashes that all pairs of neighbouring frequent words with this hash together reach ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        number, size = TaskContext.get().partitionId() << 32, 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal number
-            rows = []
-            for lang, parts in held.items():
-                hashes, fresh = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-                _, first, inverse, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-                stop = np.cumsum([len(x[0]) for x in parts])
-                part = np.searchsorted(stop, first, "right")
-                at = (first - np.r_[0, stop[:-1]][part]).tolist()
-                words = [parts[p][2][parts[p][3][k] : parts[p][4][k]] for p, k in zip(part.tolist(), at, strict=True)]
-                rows.append((number, lang, len(hashes), (inverse.astype("<u4") | np.where(fresh, _FRESH, np.uint32(0))).tobytes(), words, n))
-                number += 1
-            held.clear()
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            arrays = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)]
-            arrays[4] = arrays[4].cast(pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays(arrays, ["block", "lang", "n_words", "stream", "words", "counts"])
-
-        for batch in small(batches):
-            langs = batch.column(0).to_pylist()
-            for chunk in chunks(text_of(batch)):
-                buf = _LOWER[chunk.buf]
-                starts, ends, text = chunk.runs(_WORD)
-                if not len(starts):
-                    continue
-                hashes, data = Hasher(buf)(starts, ends), buf.tobytes()
-                piece = np.cumsum(_BREAK[buf])[starts]
-                fresh = np.r_[True, piece[1:] != piece[:-1]]
-                own = langs[chunk.lo : chunk.hi]
-                code = {g: k for k, g in enumerate(dict.fromkeys(own))}
-                kind = np.array([code[g] for g in own])[text]
-                for lang, k in code.items():
-                    mine = np.flatnonzero(kind == k)
-                    if len(mine):
-                        held.setdefault(lang, []).append((hashes[mine], fresh[mine], data, starts[mine], ends[mine]))
-                size += len(data)
-                if size > block_bytes:
-                    yield flush()
-                    size = 0
-        yield flush()
-
-    ship(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
-    return rows.mapInArrow(run, "block long, lang string, n_words long, stream binary, words array<string>, counts array<long>")
-
-
-def grams(stream: np.ndarray, label: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each place at which two words with labels stand in one piece: the labels of up to ``longest`` words from there on, then zeros.  Also how many places there are of each."""
-    fresh, word = stream >= _FRESH, label[stream & ~_FRESH]
-    gap = np.flatnonzero(fresh | (word == 0))
-    gap = np.append(gap, len(word))
-    # a piece's first word is a gap for those before it, not for itself
-    left = gap[np.searchsorted(gap, np.arange(len(word)), "right")] - np.arange(len(word))
-    at = np.flatnonzero((word > 0) & (left > 1))
+        for block in blocks(batches, block_bytes):
+            found = [np.zeros(0, np.uint64)]
+            for words in block.values():
+                ok = common.has(words.hashes >> np.uint64(32))
+                at = np.flatnonzero(ok[:-1] & ok[1:] & ~words.fresh[1:])
+                found.append(pair_keys(words.hashes[at], words.hashes[at + 1]))
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            head = (keys * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            runs = runs_of(head)
+            data = [packed([np.diff(keys[lo:hi], prepend=keys[lo : lo + 1]), keys[lo : lo + 1], n[lo:hi]]) for lo, hi in runs]
+            yield pa.RecordBatch.from_arrays([pa.array(head[[lo for lo, _ in runs]], pa.int64()), pa.array(data, pa.binary())], ["range", "data"])
+
+    def total(table: pa.Table) -> pa.Table:
+        parts = [unpacked(x.as_py()) for x in table["data"]]
+        keys, n = np.concatenate([start + np.cumsum(steps) for steps, start, _ in parts]), np.concatenate([x[2] for x in parts])
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return pa.table({"key": keys[first[np.add.reduceat(n, first) >= least]]})
+
+    return docs.mapInArrow(run, "range long, data binary").groupBy("range").applyInArrow(total, "key long")
+
+
+def grams(words: np.ndarray, follows: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that a word follows on, and the words' labels from there on, up to ``longest``, then zeros; ``follows`` says which words may follow the one before them."""
+    gap = np.append(np.flatnonzero(~follows), len(words))
+    left = gap[np.searchsorted(gap, np.arange(len(words)), "right")] - np.arange(len(words))
+    at = np.flatnonzero(left > 1)
     left = left[at]
     rows = np.zeros((len(at), longest), np.int64)
     for j in range(longest):
         on = left > j
-        rows[on, j] = word[at[on] + j]
-    return rows, np.ones(len(at), np.int64)
-
-
-def _count(left: pa.Table, right: pa.Table, ranges: int, longest: int) -> pa.Table:
-    """The transducers of one block, by range."""
-    stream = np.frombuffer(left["stream"][0].as_py(), "<u4")
-    ids, index = right["id"].to_numpy(), right["idx"].to_numpy()
-    order = np.argsort(ids)
-    ids = ids[order]
-    label = np.zeros(int((stream & ~_FRESH).max()) + 1, np.int64)
-    label[index[order]] = np.arange(1, len(ids) + 1)
-    rows, weight = grams(stream, label, longest)
-    head = range_of(ids[rows[:, 0] - 1], ids[rows[:, 1] - 1], ranges)
-    rows, weight, head = distinct(rows, weight, head)
-    cuts = np.flatnonzero(np.r_[True, head[1:] != head[:-1]]) if len(head) else np.zeros(0, np.int64)
-    stop = [*cuts[1:].tolist(), len(head)]
-    data = [build(ids, rows[lo:hi], weight[lo:hi], True).dump() for lo, hi in zip(cuts.tolist(), stop, strict=True)] if len(cuts) else []
-    return pa.table({"range": pa.array(head[cuts], pa.int64()), "data": pa.array(data, pa.binary())})
+        rows[on, j] = words[at[on] + j]
+    return at, rows
+
+
+def prefix_range(lang: str, first: bytes, second: bytes, ranges: int) -> int:
+    return crc32(b" ".join([lang.encode(), first, second])) % ranges
+
+
+def transducers(docs: DataFrame, common: Bitmap, pairs: Bitmap, longest: int, ranges: int, block_bytes: int) -> DataFrame:
+    """range, lang, data: the count transducers of all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, block_bytes):
+            for lang, words in block.items():
+                ok = common.has(words.hashes >> np.uint64(32))
+                follows = np.zeros(len(ok), bool)
+                follows[1:] = ok[1:] & ok[:-1] & ~words.fresh[1:]
+                at = np.flatnonzero(follows)
+                follows[at] = pairs.has(pair_keys(words.hashes[at - 1], words.hashes[at]))
+                part = np.flatnonzero(follows | np.r_[follows[1:], False])
+                _, first, of = np.unique(words.hashes[part], return_index=True, return_inverse=True)
+                names = named(words.bytes_at(part[first]))
+                order = np.argsort(names)
+                label = np.zeros(len(ok), np.int64)
+                label[part] = np.argsort(order)[of] + 1
+                names = names[order]
+                _, rows = grams(label, follows, longest)
+                rows, weight, _ = distinct(rows, np.ones(len(rows), np.int64))
+                two = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)][: len(rows)]
+                prefixes = rows[two, :2]
+                head = np.array([prefix_range(lang, names[a - 1], names[b - 1], ranges) for a, b in prefixes.tolist()], np.int64)[np.cumsum(two) - 1] if len(rows) else np.zeros(0, np.int64)
+                order = np.argsort(head, kind="stable")
+                rows, weight, head = rows[order], weight[order], head[order]
+                runs = runs_of(head)
+                data = [build(names, rows[lo:hi], weight[lo:hi], True).dump() for lo, hi in runs]
+                yield pa.RecordBatch.from_arrays([pa.array(head[[lo for lo, _ in runs]], pa.int64()), pa.array([lang] * len(runs), pa.string()), pa.array(data, pa.binary())], ["range", "lang", "data"])
+
+    return docs.mapInArrow(run, "range long, lang string, data binary")
 
 
 def united(transducers: list[Transducer], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names; all sequences of two labels and more, sorted and filled up with zeros; their summed weights."""
-    names = np.unique(np.concatenate([t.names for t in transducers]))
+    names = named(sorted(set().union(*[t.names for t in transducers])))
+    number = {x: k + 1 for k, x in enumerate(names)}
     rows, weight = [np.zeros((0, longest), np.int64)], [np.zeros(0, np.int64)]
     for t in transducers:
-        label = np.r_[0, np.searchsorted(names, t.names) + 1]
+        label = np.array([0, *(number[x] for x in t.names)])
         for found, n in t.expand():
             if found.shape[1] > 1:
                 wide = np.zeros((len(found), longest), np.int64)
@@ -298,45 +383,50 @@ def united(transducers: list[Transducer], longest: int) -> tuple[np.ndarray, np.
 
 
 def candidates(found: DataFrame, least: int, longest: int) -> DataFrame:
-    """pid, range, ids and a of all n-grams of two words and more that all blocks together have ``least`` times."""
+    """pid, range, lang, words and a of all n-grams of two words and more that all blocks together have ``least`` times."""
 
     def run(table: pa.Table) -> pa.Table:
-        names, rows, weight = united([Transducer.load(x.as_py()) for x in table["data"]], longest)
-        kept = np.flatnonzero(weight >= least)
-        rows, weight = rows[kept], weight[kept]
-        size = (rows > 0).sum(1)
-        flat = pa.array(names[rows[rows > 0] - 1], pa.int64())
-        ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), flat)
-        number = int(table["range"][0].as_py())
-        return pa.table({"pid": (number << 32) + np.arange(len(rows)), "range": np.full(len(rows), number), "ids": ids, "a": weight})
-
-    return found.groupBy("range").applyInArrow(run, "pid long, range long, ids array<long>, a long")
-
-
-def _matrix(column: pa.ChunkedArray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lists of ids as rows filled up with -1, and their sizes."""
-    column = column.combine_chunks()
-    size = column.value_lengths().to_numpy().astype(np.int64)
-    out = np.full((len(size), longest), -1, np.int64)
-    out[np.arange(longest) < size[:, None]] = column.flatten().to_numpy()
-    return out, size
+        out, number, held = [], int(table["range"][0].as_py()) << 32, {}
+        for lang, data in zip(table["lang"].to_pylist(), table["data"], strict=True):
+            held.setdefault(lang, []).append(Transducer.load(data.as_py()))
+        for lang, parts in sorted(held.items()):
+            names, rows, weight = united(parts, longest)
+            kept = np.flatnonzero(weight >= least)
+            rows, weight = rows[kept], weight[kept]
+            stop = pa.array(np.r_[0, np.cumsum((rows > 0).sum(1))], pa.int32())
+            words = pa.ListArray.from_arrays(stop, pa.array(names[rows[rows > 0] - 1], pa.binary()).cast(pa.string()))
+            n = len(rows)
+            out.append(pa.table({"pid": number + np.arange(n), "range": np.full(n, number >> 32), "lang": pa.array([lang] * n, pa.string()), "words": words, "a": weight}))
+            number += n
+        return pa.concat_tables(out)
+
+    return found.groupBy("range").applyInArrow(run, "pid long, range long, lang string, words array<string>, a long")
+
+
+def _labels(lists: pa.ChunkedArray, number: dict[str, int], longest: int) -> np.ndarray:
+    """Lists of words as rows of labels, filled up with zeros; an unknown word gets the label after the last."""
+    out = np.zeros((len(lists), longest), np.int64)
+    for row, words in zip(out, lists.to_pylist(), strict=True):
+        row[: len(words)] = [number.get(x, len(number) + 1) for x in words]
+    return out
 
 
 def _look_up(left: pa.Table, right: pa.Table, longest: int) -> pa.Table:
     """What the parts asked for in one range count."""
-    ids, _ = _matrix(left["ids"], longest)
-    names = np.unique(ids[ids >= 0])
-    rows, weight, _ = distinct(np.where(ids >= 0, np.searchsorted(names, ids) + 1, 0), left["a"].to_numpy())
-    held = build(names, rows, weight, False)
-    parts, _ = _matrix(right["part"], longest)
-    at = np.minimum(np.searchsorted(names, parts), max(len(names) - 1, 0))
-    known = names[at] == parts if len(names) else np.zeros(parts.shape, bool)
-    labels = np.where(parts < 0, 0, np.where(known, at + 1, len(names) + 1))
-    return right.select(["pid", "k", "side"]).append_column("f", pa.array(held.compose(labels)))
+    out = []
+    for lang in sorted(set(right["lang"].to_pylist())):
+        mine, asked = left.filter(pc.equal(left["lang"], lang)), right.filter(pc.equal(right["lang"], lang))
+        names = sorted({x for own in mine["words"].to_pylist() for x in own})
+        number = {x: k + 1 for k, x in enumerate(names)}
+        rows, weight, _ = distinct(_labels(mine["words"], number, longest), mine["a"].to_numpy())
+        held = build(named([x.encode() for x in names]), rows, weight, False)
+        out.append(asked.select(["pid", "k", "side"]).append_column("f", pa.array(held.compose(_labels(asked["part"], number, longest)))))
+    empty = pa.table({"pid": pa.array([], pa.int64()), "k": pa.array([], pa.int32()), "side": pa.array([], pa.string()), "f": pa.array([], pa.int64())})
+    return pa.concat_tables(out) if out else empty
 
 
-def _range_column(ids: Column, ranges: int) -> Column:
-    return range_of(ids[0], ids[1], ranges)
+def _range_column(lang: Column, words: Column, ranges: int) -> Column:
+    return F.crc32(F.concat_ws(" ", lang, words[0], words[1]).cast("binary")) % ranges
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, inside: int = 100, top: int = 2000, block_bytes: int = BLOCK_BYTES, range_words: int = RANGE_WORDS) -> DataFrame:
@@ -350,35 +440,33 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, inside: in
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    blocks = scratch.put(words_of_blocks(docs, block_bytes))
-    own = scratch.put(blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("idx", "x")).select("block", "lang", "idx", F.col("x.words").alias("word"), F.col("x.counts").alias("n")))
-    totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    common = scratch.put(own.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
-    back = own.join(common.hint("merge"), ["lang", "word"]).select("block", "idx", "id")
-    n_words = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_words // range_words)
-    found = blocks.select("block", "stream").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda x, y: _count(x, y, ranges, longest), "range long, data binary")
-    phrases = scratch.put(candidates(found, least, longest))
-
-    size = F.size("ids")
-    cut = phrases.select("pid", "ids", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
-    parts = cut.select("pid", "k", F.lit("l").alias("side"), F.slice("ids", F.lit(1), F.col("k")).alias("part")).unionByName(cut.select("pid", "k", F.lit("r").alias("side"), F.slice("ids", F.col("k") + 1, size).alias("part")))
-    asked = parts.where(F.size("part") > 1).withColumn("range", _range_column(F.col("part"), ranges))
-    looked_up = phrases.select("range", "ids", "a").groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(lambda x, y: _look_up(x, y, longest), "pid long, k int, side string, f long")
-
-    words = lookup(scratch.put(phrases.select("pid", F.posexplode("ids").alias("pos", "id"))), common, "id")
-    place = F.struct("pos", "word")
-    named = scratch.put(words.groupBy("pid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(place)), lambda x: x.word), " ").alias("phrase"), F.first("lang").alias("lang"), F.min_by("f", "pos").alias("f_first"), F.max_by("f", "pos").alias("f_last"), (F.max("pos")).alias("last")))
-    ends = named.select("pid", F.lit(1).alias("k"), F.lit("l").alias("side"), F.col("f_first").alias("f")).unionByName(named.select("pid", F.col("last").alias("k"), F.lit("r").alias("side"), F.col("f_last").alias("f")))
-    both = looked_up.unionByName(ends).groupBy("pid", "k").agg(F.max(F.when(F.col("side") == "l", F.col("f"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("f"))).alias("r"))
-
-    # the longest count of a longer candidate around each phrase
-    longer = phrases.where(size > 2).select("a", "ids", F.explode(F.sequence(F.lit(2), size - 1)).alias("m")).select("a", "ids", "m", F.explode(F.sequence(F.lit(1), size - F.col("m") + 1)).alias("s"))
-    around = longer.select(F.slice("ids", F.col("s"), F.col("m")).alias("ids"), "a").groupBy("ids").agg(F.max("a").alias("longer"))
-    kept = phrases.join(around, "ids", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("a"))).select("pid", "a")
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text").where("text IS NOT NULL")
+    counts = scratch.put(word_counts(rows, block_bytes))
+    totals = scratch.put(counts.groupBy("lang").agg(F.sum("f").alias("n")))
+    common = scratch.put(counts.where(F.col("f") >= least).select(F.concat_ws("\t", "lang", "word").alias("key"), "bucket", "f"))  # a word has no tab
+    scratch.drop(counts)
+    known = Bitmap(spark, common.select("bucket"))
+    ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (totals.agg(F.sum("n")).first()[0] or 0) // range_words)
+    pairs = Bitmap(spark, common_pairs(rows, known, least, ranges, block_bytes))
+    phrases = scratch.put(candidates(transducers(rows, known, pairs, longest, ranges, block_bytes), least, longest))
+
+    size = F.size("words")
+    cut = phrases.select("pid", "lang", "words", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
+    left, right = F.slice("words", F.lit(1), F.col("k")), F.slice("words", F.col("k") + 1, size)
+    parts = cut.select("pid", "lang", "k", F.explode(F.array(F.struct(F.lit("l").alias("side"), left.alias("part")), F.struct(F.lit("r").alias("side"), right.alias("part")))).alias("x")).select("pid", "lang", "k", "x.side", "x.part")
+    asked = parts.where(F.size("part") > 1).withColumn("range", _range_column(F.col("lang"), F.col("part"), ranges))
+    looked_up = phrases.select("range", "lang", "words", "a").groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(lambda x, y: _look_up(x, y, longest), "pid long, k int, side string, f long")
+    single = scratch.put(parts.where(F.size("part") == 1).select("pid", "k", "side", F.concat_ws("\t", "lang", F.col("part")[0]).alias("key")))
+    single = lookup(single, common.select("key", "f"), "key").select("pid", "k", "side", "f")
+    both = looked_up.unionByName(single).groupBy("pid", "k").agg(F.max(F.when(F.col("side") == "l", F.col("f"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("f"))).alias("r"))
+
+    # the highest count of a longer candidate around each phrase
+    longer = phrases.where(size > 2).select("lang", "a", "words", F.explode(F.sequence(F.lit(2), size - 1)).alias("m")).select("lang", "a", "words", "m", F.explode(F.sequence(F.lit(1), size - F.col("m") + 1)).alias("s"))
+    around = longer.select("lang", F.array_join(F.slice("words", F.col("s"), F.col("m")), " ").alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
+    kept = phrases.select("pid", "lang", F.array_join("words", " ").alias("phrase"), "a").join(around, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("a")))
 
     exact = lambda c: F.col(c).cast("decimal(20,0)")
-    scored = both.join(kept, "pid").join(named.select("pid", "lang", "phrase"), "pid").join(F.broadcast(totals), "lang")  # totals: a row a language
+    scored = both.join(kept.select("pid", "lang", "phrase", "a"), "pid").join(F.broadcast(totals), "lang")  # totals: a row a language
     scored = scored.withColumn("top", F.lit(1000).cast("decimal(4,0)") * exact("a") * exact("n")).withColumn("bottom", exact("l") * exact("r")).withColumn("score", F.expr("top div bottom"))
     best = scored.groupBy("pid", "lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("x")).select("pid", "lang", "phrase", "a", "n", "x.l", "x.r", "x.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]

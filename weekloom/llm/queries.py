@@ -186,10 +186,10 @@ FROM raw LEFT JOIN cut USING (doc_id)
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
 ), words AS (
-  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), w -> w <> '') AS w FROM pieces
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
 ), grams AS (
   SELECT lang, m, array_to_string(gram, ' ') AS phrase, count(*) AS f
-  FROM (SELECT lang, m, unnest(list_transform(range(1, greatest(len(w) - m + 2, 1)), i -> w[i:i + m - 1])) AS gram FROM words, range(1, 6) AS t(m))
+  FROM (SELECT lang, m, unnest(list_transform(range(1, greatest(len(w) - m + 2, 1)), lambda i: w[i:i + m - 1])) AS gram FROM words, range(1, 6) AS t(m))
   GROUP BY ALL HAVING count(*) >= 100
 ), totals AS (
   SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang
@@ -198,7 +198,7 @@ WITH pieces AS (
 ), scored AS (
   SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS score
   FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.k], ' ')
-  JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN totals USING (lang)
+  JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN totals t ON t.lang = c.lang
 ), best AS (
   SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), kept AS (
