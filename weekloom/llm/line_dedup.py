@@ -195,14 +195,13 @@ class LineRuns:
 
 
 def line_dedup(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """Cleans a whole table: its doc_id range is cut into ``batches`` equal parts, which come from the largest doc_id down."""
+    """Cleans a whole table: it is cut at approximate quantiles of doc_id into at most ``batches`` parts, which come from the largest doc_id down."""
     runs = LineRuns(docs.sparkSession, fanout, min_chars, min_docs)
     number = docs["doc_id"].cast("long")
-    low, high = docs.agg(F.min(number), F.max(number)).first()
-    if low is None:
-        low = high = 0
-    step = (high - low) // batches + 1
-    for k in reversed(range(batches)):
-        runs.add(docs.where(number.between(low + k * step, low + (k + 1) * step - 1)))
+    cuts = docs.agg(F.percentile_approx(number, [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    edges = [None, *sorted(set(cuts or ())), None]
+    for low, high in reversed(list(zip(edges, edges[1:], strict=False))):
+        part = docs if low is None else docs.where(number > low)
+        runs.add(part if high is None else part.where(number <= high))
     runs.discard(runs.runs())
     return runs.clean(docs)
