@@ -8,7 +8,7 @@ about ``most_training`` chosen by a hash of the url where there are more.
 
 *Dictionary.*  Every word of the corpus counts, with its count over all texts: each distinct name's substrings are joined with the table
 of counts, so neither the driver nor a task holds a dictionary.  Substrings are of 2 to 63 characters, as a part
-of a host's name has at most 63.  The words of a name are joined back to hosts, and those of a host to its urls; names and
+of a host's name has at most 63; longer names (which no real host has) are cut with the same words, in windows.  The words of a name are joined back to hosts, and those of a host to its urls; names and
 hosts with a large share of the rows are joined by broadcast.
 
 A rule is (verdict, host, path prefix): it fits its host and all subdomains if the path begins
@@ -31,6 +31,7 @@ from weekloom.llm.words import word_counts
 
 #: Fixed value: a part of a host's name has at most so many characters.
 LONGEST_WORD = 63
+WINDOW = 64
 NAMES = "[a-z]+|[0-9]+|[^\\x00-\\x7f]+"
 ADDED = ("host", "path", "rule", "words", "block_score", "verdict")
 
@@ -88,12 +89,15 @@ def segmented(names: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     counts = word_counts(docs, F.lit("")).select(F.col("word").cast("string").alias("word"), "n").where(F.is_valid_utf8("word") & F.length("word").between(2, LONGEST_WORD))
     counts = scratch.put(counts)
     segmenter = Segmenter(counts.agg(F.sum("n")).first()[0] or 0)
-    size = F.length("name")
-    parts = names.where(size > 1).select("name", F.explode(F.sequence(F.lit(0), size - 2)).alias("i"))
-    parts = parts.select("name", "i", F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST_WORD), size - F.col("i")))).alias("size"))
-    parts = scratch.put(parts.withColumn("word", F.substr("name", F.col("i") + 1, F.col("size"))))
-    known = lookup(parts, counts, "word").groupBy("name").agg(F.collect_list(F.struct("i", "size", "n")).alias("known"))
-    every = names.join(known.hint("merge"), "name", "left")
+    # a long name is taken in windows, and its words go by number, so that what is made grows with its length and not with the square
+    numbered = scratch.put(names.withColumn("nid", F.monotonically_increasing_id()))
+    windows = numbered.select("nid", "name", F.explode(F.sequence(F.lit(0), F.length("name"), F.lit(WINDOW))).alias("at")).select("nid", "at", F.substr("name", F.col("at") + 1, F.lit(WINDOW + LONGEST_WORD - 1)).alias("piece"))
+    size = F.length("piece")
+    parts = windows.where(size > 1).select("nid", "at", "piece", F.explode(F.sequence(F.lit(0), F.least(size - 2, F.lit(WINDOW - 1)))).alias("j"))
+    parts = parts.select("nid", "at", "piece", "j", F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST_WORD), size - F.col("j")))).alias("size"))
+    parts = scratch.put(parts.select("nid", (F.col("at") + F.col("j")).alias("i"), "size", F.substr("piece", F.col("j") + 1, F.col("size")).alias("word")))
+    known = lookup(parts, counts, "word").groupBy("nid").agg(F.collect_list(F.struct("i", "size", "n")).alias("known"))
+    every = numbered.join(known.hint("merge"), "nid", "left")
 
     @F.arrow_udf("array<string>")
     def cut(names: pa.Array, known: pa.Array) -> pa.Array:
