@@ -23,7 +23,8 @@ the number of links of each of its classes and the components that they make, no
 *Groups.*  Verified links are joined to connected components by star contraction, in Spark.
 
 A text of fewer than five words has one shingle of all of them; a text without words (or null) is a group of its own.
-Rows with a null doc_id are left out; rows that repeat a doc_id with another text count as one document, which holds the links of both.
+Rows with a null doc_id are left out.  Rows that repeat a doc_id with another text are one document: each text is a class of its own with its own links, the document counts
+the links of all of them, and its texts' groups are one group.
 """
 
 from __future__ import annotations
@@ -268,11 +269,10 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     return held.select(F.col("b").alias("node"), F.col("a").alias("root")).union(held.select("a", "a").distinct())
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, registers: int = REGISTERS, band: int = BAND, all_pairs: int = 8, part: int = 256) -> DataFrame:
-    """doc_id, class_id (least doc_id with the same bag), group_id (least doc_id of the near-duplicate group) and
-    n_links (verified links of its class to other classes): one row per distinct doc_id."""
-    scratch = Scratch(docs.sparkSession)
-    every = scratch.put(signed(docs, registers, band))
+def grouped(rows: DataFrame, same: DataFrame | None, similarity: float, registers: int, band: int, all_pairs: int, part: int) -> DataFrame:
+    """doc_id, class_id, group_id, n_links for rows of which equal ids have equal texts; ``same`` (doc, doc_id) names ids that are one document."""
+    scratch = Scratch(rows.sparkSession)
+    every = scratch.put(signed(rows, registers, band))
     ranked = scratch.put(every.where("bag IS NOT NULL").groupBy("bag").agg(F.min("doc_id").alias("class_id")))
     of = scratch.put(lookup(every.select("doc_id", "bag"), ranked, "bag", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
     own = ranked.select(F.col("bag").alias("own_bag"), F.col("class_id").alias("own_id"))
@@ -280,9 +280,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, registers:
     classes = scratch.put(classes.select("doc_id", "signature", "bands").dropDuplicates(["doc_id"]))
     members = placed(classes, all_pairs, scratch)
     pairs = scratch.put(candidates(members, classes, all_pairs, scratch))
-    links = scratch.put(verified(pairs, docs, similarity, scratch))
-    blocks = scratch.put(block_links(members, docs, similarity, all_pairs, part))
-    roots = components(links.select("a", "b").unionByName(blocks.select(F.col("root").alias("a"), F.col("doc_id").alias("b"))), scratch)
+    links = scratch.put(verified(pairs, rows, similarity, scratch).distinct())  # equal rows make equal links
+    blocks = scratch.put(block_links(members, rows, similarity, all_pairs, part))
+    edges = links.select("a", "b").unionByName(blocks.select(F.col("root").alias("a"), F.col("doc_id").alias("b")))
+    if same is not None:
+        texts = scratch.put(same.join(of.distinct(), "doc_id").select("doc", "class_id").distinct())
+        least = scratch.put(texts.groupBy("doc").agg(F.min("class_id").alias("a")))
+        edges = edges.unionByName(lookup(texts, least, "doc").where("a <> class_id").select("a", F.col("class_id").alias("b")))
+    roots = components(edges, scratch)
     each = links.select(F.explode(F.array("a", "b")).alias("class_id"), F.lit(1).cast("long").alias("n")).unionByName(blocks.select(F.col("doc_id").alias("class_id"), "n"))
     n = each.groupBy("class_id").agg(F.sum("n").alias("n_links"))
     found = scratch.put(roots.join(n, roots["node"] == n["class_id"], "left").select(F.col("node").alias("class_id"), "root", "n_links"))
@@ -290,6 +295,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, registers:
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min(F.coalesce("root", "class_id")).alias("group_id"), F.max(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
 
 
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, registers: int = REGISTERS, band: int = BAND, all_pairs: int = 8, part: int = 256) -> DataFrame:
+    """doc_id, class_id (least doc_id with the same bag), group_id (least doc_id of the near-duplicate group) and
+    n_links (verified links of its class, or of all its classes, to other classes): one row per distinct doc_id."""
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    several = scratch.put(rows.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least"), F.max(F.xxhash64("text")).alias("most")).where("least <> most").select("doc_id"))
+    if several.isEmpty():
+        return grouped(rows, None, similarity, registers, band, all_pairs, part)
+    # each text of such a document gets an id of its own
+    marked = rows.join(scratch.ids(several).withColumn("several", F.lit(True)), "doc_id", "left")
+    marked = marked.select(F.col("doc_id").alias("doc"), F.when(F.col("several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("doc_id"), "text", "several")
+    same = scratch.put(marked.where("several").select("doc", "doc_id").distinct())
+    found = grouped(marked.select("doc_id", "text"), same, similarity, registers, band, all_pairs, part)
+    found = scratch.put(found.join(same, "doc_id", "left").select(F.coalesce("doc", "doc_id").alias("doc_id"), "class_id", "group_id", "n_links").distinct())
+    for c in ("class_id", "group_id"):
+        least = scratch.put(found.groupBy(c).agg(F.min("doc_id").alias("least")))
+        found = scratch.put(lookup(found, least, c).withColumn(f"least_{c}", F.col("least")).drop("least"))
+    return found.groupBy("doc_id").agg(F.min("least_class_id").alias("class_id"), F.min("least_group_id").alias("group_id"), F.sum("n_links").alias("n_links"))
+
+
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The document of least doc_id of each group, and all with a null doc_id, with all columns."""
     gone = near_duplicates(docs, **parameters).where("doc_id <> group_id").select(F.col("doc_id").alias("gone_doc"))
