@@ -11,16 +11,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.config import Protocol
 from weekloom.operators import arima, pooled, smoothing, trend
-from weekloom.operators.baselines import SERIES, widened, z_values
+from weekloom.operators.baselines import SERIES, z_values
+from weekloom.operators.boosting import gbt_global  # noqa: F401  one of the models
 from weekloom.operators.features import context_padded, context_tail
-from weekloom.operators.pooled import LAGS, SCHEMA, lag_design, of_weeks, reach, rows_of, run_forward
+from weekloom.operators.pooled import SCHEMA, lag_design, of_weeks, reach, rows_of, run_forward
 
 #: (values, steps, season) to points and spreads of one series.
 Fit = Callable[..., tuple[np.ndarray, np.ndarray]]
@@ -228,42 +227,6 @@ def linear_global(filled: DataFrame, protocol: Protocol, ridge: float = 1.0) ->
     return pooled.forecast(filled, pooled.direct(protocol), protocol, ridge)
 
 
-def gbt_global(filled: DataFrame, protocol: Protocol, trees: int = 10, depth: int = 4, seed: int | None = None) -> DataFrame:
-    """Boosted trees on the lags of all series, one model a fold, applied to its own forecasts step by step.
-
-    The spread is the residual root mean square of one step, growing with the square root of the steps.
-    """
-    season, back = protocol.season, reach(protocol.season)
-    names = [f"lag{k}" for k in (*LAGS, season)] + [f"mean{k}" for k in (4, 13, season)]
-
-    def features(path: str, end: Column) -> list[Column]:
-        """Of the values of the array ``path`` before its element ``end`` (counted from 1)."""
-        at = lambda k: F.element_at(path, (end - k).cast("int"))
-        mean = lambda k: F.aggregate(F.slice(path, (end - k).cast("int"), k), F.lit(0.0), lambda s, x: s + x) / k
-        return [*[at(k).alias(f"lag{k}") for k in (*LAGS, season)], *[mean(k).alias(f"mean{k}") for k in (4, 13, season)]]
-
-    whole = contexts(filled).withColumn("scale", F.greatest(F.aggregate("context", F.lit(0.0), lambda s, x: s + F.abs(x)) / F.size("context"), F.lit(1e-9)))
-    whole = whole.where(F.size("context") > back).select(*SERIES, "scale", F.transform("context", lambda x: x / F.col("scale")).alias("path"))
-    assembler = VectorAssembler(inputCols=names, outputCol="features")
-    out = None
-    for fold in sorted(r["fold"] for r in filled.select("fold").distinct().collect()):  # folds
-        own = whole.where(F.col("fold") == fold)
-        weeks = own.select("path", F.explode(F.sequence(F.lit(back + 1), F.size("path"))).alias("end"))
-        train = assembler.transform(weeks.select(*features("path", F.col("end")), F.element_at("path", F.col("end")).alias("label"))).select("features", "label")
-        model = GBTRegressor(maxIter=trees, maxDepth=depth, seed=protocol.seed if seed is None else seed).fit(train)
-        sigma = model.transform(train).agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))).first()[0]
-        state = own.select(*SERIES, "scale", F.slice("path", F.size("path") - back + 1, F.lit(back)).alias("path"))
-        for k in range(protocol.longest):
-            seen = assembler.transform(state.select("*", *features("path", F.size("path") + 1)))
-            state = model.transform(seen).select(*SERIES, "scale", F.concat("path", F.array("prediction")).alias("path"))
-        made = state.select("fold", "unique_id", "scale", F.posexplode(F.slice("path", back + 1, protocol.longest)).alias("k", "v"))
-        part = made.select(F.lit("gbt_global").alias("model"), *SERIES, (F.col("k") + 1).alias("step"), (F.col("v") * F.col("scale")).alias("yhat"), (F.lit(sigma) * F.col("scale") * F.sqrt(F.col("k") + 1)).alias("spread"))
-        out = part if out is None else out.unionByName(part)
-    every = filled.select(*SERIES).distinct().withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(protocol.longest))))
-    out = every.join(out.drop("model"), [*SERIES, "step"], "left")  # series that are too short for the lags
-    return out.select(F.lit("gbt_global").alias("model"), *SERIES, "step", "yhat", F.when(F.col("yhat").isNotNull(), widened(F.col("yhat"), F.col("spread"), protocol)).alias("q"))
-
-
 def plugin(filled: DataFrame, protocol: Protocol, name: str, forecast: Callable[[np.ndarray, np.ndarray, int], np.ndarray], context: int = 104) -> DataFrame:
     """Batch inference by a function of (contexts, masks, steps) that gives quantiles (series x steps x levels)."""
     steps, middle = protocol.longest, protocol.levels.index(0.5)

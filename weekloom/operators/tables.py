@@ -92,7 +92,7 @@ def cost_table(timings: DataFrame, usd_per_hour: float | None = None) -> DataFra
 
 
 def cost_per_1k(timings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One fit plus one predict by model and horizon: the horizon's own median fit, else the model's; relative to the cheapest."""
+    """One fit plus one predict by model and horizon: the horizon's own median fit, else the model's; relative to the cheapest.  ``timings`` are of 1,000 series (see ``per_thousand``)."""
     ok = timings.where("status = 'ok'")
     fresh = ok.where("NOT fit_reused")
     keys = [*by, "model"]
@@ -104,6 +104,12 @@ def cost_per_1k(timings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(*keys, "horizon", "fit_s", "predict_s", "per1k_s", rel.alias("rel"), "tuning_trials", "n_params")
 
 
+def per_thousand(timings: DataFrame) -> DataFrame:
+    """Measured seconds as those of 1,000 series, for units of any size."""
+    scale = F.try_divide(F.lit(1000.0), F.nullif("n_series", F.lit(0)))
+    return timings.withColumns({c: F.col(c) * scale for c in ("fit_seconds", "predict_seconds")})
+
+
 def fold_timings(timings: DataFrame) -> DataFrame:
     return timings.where("status = 'ok'").groupBy("model", "horizon", "fold").agg(F.median("fit_seconds").alias("fit_s"), F.median("predict_seconds").alias("predict_s"))
 

@@ -139,11 +139,11 @@ def models(spark, d) -> list[backtest.Model]:
     by_rule = {"naive": baselines.naive, "seasonal_naive": baselines.seasonal_naive, "mean_13": baselines.window_mean}
     pooled = {"ridge_global": forecasters.ridge_global, "linear_global": forecasters.linear_global}
     return [
-        *[backtest.Model(name, lambda rows, _, fit=fit: fit(rows, PROTOCOL), "baseline") for name, fit in by_rule.items()],
-        *[backtest.Model(name, lambda rows, _, name=name, fit=fit: forecasters.per_series(rows, name, fit, PROTOCOL)) for name, fit in forecasters.LOCAL.items()],
+        *[backtest.Model(name, lambda rows, _, fit=fit: fit(rows, PROTOCOL), "baseline", one_pass=True) for name, fit in by_rule.items()],
+        *[backtest.Model(name, lambda rows, _, name=name, fit=fit: forecasters.per_series(rows, name, fit, PROTOCOL), one_pass=True) for name, fit in forecasters.LOCAL.items()],
         *[backtest.Model(name, lambda rows, _, fit=fit: fit(rows, PROTOCOL), "global", covariates=False if name == "ridge_global" else None) for name, fit in pooled.items()],
         backtest.Model("ridge_global", lambda rows, _: forecasters.ridge_global(rows, PROTOCOL, future=ahead), "global", covariates=True),
-        backtest.Model("gbt_global", lambda rows, seed: forecasters.gbt_global(rows, PROTOCOL, seed=seed), "global"),
+        backtest.Model("gbt_global", lambda rows, seed: forecasters.gbt_global(rows, PROTOCOL, seed=seed), "global", repeats=3),
     ]
 
 
@@ -155,7 +155,7 @@ def store(spark, d) -> str:
     key = spark.sparkContext.applicationId, d
     if key not in _stores:
         root = f"{root_of(spark)}/{uuid.uuid4().hex}"
-        backtest.run(filled_known(spark, d), actual(spark, d), denominators(spark, d), models(spark, d), PROTOCOL, root)
+        backtest.run(filled_known(spark, d), actual(spark, d), denominators(spark, d), models(spark, d), PROTOCOL, root, workers=4)
         _stores[key] = root
     return _stores[key]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -357,7 +358,68 @@ def backtest_models(spark, d):
 @query
 def backtest_cost(spark, d):
     """Measured seconds of the fits and predictions of all models."""
-    return tables.cost_per_1k(tables.label_ablation_arms(_stored(spark, d)[1]))
+    return tables.cost_per_1k(tables.per_thousand(tables.label_ablation_arms(_stored(spark, d)[1])))
+
+
+def _arms(spark, d):
+    """Scores of every model arm, whose name tells those with covariates apart."""
+    return tables.label_ablation_arms(_stored(spark, d)[0]).groupBy("model", "fold", "horizon", "unique_id", "metric").agg(F.avg("value").alias("value"), F.max("n_undefined").alias("n_undefined"))
+
+
+def _both_horizons(make):
+    """The result of ``make(horizon)`` for each horizon of the protocol, with its column."""
+    parts = [make(h).withColumn("horizon", F.lit(h)) for h in P.horizons]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def arms_accuracy(spark, d):
+    return tables.accuracy_table(_arms(spark, d), "MASE")
+
+
+@query
+def arms_dm(spark, d):
+    """Diebold-Mariano of every pair of model arms, at both horizons."""
+    return _both_horizons(lambda h: stats.dm_p_values(stats.dm_clustered(tables.blocks(_arms(spark, d), "MASE", h)).withColumn("df", (F.col("n_clusters") - 1).cast("double"))))
+
+
+@query
+def arms_ranks(spark, d):
+    """Mean ranks of all model arms at both horizons, and what the critical difference says of each pair."""
+    return _both_horizons(lambda h: stats.nemenyi(tables.blocks(_arms(spark, d), "MASE", h)))
+
+
+@query
+def arms_friedman(spark, d):
+    return _both_horizons(lambda h: stats.friedman(tables.blocks(_arms(spark, d), "MASE", h)))
+
+
+@query
+def arms_wilcoxon(spark, d):
+    """Signed ranks of every pair of model arms at both horizons, with p-values after Holm within a horizon."""
+
+    def tests(h):
+        pairs = stats.paired(tables.blocks(_arms(spark, d), "MASE", h), ["unique_id"])
+        return stats.holm(stats.wilcoxon_p(stats.wilcoxon(pairs, ["model_a", "model_b"]))).drop("ties")
+
+    return _both_horizons(tests)
+
+
+@query
+def arms_tied_with_best(spark, d):
+    def tied(h):
+        tests = stats.dm_p_values(stats.dm_clustered(tables.blocks(_arms(spark, d), "MASE", h)).withColumn("df", (F.col("n_clusters") - 1).cast("double")))
+        return tables.tied_with_best(tables.accuracy_table(_arms(spark, d), "MASE").where(F.col("horizon") == h), tests)
+
+    return _both_horizons(tied)
+
+
+@query
+def arms_pareto(spark, d):
+    """Model arms that no other beats in both measured cost and median error, at both horizons."""
+    cost = tables.cost_per_1k(tables.per_thousand(tables.label_ablation_arms(_stored(spark, d)[1])))
+    both = tables.accuracy_table(_arms(spark, d), "MASE").join(cost.select("model", "horizon", F.col("per1k_s").alias("cost")), ["model", "horizon"])
+    return _both_horizons(lambda h: tables.pareto(both.where(F.col("horizon") == h).select("model", "cost", F.col("median").alias("error")), "cost", "error"))
 
 
 @query
