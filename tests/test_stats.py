@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,26 @@ def test_bootstrap_is_reproducible(spark):
     assert band.low == band.high == 3.0
 
 
+def test_poisson_weights_are_drawn_evenly():
+    """Mean and variance are 1, rows and resamples do not hang together, and a draw depends on its seed and number alone."""
+    seeds = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
+    w = stats.poisson_weights(seeds, 400).astype(float)
+    share = [math.exp(-1) / math.factorial(k) for k in range(5)]
+    assert np.allclose([(w == k).mean() for k in range(5)], share, atol=0.004)
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.15 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.15
+    assert np.abs(np.corrcoef(w)[np.triu_indices(500, 1)]).mean() < 0.06
+    assert np.array_equal(stats.poisson_weights(seeds[7:8], 30)[0], w[7, :30])
+
+
+def test_bootstrap_of_means_against_plain_draws(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, f"s{k}", float(v)) for g in ("a", None) for k, v in enumerate(rng.normal(3, 2, 200))] + [("a", "none", None)]
+    got = {r.g: r for r in stats.bootstrap_mean(spark.createDataFrame(rows, "g string, unique_id string, value double"), ["g"], ["unique_id"], 500, "1").collect()}
+    values = np.array([v for g, _, v in rows if g == "a" and v is not None])
+    plain = np.quantile([np.mean(rng.choice(values, 200)) for _ in range(4000)], [0.025, 0.975])
+    assert got["a"].n == 200 and np.allclose([got["a"].low, got["a"].high], plain, atol=0.08)
+
+
 def test_pareto_and_best(spark):
     rows = spark.createDataFrame([(1, 1.0, 0.5), (2, 2.0, 0.6), (3, 3.0, 0.4), (4, 0.5, 0.9)], "row int, cost double, error double")
     assert {r.row for r in tables.pareto(rows, "cost", "error").collect()} == {1, 3, 4}

@@ -6,8 +6,9 @@ Statistics are grouped aggregations; p-values are computed for tens of rows by a
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,28 +163,58 @@ def hash_index(seed: str, columns: list[Column], n: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long") % n
 
 
-#: Distribution function of the Poisson distribution of mean 1 at 0, 1, 2, ..., as 48-bit numbers in hexadecimal digits.
-POISSON = tuple(f"{int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 16**12):012x}" for k in range(12))
+#: Distribution function of the Poisson distribution of mean 1 at 0, 1, 2, ..., as 48-bit numbers.
+POISSON = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**48) for k in range(12))
+#: The step and the multipliers of the counter-based generator (splitmix64).
+STEP, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-def poisson_weight(digits: Column) -> Column:
-    """A draw from the Poisson distribution of mean 1, from twelve hexadecimal digits drawn evenly: they compare as the numbers do."""
-    return reduce(lambda total, p: total + (digits >= p).cast("int"), POISSON[1:], (digits >= POISSON[0]).cast("int"))
+def poisson_weights(seeds: np.ndarray, resamples: int) -> np.ndarray:
+    """Draws from the Poisson distribution of mean 1 (seeds x resamples): the b-th is a function of the seed and b alone."""
+    steps = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(STEP)
+    x = seeds[:, None] ^ steps
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(FIRST)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(SECOND)
+    x ^= x >> np.uint64(31)
+    x >>= np.uint64(16)
+    weight = (x >= np.uint64(POISSON[0])).astype(np.uint8)
+    for p in POISSON[1:]:
+        weight += x >= np.uint64(p)
+    return weight
 
 
-def bootstrap_mean(values: DataFrame, group: list[str], keys: list[str], resamples: int, seed: str, alpha: float = 0.05) -> DataFrame:
+def bootstrap_mean(values: DataFrame, group: list[str], keys: list[str], resamples: int, seed: str, alpha: float = 0.05, block: int = 128) -> DataFrame:
     """Percentile interval of the mean of ``value`` by group.  In each resample a row (told by ``keys``) counts a Poisson number of times.
 
-    Rows need no numbers and no join, and each task adds up its resamples before anything is shuffled.
+    Rows need no numbers and no join.  A task draws for a block of rows and all resamples at once and adds up, so what is shuffled are two
+    sums for each resample, group and task, and the result is the same at any partitioning.
     """
     rows = values.where(F.col("value").isNotNull())
     sizes = rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    drawn = rows.select(*group, *keys, "value", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    text = F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), *[F.col(k).cast("string") for k in keys])
-    drawn = drawn.select(*group, "b", "value", F.substring(F.md5(text.cast("binary")), 1, 12).alias("digits")).where(F.col("digits") >= POISSON[0])
-    drawn = drawn.select(*group, "b", "value", poisson_weight(F.col("digits")).alias("w"))
-    means = drawn.groupBy(*group, "b").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("m"))
-    ends = means.groupBy(*group).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))  # a value per resample
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    half = lambda start: F.conv(F.substring(digest, start, 8), 16, 10).cast("long")
+    seeded = rows.select(*group, F.col("value").cast("double").alias("value"), half(1).alias("high_half"), half(9).alias("low_half"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        for part in batches:
+            for key, own in part.groupby(group, dropna=False):
+                seeds = own["high_half"].to_numpy().astype(np.uint64) << np.uint64(32) | own["low_half"].to_numpy().astype(np.uint64)
+                key = tuple(None if pd.isna(k) else k for k in key)
+                value, sums = own["value"].to_numpy(), total.setdefault(key, np.zeros((2, resamples)))
+                for lo in range(0, len(own), block):
+                    weight = poisson_weights(seeds[lo : lo + block], resamples).astype(np.float64)
+                    sums[0] += weight.sum(axis=0)
+                    sums[1] += value[lo : lo + block] @ weight
+        for key, sums in total.items():
+            yield pd.DataFrame([[*key, sums[0], sums[1]]], columns=[*group, "w", "wv"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seeded.select(*group).schema)
+    sums = seeded.mapInPandas(run, f"{schema}, w array<double>, wv array<double>")
+    each = sums.select(*group, F.posexplode(F.arrays_zip("w", "wv")).alias("b", "x")).groupBy(*group, "b").agg((F.sum("x.wv") / F.nullif(F.sum("x.w"), F.lit(0.0))).alias("m"))
+    ends = each.groupBy(*group).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))  # a value per resample
     return sizes.join(ends, group)
 
 

@@ -10,7 +10,7 @@ from statistics import NormalDist
 
 from weekloom.config import PROTOCOL as P
 from weekloom.functions.distributions import range_quantile
-from weekloom.operators.stats import POISSON
+from weekloom.operators.stats import FIRST, POISSON, SECOND, STEP
 from weekloom.plans.queries import places
 from weekloom.sources.raw import EXPORT_SQL, SALES_TABLES
 
@@ -157,6 +157,11 @@ def _median(metric: str, horizon: int | None = None) -> str:
     return f"median(value) FILTER (WHERE metric = '{metric}'" + (f" AND horizon = {horizon})" if horizon else ")")
 
 
+def _times(x: str, factor: int) -> str:
+    """A product modulo 2**64."""
+    return f"(({x}::UHUGEINT * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
 def _draws(groups: str, group: str, resamples: int) -> str:
     return f"(SELECT {group}, b, CAST(('0x' || substr(md5('42|' || b || '|' || i), 1, 12)) AS BIGINT) % n AS j FROM {groups}, range({resamples}) AS t(b), LATERAL (SELECT unnest(range(n)) AS i))"
 
@@ -249,16 +254,19 @@ SELECT best AS model FROM best_ UNION SELECT CASE WHEN model_a = best THEN model
 SELECT pos AS first_rank, last AS last_rank FROM e WHERE last > pos AND NOT EXISTS (SELECT 1 FROM e f WHERE f.pos < e.pos AND f.last >= e.last)""",
     "wilcoxon_holm": "SELECT * FROM wilcoxon",
     "holm_adjust": "SELECT * FROM holms",
-    "bootstrap_skill": f"""WITH v AS (SELECT model, horizon, unique_id, fold, skill AS value FROM skills WHERE skill IS NOT NULL),
-w AS (SELECT model, horizon, b, value, len(list_filter({list(POISSON)}, lambda p: u >= p)) AS w FROM (SELECT *, substr(md5('42|' || b || '|' || unique_id || '|' || fold), 1, 12) AS u FROM v, range(2000) r(b))),
+    "bootstrap_skill": f"""WITH v AS (SELECT model, horizon, skill AS value, ('0x' || substr(md5('42|' || unique_id || '|' || fold), 1, 16))::UBIGINT AS seed FROM skills WHERE skill IS NOT NULL),
+x0 AS (SELECT model, horizon, b, value, xor(seed, {_times("(b + 1)", STEP)}) AS x FROM v, range(2000) r(b)),
+x1 AS (SELECT * REPLACE (xor(x, x >> 30) AS x) FROM x0), x2 AS (SELECT * REPLACE ({_times("x", FIRST)} AS x) FROM x1), x3 AS (SELECT * REPLACE (xor(x, x >> 27) AS x) FROM x2),
+x4 AS (SELECT * REPLACE ({_times("x", SECOND)} AS x) FROM x3), x5 AS (SELECT * REPLACE (xor(x, x >> 31) >> 16 AS x) FROM x4),
+w AS (SELECT model, horizon, b, value, {" + ".join(f"(x >= {p})::BIGINT" for p in POISSON)} AS w FROM x5),
 m AS (SELECT model, horizon, b, sum(w * value) / sum(w) AS m FROM w GROUP BY ALL)
 SELECT model, horizon, n, mean, low, high FROM (SELECT model, horizon, count(*) AS n, avg(value) AS mean FROM v GROUP BY ALL) JOIN (SELECT model, horizon, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY ALL) USING (model, horizon)""",
     "ladder_scan": "SELECT n_series, count(*) AS n_rows, count(DISTINCT unique_id) AS n_ids, count(DISTINCT model) AS n_models FROM rungs GROUP BY n_series",
     "common_series": "SELECT * FROM common",
     "scaling_table": "SELECT *, run_s_h4 * 1000 / n_series AS per1k_s_h4, run_s_h13 * 1000 / n_series AS per1k_s_h13 FROM (SELECT model, n_series, count(DISTINCT unique_id) AS eval_series, " + ", ".join(f"{_median(m, h)} AS {m}_h{h}" for m in ("MASE", "RMSSE") for h in (4, 13)) + " FROM rungs WHERE unique_id IN (SELECT unique_id FROM common) GROUP BY model, n_series) LEFT JOIN (SELECT model, n_series, " + ", ".join(f"max({c}) FILTER (WHERE horizon = {h}) AS {n}_h{h}" for h in (4, 13) for c, n in (("fit_s", "fit_s"), ("per1k_s", "run_s"))) + " FROM rung_per_1k GROUP BY model, n_series) USING (model, n_series)",
-    "scaling_band": f"""WITH v AS (SELECT model, n_series, unique_id, value FROM rungs WHERE metric = 'MASE' AND horizon = 4), ids AS (SELECT *, row_number() OVER (PARTITION BY model, n_series ORDER BY unique_id) - 1 AS j FROM (SELECT DISTINCT model, n_series, unique_id FROM v)),
-g AS (SELECT model, n_series, count(*) AS n FROM ids GROUP BY ALL), m AS (SELECT d.model, d.n_series, b, median(value) AS m FROM {_draws("g", "model, n_series", 50)} d JOIN ids ON ids.model = d.model AND ids.n_series = d.n_series AND ids.j = d.j JOIN v ON v.model = d.model AND v.n_series = d.n_series AND v.unique_id = ids.unique_id GROUP BY ALL)
-SELECT model, n_series, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY model, n_series""",
+    "scaling_band": f"""WITH v AS (SELECT model, n_series, horizon, unique_id, value FROM rungs WHERE metric = 'MASE'), ids AS (SELECT *, row_number() OVER (PARTITION BY model, n_series, horizon ORDER BY unique_id) - 1 AS j FROM (SELECT DISTINCT model, n_series, horizon, unique_id FROM v)),
+g AS (SELECT model, n_series, horizon, count(*) AS n FROM ids GROUP BY ALL), m AS (SELECT d.model, d.n_series, d.horizon, b, median(value) AS m FROM {_draws("g", "model, n_series, horizon", 300)} d JOIN ids ON ids.model = d.model AND ids.n_series = d.n_series AND ids.horizon = d.horizon AND ids.j = d.j JOIN v ON v.model = d.model AND v.n_series = d.n_series AND v.horizon = d.horizon AND v.unique_id = ids.unique_id GROUP BY ALL)
+SELECT model, n_series, horizon, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY model, n_series, horizon""",
     "reference_levels": "SELECT * FROM levels",
     "crossovers": "SELECT * FROM crossed",
     "crossover_report": "SELECT model, horizon, coalesce(format('{:,}', first_n_below), 'none') AS first_below, format('{:,}', max_n) AS largest FROM crossed",

@@ -617,8 +617,8 @@ def scaling_table(spark, d):
 
 @query
 def scaling_band(spark, d):
-    rows = fx.rungs(spark, d).where("metric = 'MASE' AND horizon = 4")
-    return stats.bootstrap_median_band(rows.select("model", "n_series", "unique_id", "value"), ["model", "n_series"], 50, str(P.seed))
+    rows = fx.rungs(spark, d).where("metric = 'MASE'")
+    return stats.bootstrap_median_band(rows.select("model", "n_series", "horizon", "unique_id", "value"), ["model", "n_series", "horizon"], 300, str(P.seed))
 
 
 @query
