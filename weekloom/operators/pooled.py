@@ -265,3 +265,18 @@ def ladder(filled: DataFrame, rungs: DataFrame, models: list[Pooled], protocol:
         made = predicted(kept.select(*SERIES, "context"), model, fits, protocol)
         out = made if out is None else out.unionByName(made)
     return out
+
+
+def tune(filled: DataFrame, actual: DataFrame, denominators: DataFrame, models: list[Pooled], penalties: dict[str, list[float]], protocol: Protocol) -> DataFrame:
+    """Mean MASE of each model with each of its penalties (model, trial, params, value, status), of one fold: a single pass for the equations of a model, whatever the number of trials."""
+    whole, out = gathered(filled), None
+    for model in models:
+        fits = {fold: [(k, *fit) for k, fit in enumerate(moments.solved(penalties[model.name]))] for (fold,), moments in summed(whole, model).items()}
+        made = predicted(whole, model, fits, protocol)
+        made = made if "n_series" in made.columns else made.withColumn("n_series", F.lit(0).cast("long"))
+        scored = made.join(actual.select("unique_id", "step", "y"), ["unique_id", "step"]).join(denominators.select("unique_id", "mase_den"), "unique_id")
+        per = scored.groupBy("n_series", "unique_id").agg((F.avg(F.abs(F.col("y") - F.col("yhat"))) / F.first(F.nullif("mase_den", F.lit(0.0)))).alias("mase"))
+        params = F.element_at(F.array(*[F.lit(f"ridge={p}") for p in penalties[model.name]]), (F.col("n_series") + 1).cast("int"))
+        by = per.groupBy("n_series").agg(F.avg("mase").alias("value")).select(F.lit(model.name).alias("model"), F.col("n_series").cast("int").alias("trial"), params.alias("params"), "value", F.when(F.col("value").isNull(), "failed").otherwise("ok").alias("status"))
+        out = by if out is None else out.unionByName(by)
+    return out

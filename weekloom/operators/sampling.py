@@ -118,6 +118,18 @@ def ids_digest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("n_series").agg(F.substring(F.sha2(joined.cast("binary"), 256), 1, 16).alias("digest"))
 
 
+def ids_tree_digest(rows: DataFrame, parts: int = 4096) -> DataFrame:
+    """A digest of each rung's set of ids that can be merged: ids are dealt to ``parts`` by their own hash, each part's sorted ids are hashed, and then the parts' hashes in order.
+
+    The same at any partitioning; no array holds more than a part's ids.
+    """
+    part = F.pmod(F.conv(F.substring(F.md5(F.col("unique_id").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(parts))
+    joined = F.array_join(F.array_sort(F.collect_list("unique_id")), "\n")
+    leaves = rows.select("n_series", "unique_id", part.alias("part")).groupBy("n_series", "part").agg(F.sha2(joined.cast("binary"), 256).alias("leaf"))
+    tree = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "leaf"))), lambda x: F.concat_ws(":", x.part.cast("string"), x.leaf)), "\n")  # at most parts
+    return leaves.groupBy("n_series").agg(F.substring(F.sha2(tree.cast("binary"), 256), 1, 16).alias("digest"))
+
+
 def nesting(rows: DataFrame) -> DataFrame:
     """For each rung the number of its series that the next rung lacks (0 if nested)."""
     sizes = rows.select("n_series").distinct()

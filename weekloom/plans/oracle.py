@@ -207,6 +207,12 @@ SELECT n_series, unique_id, stratum FROM ordered JOIN sizes ON nth <= n_series""
     "stratified_sample": "SELECT unique_id, stratum FROM ladder WHERE n_series = (SELECT count(*) // 2 FROM labelled)",
     "stratum_report": "SELECT decile, count(*) AS n_series, count(*) FILTER (WHERE zero_bin > 0) AS n_intermittent, min(total_volume) AS least_volume, max(total_volume) AS most_volume, count(DISTINCT stratum) AS n_strata FROM labelled GROUP BY decile",
     "ids_digest": "SELECT n_series, substr(sha256(string_agg(unique_id, chr(10) ORDER BY unique_id)), 1, 16) AS digest FROM ladder GROUP BY n_series",
+    "ids_tree_digest": """WITH leaves AS (SELECT n_series, ('0x' || substr(md5(unique_id), 1, 8))::BIGINT % 4096 AS part, sha256(string_agg(unique_id, chr(10) ORDER BY unique_id)) AS leaf FROM ladder GROUP BY ALL)
+SELECT n_series, substr(sha256(string_agg(part || ':' || leaf, chr(10) ORDER BY part)), 1, 16) AS digest FROM leaves GROUP BY n_series""",
+    "csv_scan": """SELECT internal_id, 'kept' AS outcome, count(*) AS n_rows, count(Dollars) AS n_amounts, count(DISTINCT Time_Period_End_Date) AS n_weeks FROM raw_export
+WHERE weekofyear(Time_Period_End_Date) % 13 <> 5 AND Geography_Level = 'MARKET' AND Channel_Outlet = 'CONVENTIONAL|MULTI OUTLET' GROUP BY internal_id
+UNION ALL SELECT internal_id, 'bad date', count(*), 0, 0 FROM raw_export WHERE weekofyear(Time_Period_End_Date) % 13 = 5 GROUP BY internal_id
+UNION ALL SELECT DISTINCT internal_id, 'malformed', 1, 0, 0 FROM raw_export""",
     "ladder_nesting": "SELECT a.n_series, a.next_n, count(*) FILTER (WHERE b.unique_id IS NULL) AS n_missing FROM (SELECT *, (SELECT min(n_series) FROM sizes s WHERE s.n_series > l.n_series) AS next_n FROM ladder l) a LEFT JOIN ladder b ON b.n_series = a.next_n AND b.unique_id = a.unique_id WHERE a.next_n IS NOT NULL GROUP BY ALL",
     "lag_features": "SELECT unique_id, ds, y, " + ", ".join(f"round(lag(y, {k}) OVER w, 4) AS lag_{k}" for k in (1, 2, 3, 4, 13, 26, 52)) + ", " + ", ".join(f"CASE WHEN count(y) OVER (w ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) = {k} THEN avg(y) OVER (w ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) END AS mean_{k}" for k in (4, 13, 52)) + ", CAST(weekofyear(ds) AS INTEGER) AS week, CAST(month(ds) AS INTEGER) AS month, CAST(quarter(ds) AS INTEGER) AS quarter FROM panel WINDOW w AS (PARTITION BY unique_id ORDER BY ds)",
     "context_tail": "SELECT unique_id, CAST(len(context) AS INTEGER) AS n, array_to_string(list_transform(context, lambda x: CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), ',') AS context FROM tail104",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.config import PROTOCOL as P
-from weekloom.operators import backtest, baselines, features, forecasters, panel, runs, sampling, scaling, score, split, stats, tables
+from weekloom.operators import backtest, baselines, features, forecasters, panel, pooled, runs, sampling, scaling, score, split, stats, tables
 from weekloom.plans import fixtures as fx
+from weekloom.sources.scratch import root_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -50,6 +52,25 @@ def raw_scan_scoped(spark, d):
     return panel.scoped(fx.raw(spark, d), P).select("internal_id", "Geography", "Time_Period_End_Date", "Dollars", "Units", "ARP")
 
 
+@query
+def csv_scan(spark, d):
+    """The export written as CSV, some weeks of it without a date, with a broken line for each product; read back, bad rows set aside."""
+    from weekloom.sources.raw import scan_csv_apart
+
+    path, export = f"{root_of(spark)}/{uuid.uuid4().hex}", fx.raw(spark, d)
+    undated = F.weekofyear("Time_Period_End_Date") % 13 == 5
+    text = export.withColumn("Time_Period_End_Date", F.when(undated, F.lit("n/a")).otherwise(F.col("Time_Period_End_Date").cast("string")))
+    text.write.csv(path, header=True, nullValue="null")
+    broken = F.concat("internal_id", F.lit(",only,three fields"))
+    header = ",".join(export.columns)
+    lines = export.select(broken.alias("line")).distinct()  # a line a product
+    lines.agg(F.concat(F.lit(header + "\n"), F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("value")).write.mode("append").text(path)
+    kept, aside = scan_csv_apart(spark, path, P)
+    good = kept.groupBy("internal_id").agg(F.lit("kept").alias("outcome"), F.count("*").alias("n_rows"), F.count("Dollars").alias("n_amounts"), F.count_distinct("Time_Period_End_Date").alias("n_weeks"))
+    bad = aside.groupBy("internal_id", F.col("reason").alias("outcome")).agg(F.count("*").alias("n_rows"), F.lit(0).cast("long").alias("n_amounts"), F.lit(0).cast("long").alias("n_weeks"))
+    return good.unionByName(bad)
+
+
 @query
 def coerce_numeric(spark, d):
     from weekloom.sources.raw import coerce_numeric as coerce
@@ -205,6 +226,11 @@ def ids_digest(spark, d):
     return sampling.ids_digest(fx.ladder(spark, d))
 
 
+@query
+def ids_tree_digest(spark, d):
+    return sampling.ids_tree_digest(fx.ladder(spark, d))
+
+
 @query
 def ladder_nesting(spark, d):
     return sampling.nesting(fx.ladder(spark, d))
@@ -751,8 +777,8 @@ SPACES = {"ets_grid": [("alphas", "log", 0.02, 0.8)], "fourier_trend": [("ridge"
 TRIALS = 6
 
 
-def tuning_points(spark) -> list[tuple[str, int, dict]]:
-    rows = [(m, name, kind, low, high, [low, high]) for m, space in SPACES.items() for name, kind, low, high in space]
+def tuning_points(spark, spaces: dict[str, list] | None = None) -> list[tuple[str, int, dict]]:
+    rows = [(m, name, kind, low, high, [low, high]) for m, space in (spaces or SPACES).items() for name, kind, low, high in space]
     grid = runs.param_grid(spark.createDataFrame(rows, "model string, parameter string, kind string, low double, high double, choices array<double>"), TRIALS, str(P.seed))
     found: dict[tuple[str, int], dict] = {}
     for r in grid.collect():  # models x trials x parameters
@@ -766,4 +792,8 @@ def tune_models(spark, d):
     start = split.tuning_origin(fx.folds(spark, d), P).select(F.lit(0).alias("fold"), F.col("tuning_origin").alias("origin"))
     rows = fx.eligible_panel(spark, d)
     train = split.impute(split.training(rows, start).select("fold", "origin", "unique_id", "ds", "y"), ("fold", "unique_id"))
-    return forecasters.tune(train, split.test_window(rows, start, P), fx.denominators(spark, d), tuning_points(spark), forecasters.LOCAL, P)
+    ahead = split.test_window(rows, start, P)
+    local = forecasters.tune(train, ahead, fx.denominators(spark, d), tuning_points(spark), forecasters.LOCAL, P)
+    models = [pooled.lagged(P), pooled.direct(P)]
+    penalties = {m.name: [p["ridge"] for name, _, p in tuning_points(spark, {m.name: [("ridge", "log", 0.01, 1000.0)]}) if name == m.name] for m in models}
+    return local.unionByName(pooled.tune(train, ahead, fx.denominators(spark, d), models, penalties, P))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.config import Protocol
+from weekloom.sources.scratch import written
 
 REQUIRED = ("internal_id", "Geography", "Time_Period_End_Date", "Geography_Level", "Channel_Outlet", "Dollars", "Units", "ARP")
 CSV_SCHEMA = "internal_id string, Geography string, Time_Period_End_Date string, Geography_Level string, Channel_Outlet string, Dollars string, Units string, ARP string"
@@ -41,6 +42,23 @@ def scan_csv(spark: SparkSession, path: str, protocol: Protocol) -> DataFrame:
     return rows
 
 
+def scan_csv_apart(spark: SparkSession, path: str, protocol: Protocol) -> tuple[DataFrame, DataFrame]:
+    """The rows in scope of a CSV export, and the rows set aside: reason, line, internal_id.
+
+    ``malformed``: not as many fields as columns (line has its text); ``no key``: no product or geography; ``bad date``: a week that is no date.
+    The files are parsed once, into a table that both results read.
+    """
+    options = {"header": True, "nullValue": "null", "columnNameOfCorruptRecord": "malformed_line", "mode": "PERMISSIVE"}
+    parsed = written(spark.read.options(**options).schema(f"{CSV_SCHEMA}, malformed_line string").csv(path))
+    week = F.col("Time_Period_End_Date").try_cast("date")
+    no_key = F.col("internal_id").isNull() | F.col("Geography").isNull()
+    reason = F.when(F.col("malformed_line").isNotNull(), "malformed").when(no_key, "no key").when(week.isNull(), "bad date")
+    judged = parsed.withColumn("reason", reason)
+    aside = judged.where("reason IS NOT NULL").select("reason", F.col("malformed_line").alias("line"), "internal_id")
+    good = judged.where("reason IS NULL").drop("reason", "malformed_line")
+    return coerce_numeric(good.where(in_scope(protocol))).withColumn("Time_Period_End_Date", week), aside
+
+
 #: Plain SQL that Spark and other engines run alike: weekly sales by product and region, where a brand is as many products as there
 #: are hundreds of suppliers, so that the number of series grows with the tables; with a coarser geography level, a second channel, weeks without a row and weeks whose amount is unknown.
 EXPORT_SQL = """
