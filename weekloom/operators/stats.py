@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions import distributions as dist
+from weekloom.operators import ranks
+from weekloom.sources.scratch import written
 
 
 def paired(rows: DataFrame, keys: list[str], model_a: str = "model_a", model_b: str = "model_b") -> DataFrame:
@@ -116,18 +118,15 @@ def cd_cliques(ranks: DataFrame, cd: float) -> DataFrame:
 
 
 def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Signed ranks of a - b within ``by``: zeros dropped, ties share mean ranks.  Statistic is the lesser rank sum."""
+    """Signed ranks of a - b within ``by``: zeros dropped, ties share mean ranks.  Statistic is the lesser rank sum.  Ranks and medians go by ranges, so no task holds a whole pair."""
     d = F.round(F.col("a") - F.col("b"), 12)
-    rows = pairs.select(*by, d.alias("d")).where("d IS NOT NULL")
-    some = rows.where("d <> 0").withColumn("m", F.abs("d"))
-    same = F.count("*").over(Window.partitionBy(*by, "m"))
-    rank = F.rank().over(Window.partitionBy(*by).orderBy("m")) + (same - 1) / 2
-    sums = some.withColumn("rank", rank).withColumn("t", same).groupBy(*by).agg(
-        F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("minus"),
-        F.count("*").alias("n_nonzero"), F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("ties"),
-    )
-    every = rows.groupBy(*by).agg(F.count("*").alias("n"), F.median("d").alias("median_diff"), F.avg((F.col("d") < 0).cast("int")).alias("share_first_better"))
-    out = every.join(sums, by, "left").fillna(0, ["n_nonzero"]).fillna(0.0, ["plus", "minus", "ties"])
+    rows = written(pairs.select(*by, d.alias("d")).where("d IS NOT NULL"))
+    some = ranks.counted(rows.where("d <> 0").withColumn("m", F.abs("d")), by, "m", over=F.count_if(F.col("d") > 0))
+    n, rank = F.col("n"), ranks.mean_rank()
+    sums = some.groupBy(*by).agg(F.sum(F.col("over") * rank).alias("plus"), F.sum((n - F.col("over")) * rank).alias("minus"), F.sum("n").alias("n_nonzero"), F.sum(n * (n * n - 1)).cast("double").alias("ties"))
+    middle = ranks.quantiles(rows, by, "d", {"median_diff": 0.5})
+    share = rows.groupBy(*by).agg(F.avg((F.col("d") < 0).cast("int")).alias("share_first_better"))
+    out = middle.join(share, by).join(sums, by, "left").fillna(0, ["n_nonzero"]).fillna(0.0, ["plus", "minus", "ties"])
     n = F.col("n_nonzero").cast("double")
     sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
     statistic = F.least("plus", "minus")

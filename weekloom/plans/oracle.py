@@ -207,6 +207,7 @@ SELECT n_series, unique_id, stratum FROM ordered JOIN sizes ON nth <= n_series""
     "stratified_sample": "SELECT unique_id, stratum FROM ladder WHERE n_series = (SELECT count(*) // 2 FROM labelled)",
     "stratum_report": "SELECT decile, count(*) AS n_series, count(*) FILTER (WHERE zero_bin > 0) AS n_intermittent, min(total_volume) AS least_volume, max(total_volume) AS most_volume, count(DISTINCT stratum) AS n_strata FROM labelled GROUP BY decile",
     "ids_digest": "SELECT n_series, substr(sha256(string_agg(unique_id, chr(10) ORDER BY unique_id)), 1, 16) AS digest FROM ladder GROUP BY n_series",
+    "quantiles_by_ranges": "SELECT model, horizon, metric, count(value) AS n, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM metrics WHERE value IS NOT NULL AND metric IN ('MASE', 'RMSSE', 'sMAPE', 'MAPE', 'coverage_80') GROUP BY ALL",
     "ids_tree_digest": """WITH leaves AS (SELECT n_series, ('0x' || substr(md5(unique_id), 1, 8))::BIGINT % 4096 AS part, sha256(string_agg(unique_id, chr(10) ORDER BY unique_id)) AS leaf FROM ladder GROUP BY ALL)
 SELECT n_series, substr(sha256(string_agg(part || ':' || leaf, chr(10) ORDER BY part)), 1, 16) AS digest FROM leaves GROUP BY n_series""",
     "csv_scan": """SELECT internal_id, 'kept' AS outcome, count(*) AS n_rows, count(Dollars) AS n_amounts, count(DISTINCT Time_Period_End_Date) AS n_weeks FROM raw_export
@@ -350,6 +351,7 @@ DOUBLES: dict[str, str] = {
     "score_point": "value",
     "score_quantile": "value",
     "backtest_leaderboard": "median_mase",
+    "quantiles_by_ranges": "q25 q50 q75",
     "ablation_labels": "least",
     "accuracy_table": "median mean std",
     "main_accuracy": "MASE_h4 MASE_h13 RMSSE_h4 RMSSE_h13 sMAPE_h4 sMAPE_h13 coverage_80_h4 coverage_80_h13",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.config import PROTOCOL as P
-from weekloom.operators import backtest, baselines, features, forecasters, panel, pooled, runs, sampling, scaling, score, split, stats, tables
+from weekloom.operators import backtest, baselines, features, forecasters, panel, pooled, ranks, runs, sampling, scaling, score, split, stats, tables
 from weekloom.plans import fixtures as fx
 from weekloom.sources.scratch import root_of
 
@@ -315,6 +315,13 @@ def backtest_leaderboard(spark, d):
     return rows.groupBy("model", "horizon").agg(F.median("value").alias("median_mase"), F.count("value").alias("n_scores"), F.count_distinct("unique_id").alias("n_series"))
 
 
+@query
+def quantiles_by_ranges(spark, d):
+    """Quartiles of the scale-free metrics of every model, of groups of any size."""
+    rows = fx.metrics(spark, d).where(F.col("metric").isin("MASE", "RMSSE", "sMAPE", "MAPE", "coverage_80"))
+    return ranks.quantiles(rows, ["model", "horizon", "metric"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+
+
 def _model(name: str, fit) -> None:
     def run(spark, d):
         return forecasters.per_series(fx.filled(spark, d), name, fit, P).drop("q")
