@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from weekloom.llm.pretokens import byte_letters, default_path, tokenizer
 from weekloom.llm.textops import Scratch, ship, small, text_of
 
-BLOCK_BYTES = 16 << 20
-REMEMBERED = 300_000
+BLOCK_BYTES = 8 << 20
+REMEMBERED = 200_000
 REMEMBERED_BYTES = 32 << 20
 _SEGMENTS = re.compile("[ \n]+[^ \n]*").findall
 #: White space on which the vocabularies' rules, Unicode and ``re`` may differ.

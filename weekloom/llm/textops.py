@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +68,7 @@ def _power(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
                     more = min(have, size - have)
                     out[have : have + more] = _fold(out[:more] * np.uint64(pow(x, have, int(_PRIME))))
                     have += more
-                both.append(out)
+                both.append(out.astype(np.uint32))
             found.append(tuple(both))
         _powers[:] = found
     return _powers
@@ -95,14 +95,18 @@ class Hasher:
             self.down.append(down)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        one, two = (_fold(_fold(sums[ends] - sums[starts]) * down[starts]) for sums, down in zip(self.sums, self.down, strict=True))
-        return mix(one << _BITS | two)
+        return self._joined(lambda sums, down: _fold(_fold(sums[ends] - sums[starts]) * down[starts]))
 
     def windows(self, length: int) -> np.ndarray:
         """Of every substring of this length, by its start."""
         n = max(len(self.sums[0]) - length, 0)
-        one, two = (_fold(_fold(sums[length:] - sums[:n]) * down[:n]) for sums, down in zip(self.sums, self.down, strict=True))
-        return mix(one << _BITS | two)
+        return self._joined(lambda sums, down: _fold(_fold(sums[length:] - sums[:n]) * down[:n]))
+
+    def _joined(self, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        out = part(self.sums[0], self.down[0])
+        out <<= _BITS
+        out |= part(self.sums[1], self.down[1])
+        return mix(out)
 
 
 class Chunk:

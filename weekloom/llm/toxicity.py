@@ -152,7 +152,7 @@ def nnpu(kind: np.ndarray, rows: list[np.ndarray], densities: list[np.ndarray],
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, most_p: int = 4000, most_u: int = 12_000, least_z: float = 4.0, least_lift: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the features, and weights with the bias last.  Only rows where ``usable`` (an expression of doc_id) holds are learnt from."""
+    """Sorted keys of the features, and weights with the bias last.  A feature has to occur at least four times in the sample.  Only rows where ``usable`` (an expression of doc_id) holds are learnt from."""
     scratch = Scratch(docs.sparkSession)
     rows, prior = gather(docs, labels, usable, most_p, most_u)
     sample = scratch.put(rows.select(F.col("kind").cast("long"), "text"))
