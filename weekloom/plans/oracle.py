@@ -116,6 +116,11 @@ SELECT model_a, model_b, d, count(*) OVER (PARTITION BY model_a, model_b, abs(d)
     "wilcoxon": """SELECT p.model_a, p.model_b, n, coalesce(m, 0) AS n_nonzero, median_diff, share_first_better, least(coalesce(plus, 0), coalesce(minus, 0)) AS statistic,
 (least(coalesce(plus, 0), coalesce(minus, 0)) - m * (m + 1) / 4) / nullif(sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24), 0) AS z
 FROM (SELECT model_a, model_b, count(*) AS n, median(round(a - b, 12)) AS median_diff, avg(CASE WHEN round(a - b, 12) < 0 THEN 1.0 ELSE 0.0 END) AS share_first_better FROM pairs GROUP BY model_a, model_b) p LEFT JOIN rank_sums USING (model_a, model_b)""",
+    "rung_means": "SELECT n_series, model, horizon, unique_id, avg(value) AS value FROM rungs WHERE metric = 'MASE' AND unique_id IN (SELECT unique_id FROM common) GROUP BY ALL",
+    "rung_pairs": """SELECT t.model, t.horizon, 'N=' || hi || ' vs N=' || lo AS comparison, t.value AS a, l.value AS b FROM rung_means t, rung_means l, (SELECT min(n_series) AS lo, max(n_series) AS hi FROM rung_means)
+WHERE t.n_series = hi AND l.n_series = lo AND l.model = t.model AND l.horizon = t.horizon AND l.unique_id = t.unique_id
+UNION ALL SELECT p.model, p.horizon, 'N=' || n_series || ' vs seasonal_naive', p.value, r.b FROM rung_means p
+JOIN (SELECT horizon, unique_id, avg(value) AS b FROM metrics WHERE metric = 'MASE' AND model = 'seasonal_naive' GROUP BY ALL) r USING (horizon, unique_id)""",
     "dm_tests": """SELECT model_a, model_b, mean_diff, CAST(n AS BIGINT) AS n, n_clusters, CASE WHEN n < 3 THEN NULL WHEN v > 0 THEN mean_diff / sqrt(v / n) WHEN mean_diff = 0 THEN 0 END AS statistic FROM (
 SELECT model_a, model_b, sum(s) / sum(k) AS mean_diff, sum(k) AS n, count(*) AS n_clusters, sum((s - k * m) * (s - k * m)) / sum(k) AS v FROM (
   SELECT *, sum(s) OVER (PARTITION BY model_a, model_b) / sum(k) OVER (PARTITION BY model_a, model_b) AS m FROM (SELECT model_a, model_b, split_part(unique_id, '@@', 1) AS c, sum(abs(a) - abs(b)) AS s, count(*) AS k FROM pairs GROUP BY ALL)) GROUP BY model_a, model_b)""",
@@ -210,6 +215,12 @@ SELECT n_series, unique_id, stratum FROM ordered JOIN sizes ON nth <= n_series""
     "quantiles_by_ranges": "SELECT model, horizon, metric, count(value) AS n, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM metrics WHERE value IS NOT NULL AND metric IN ('MASE', 'RMSSE', 'sMAPE', 'MAPE', 'coverage_80') GROUP BY ALL",
     "ids_tree_digest": """WITH leaves AS (SELECT n_series, ('0x' || substr(md5(unique_id), 1, 8))::BIGINT % 4096 AS part, sha256(string_agg(unique_id, chr(10) ORDER BY unique_id)) AS leaf FROM ladder GROUP BY ALL)
 SELECT n_series, substr(sha256(string_agg(part || ':' || leaf, chr(10) ORDER BY part)), 1, 16) AS digest FROM leaves GROUP BY n_series""",
+    "paired_statistics": """WITH d AS (SELECT model, horizon, comparison, round(a - b, 12) AS d FROM rung_pairs),
+s AS (SELECT *, rank() OVER (PARTITION BY model, horizon, comparison ORDER BY abs(d)) + (t - 1) / 2 AS rank FROM (SELECT *, count(*) OVER (PARTITION BY model, horizon, comparison, abs(d)) AS t FROM d WHERE d <> 0)),
+g AS (SELECT model, horizon, comparison, count(*) AS m, sum(CASE WHEN d > 0 THEN rank ELSE 0 END) AS plus, sum(CASE WHEN d < 0 THEN rank ELSE 0 END) AS minus, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM s GROUP BY ALL)
+SELECT model, horizon, comparison, n, coalesce(m, 0) AS n_nonzero, median_diff, share_first_better, least(coalesce(plus, 0), coalesce(minus, 0)) AS statistic,
+(least(coalesce(plus, 0), coalesce(minus, 0)) - m * (m + 1) / 4) / nullif(sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24), 0) AS z
+FROM (SELECT model, horizon, comparison, count(*) AS n, median(d) AS median_diff, avg(CASE WHEN d < 0 THEN 1.0 ELSE 0.0 END) AS share_first_better FROM d GROUP BY ALL) LEFT JOIN g USING (model, horizon, comparison)""",
     "csv_scan": """SELECT internal_id, 'kept' AS outcome, count(*) AS n_rows, count(Dollars) AS n_amounts, count(DISTINCT Time_Period_End_Date) AS n_weeks FROM raw_export
 WHERE weekofyear(Time_Period_End_Date) % 13 <> 5 AND Geography_Level = 'MARKET' AND Channel_Outlet = 'CONVENTIONAL|MULTI OUTLET' GROUP BY internal_id
 UNION ALL SELECT internal_id, 'bad date', count(*), 0, 0 FROM raw_export WHERE weekofyear(Time_Period_End_Date) % 13 = 5 GROUP BY internal_id
@@ -373,6 +384,7 @@ DOUBLES: dict[str, str] = {
     "dm_p_values": "mean_diff statistic df p_value",
     "posthoc_comparison": "rank_diff cd p_holm",
     "wilcoxon_holm": "median_diff share_first_better statistic z",
+    "paired_statistics": "median_diff share_first_better statistic z",
     "holm_adjust": "p_value p_holm",
     "bootstrap_skill": "mean low high",
     "scaling_table": "MASE_h4 MASE_h13 RMSSE_h4 RMSSE_h13 fit_s_h4 run_s_h4 fit_s_h13 run_s_h13 per1k_s_h4 per1k_s_h13",

@@ -706,6 +706,13 @@ def paired_tests(spark, d):
     return stats.wilcoxon_p(stats.wilcoxon(pairs, ["model", "horizon", "comparison"])).drop("ties")
 
 
+@query
+def paired_statistics(spark, d):
+    """The signed-rank statistics of ``paired_tests``."""
+    pairs = scaling.paired_rungs(fx.rungs(spark, d), scaling.common_series(fx.ladder(spark, d)), fx.metrics(spark, d), P.baseline)
+    return stats.wilcoxon(pairs, ["model", "horizon", "comparison"]).drop("ties")
+
+
 @query
 def ladder_warnings(spark, d):
     return scaling.ladder_warnings(fx.rung_timings(spark, d).where("NOT (model = 'mean_13' AND unit_series < n_series / 2)"))
