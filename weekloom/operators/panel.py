@@ -33,6 +33,31 @@ def duplicate_keys(rows: DataFrame) -> DataFrame:
     return rows.groupBy("unique_id", "ds").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("n_extra_rows"))
 
 
+def first_five(names: DataFrame) -> str:
+    """The first five names of a one-column frame, in order, as text for a message."""
+    found = [str(r[0]) for r in names.distinct().orderBy(names.columns[0]).limit(6).collect()]
+    return ", ".join(found[:5]) + (" and others" if len(found) > 5 else "")
+
+
+def assert_unique_keys(rows: DataFrame) -> DataFrame:
+    """The rows, or an error that names the first series with two rows in a week."""
+    extra = duplicate_keys(rows).first()[0]
+    if extra:
+        raise ValueError(f"{extra} rows repeat a week, of series {first_five(rows.groupBy('unique_id', 'ds').count().where('count > 1').select('unique_id'))}")
+    return rows
+
+
+def assert_weekly(rows: DataFrame) -> DataFrame:
+    """The rows, or an error that names the first dates on another weekday than most, or after a gap that is no whole number of weeks."""
+    found = weekly_check(rows).first()
+    if found["n_weekdays"] > 1:
+        usual = rows.select("ds").distinct().groupBy(F.dayofweek("ds").alias("day")).count().orderBy(F.desc("count"), "day").first()["day"]
+        raise ValueError(f"dates fall on {found['n_weekdays']} weekdays, not one: {first_five(rows.where(F.dayofweek('ds') != usual).select('ds'))}")
+    if found["n_bad_gaps"]:
+        raise ValueError(f"{found['n_bad_gaps']} gaps between dates are no whole number of weeks")
+    return rows
+
+
 def weekly_check(rows: DataFrame) -> DataFrame:
     """Distinct dates, weekdays, and gaps that are no whole number of weeks."""
     dates = rows.select("ds").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.config import Protocol
+from weekloom.operators.panel import first_five
 
 
 def origins(panel: DataFrame, protocol: Protocol) -> DataFrame:
@@ -92,6 +93,24 @@ def behind_origin(train: DataFrame) -> DataFrame:
     return last.where("last_ds IS NULL OR last_ds < origin")
 
 
+def assert_reaches_origin(train: DataFrame) -> DataFrame:
+    """The frame, or an error that names the first series whose last value lies before its fold's origin."""
+    late = behind_origin(train)
+    n = late.count()
+    if n:
+        raise ValueError(f"{n} series of a fold end before its origin: {first_five(late.select('unique_id'))}")
+    return train
+
+
+def assert_feasible(checked: DataFrame, protocol: Protocol) -> DataFrame:
+    """The checked series, or an error that names the first that are too short for the protocol or do not reach its span."""
+    short, open_ = checked.where("NOT meets_min_train"), checked.where("NOT covers_span")
+    for rows, what in ((short, f"have fewer than {protocol.min_train} weeks to learn from"), (open_, "do not cover the folds")):
+        if n := rows.count():
+            raise ValueError(f"{n} series {what}: {first_five(rows.select('unique_id'))}")
+    return checked
+
+
 #: What each column beside the target is to a model.
 STATIC, KNOWN, MEASURED = ("internal_id", "geography"), ("y_yago", "units_yago", "arp_yago", "planned_arp", "week_of_year"), {"Units": "units", "ARP": "arp"}
 
