@@ -55,7 +55,7 @@ def _fold(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Powers of both bases and of their inverses, from 0 to n at least."""
+    """Powers of both bases and of their inverses, from 0 to n at least.  Those for chunks of the usual sizes are kept, longer tables are not."""
     if not _powers or len(_powers[0][0]) <= n:
         size = max(n + 1, CHUNK_BYTES + 1024)
         found = []
@@ -70,6 +70,8 @@ def _power(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
                     have += more
                 both.append(out.astype(np.uint32))
             found.append(tuple(both))
+        if size > 4 * CHUNK_BYTES + 1024:
+            return found
         _powers[:] = found
     return _powers
 
