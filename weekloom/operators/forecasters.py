@@ -59,7 +59,10 @@ def per_series(filled: DataFrame, name: str, fit: FitMany, protocol: Protocol, *
                 points, spreads, *quantiles = fit([np.asarray(y, float) for y in rows["context"]], steps, season, **parameters)
                 yield rows_of(name, rows["fold"], rows["unique_id"], points, spreads, z, *quantiles)
 
-    return contexts(filled).mapInPandas(run, SCHEMA)
+    spark = filled.sparkSession
+    # fits are heavy for their few bytes: a task for each core, whatever the size of the rows suggests
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return contexts(filled.repartition(tasks, *SERIES)).mapInPandas(run, SCHEMA)
 
 
 def _grow(errors: np.ndarray, steps: int) -> np.ndarray:
