@@ -8,6 +8,7 @@ multi-byte character, this equals splitting the characters.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -227,6 +228,15 @@ def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, BATCH_ROWS)
 
 
+def release() -> None:
+    """Gives memory that was freed back to the system, as a worker that has done one heavy group lives on through other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from where the driver has it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
