@@ -222,10 +222,11 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> D
 
 
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches, so that what is worked on at once stays small; Spark itself bounds a batch by rows and bytes."""
+    """Slices of the batches, so that what is worked on at once stays small; Spark itself bounds a batch by rows and bytes.  At the end of a task its memory goes back."""
     for batch in batches:
         for lo in range(0, batch.num_rows, BATCH_ROWS):
             yield batch.slice(lo, BATCH_ROWS)
+    release()
 
 
 def release() -> None:
