@@ -1,12 +1,13 @@
 """Steps whose work per row must not grow with a series or with the number of series."""
 
 import datetime
+import hashlib
 
 import numpy as np
 import pytest
 
 from weekloom.config import PROTOCOL
-from weekloom.operators import panel, split
+from weekloom.operators import backtest, baselines, panel, split, stats
 
 DAY = datetime.date(1995, 1, 1)
 
@@ -32,3 +33,57 @@ def test_grid_takes_statics_from_either_side_by_frames_that_only_grow(spark):
     assert "unboundedfollowing" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
     got = made.orderBy("ds").collect()
     assert [r.internal_id for r in got] == ["a"] * 6 and [r.y for r in got] == [0.0, 0.0, 0.0, 3.0, 0.0, 5.0]
+
+
+def drawn_one_by_one(rows: dict[str, list[float | None]], resamples: int, seed: str) -> list[float]:
+    """Medians of resamples of the series, by the definition."""
+    names, out = sorted(rows), []
+    for b in range(resamples):
+        own = [v for i in range(len(names)) for v in rows[names[int(hashlib.md5(f"{seed}|{b}|{i}".encode()).hexdigest()[:12], 16) % len(names)]] if v is not None]
+        out.append(float(np.median(own)) if own else np.nan)
+    return out
+
+
+def test_median_band_is_that_of_its_definition_and_draws_once_for_groups_of_a_size(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    groups = {"a": 90, "b": 90, "c": 7, "d": 2}
+    made = {g: {f"s{k}": [None if rng.random() < 0.2 else round(float(v), 1) for v in rng.gamma(2, 2, 1 + k % 5)] for k in range(n)} for g, n in groups.items()}
+    made["e"] = {"s0": [None], "s1": [None]}
+    rows = spark.createDataFrame([(g, s, v) for g, own in made.items() for s, vs in own.items() for v in vs], "model string, unique_id string, value double")
+    seen = []
+    whole = stats.written
+    monkeypatch.setattr(stats, "written", lambda frame: seen.append(frame.columns) or whole(frame))
+    got = {r.model: r for r in stats.bootstrap_median_band(rows, ["model"], 40, "7").collect()}
+    assert set(got) == set(made) and got["e"].low is None and ["drawn", "gids", "own"] in seen
+    for g in groups:
+        want = drawn_one_by_one(made[g], 40, "7")
+        assert (got[g].low, got[g].high) == pytest.approx(tuple(np.nanpercentile(want, [2.5, 97.5])))
+
+
+def test_folds_of_a_model_go_in_one_job_and_failures_are_told_by_fold(spark, tmp_path):
+    root, days = f"file://{tmp_path}/store", lambda k: DAY + datetime.timedelta(weeks=k)
+    filled = spark.createDataFrame([(f, "a", days(k), float(k % 7)) for f in range(3) for k in range(60)], "fold int, unique_id string, ds date, y double")
+    actual = spark.createDataFrame([(f, "a", k + 1, days(60 + k), 3.0) for f in range(3) for k in range(13)], "fold int, unique_id string, step int, ds date, y double")
+    scale = spark.createDataFrame([("a", 2.0, 2.0)], "unique_id string, mase_den double, rmsse_den double")
+    calls, bad = [], [True]
+
+    def fit(name):
+        def run(rows, seed):
+            own = sorted(r[0] for r in rows.select("fold").distinct().collect())
+            calls.append((name, own))
+            if name == "odd" and bad[0] and 1 in own:
+                raise RuntimeError("no luck")
+            return baselines.naive(rows, PROTOCOL)
+
+        return run
+
+    models = [backtest.Model(n, fit(n)) for n in ("even", "odd")]
+    done = {(r.model, r.fold): r.status for r in backtest.run(filled, actual, scale, models, PROTOCOL, root).collect()}
+    assert done == {(m, f): "failed" if (m, f) == ("odd", 1) else "ok" for m in ("even", "odd") for f in range(3)}
+    assert calls == [("even", [0, 1, 2]), ("odd", [0, 1, 2]), ("odd", [0]), ("odd", [1]), ("odd", [2])]
+    before = backtest.collect(spark, root)[0].where("model = 'even'").count()
+    bad[0] = False
+    assert [(r.model, r.fold, r.status) for r in backtest.run(filled, actual, scale, models, PROTOCOL, root).collect()] == [("odd", 1, "ok")]
+    metrics, timings = backtest.collect(spark, root)
+    assert metrics.where("model = 'even'").count() == before == metrics.where("model = 'odd'").count()
+    assert timings.count() == 2 * 3 * 2 and timings.where("status <> 'ok'").count() == 0
