@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from weekloom.config import PROTOCOL
-from weekloom.operators import backtest, baselines, panel, split, stats
+from weekloom.operators import arima, backtest, baselines, panel, smoothing, split, stats
 
 DAY = datetime.date(1995, 1, 1)
 
@@ -87,3 +87,39 @@ def test_folds_of_a_model_go_in_one_job_and_failures_are_told_by_fold(spark, tmp
     metrics, timings = backtest.collect(spark, root)
     assert metrics.where("model = 'even'").count() == before == metrics.where("model = 'odd'").count()
     assert timings.count() == 2 * 3 * 2 and timings.where("status <> 'ok'").count() == 0
+
+
+def test_smoothing_goes_in_batches_and_fits_no_error_that_a_series_lacks(monkeypatch):
+    rng = np.random.default_rng(3)
+    series = [rng.gamma(2, 30, 40 + k % 5) * (k % 2 or rng.random(40 + k % 5) > 0.2) for k in range(20)]
+    want = smoothing.chosen(series, 6, 12)[:2]
+    monkeypatch.setattr(smoothing, "TOGETHER", 8)
+    sizes, whole = [], smoothing.Batch.fitted
+
+    def fitted(self, form, *rest, errors="AM", **more):
+        sizes.append(len(self.n))
+        assert errors == "A" or self.positive.all()
+        return whole(self, form, *rest, errors=errors, **more)
+
+    monkeypatch.setattr(smoothing.Batch, "fitted", fitted)
+    got = smoothing.ets(series, 6, 12)
+    assert np.allclose(got, want, rtol=1e-9) and max(sizes) <= 8
+
+
+def test_arima_goes_in_batches_and_blocks_of_weeks(monkeypatch):
+    rng = np.random.default_rng(4)
+    series = [rng.gamma(2, 30, 60 + k % 5) for k in range(12)]
+    order = arima.Order(2, 2, 1, 1)
+    fit, u = arima.Fit([y - y.mean() for y in series], 12), rng.normal(0, 0.5, (3, 12, order.size))
+    made = fit.innovations(order, u)
+    ar, ma = fit.parts(order, u)
+    for c in range(3):
+        for k, y in enumerate(series):
+            x, e = y - y.mean(), []
+            for t in range(len(y)):
+                e.append(x[t] - sum(w[c, k] * x[t - lag] for lag, w in ar if lag <= t) + sum(w[c, k] * e[t - lag] for lag, w in ma if lag <= t))
+            assert np.allclose(made[fit.start[k] :, c, k], e) and not made[: fit.start[k], c, k].any()
+    want, sizes, whole = arima.arima(series, 6, 12), [], arima.Fit.fitted
+    monkeypatch.setattr(arima, "TOGETHER", 5)
+    monkeypatch.setattr(arima.Fit, "fitted", lambda self, *rest: sizes.append(len(self.n)) or whole(self, *rest))
+    assert np.allclose(arima.arima(series, 6, 12), want, rtol=1e-6) and max(sizes) <= 5
