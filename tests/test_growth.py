@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from weekloom.config import PROTOCOL
-from weekloom.operators import arima, backtest, baselines, panel, smoothing, split, stats
+from weekloom.operators import arima, backtest, baselines, forecasters, panel, smoothing, split, stats
 
 DAY = datetime.date(1995, 1, 1)
 
@@ -123,3 +123,15 @@ def test_arima_goes_in_batches_and_blocks_of_weeks(monkeypatch):
     monkeypatch.setattr(arima, "TOGETHER", 5)
     monkeypatch.setattr(arima.Fit, "fitted", lambda self, *rest: sizes.append(len(self.n)) or whole(self, *rest))
     assert np.allclose(arima.arima(series, 6, 12), want, rtol=1e-6) and max(sizes) <= 5
+
+
+def test_series_of_global_models_are_dealt_to_all_cores_and_repeated_models_begin_first(spark, tmp_path):
+    rows = spark.createDataFrame([(0, f"s{k}", DAY + datetime.timedelta(weeks=w), float(k + w % 5 + 1)) for k in range(3) for w in range(70)], "fold int, unique_id string, ds date, y double")
+    for made in (forecasters.ridge_global(rows, PROTOCOL), forecasters.gbt_global(rows, PROTOCOL, trees=2, depth=2)):
+        assert "RepartitionByExpression" in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 3 * PROTOCOL.longest
+    calls = []
+    models = [backtest.Model(n, lambda rows, _, n=n: calls.append(n) or baselines.naive(rows, PROTOCOL), repeats=r) for n, r in (("once", 1), ("often", 2))]
+    actual = spark.createDataFrame([(0, f"s{k}", h, DAY, 1.0) for k in range(3) for h in range(1, PROTOCOL.longest + 1)], "fold int, unique_id string, step int, ds date, y double")
+    scale = spark.createDataFrame([("s0", 1.0, 1.0)], "unique_id string, mase_den double, rmsse_den double")
+    backtest.run(rows, actual, scale, models, PROTOCOL, f"file://{tmp_path}/store")
+    assert calls == ["often", "often", "once"]
