@@ -54,3 +54,21 @@ def test_lengths_lie_together(spark):
     tasks, met = dealt.select("task").distinct().count(), dealt.distinct().count()
     assert dealt.count() == 444 and tasks > 1
     assert met < 37 + tasks  # a length is in two tasks only at their border
+
+
+@pytest.mark.parametrize("name", ["ridge_local", "fourier_trend"])
+def test_series_of_one_length_are_fitted_together(name):
+    fit = getattr(forecasters, name)
+    rng, sizes = np.random.default_rng(6), []
+    series = [rng.normal(10, 3, n) * 10.0 ** (k % 3) for k, n in enumerate([120, 3, 90, 120, 53, 120, 90, 0, 52] * 3)]
+
+    def counted(y, *rest, **more):
+        sizes.append(y.shape)
+        return fit(y, *rest, **more)
+
+    points, spreads = forecasters.by_lengths(counted, most=8)(series, 13, 52)
+    if name == "fourier_trend":
+        assert len(sizes) == 5 and (8, 120) in sizes  # 9 of 120 weeks in two blocks, 90, 53 and 52
+    alone = forecasters.one_by_one(fit)(series, 13, 52)
+    assert np.allclose(points, alone[0], equal_nan=True, rtol=1e-8) and np.allclose(spreads, alone[1], equal_nan=True, rtol=1e-6)
+    assert np.isnan(points[1]).all() and np.isfinite(points[0]).all()
