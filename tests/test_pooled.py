@@ -76,3 +76,15 @@ def test_fitted_ladder_on_the_tables(spark):
             assert r[f"MASE_h{h}"] is None or r[f"MASE_h{h}_lo"] <= r[f"MASE_h{h}"] <= r[f"MASE_h{h}_hi"]
     tests = QUERIES["ladder_fitted_tests"](spark, SF)
     assert tests.where("p_value IS NULL").count() == 0 and tests.count() == 2 * 2 * (1 + len(sizes))
+
+
+def test_series_of_one_length_are_stacked_a_bounded_number_at_once():
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    rows = pd.DataFrame({"fold": [0, 1] * 700, "unique_id": [f"s{k}" for k in range(1400)], "context": [rng.random(130) for _ in range(1400)]})
+    found = list(pooled.stacks(rows, ["fold"]))
+    assert max(len(v) for _, _, v, _, _ in found) <= 512
+    assert sorted(k for _, places, _, _, _ in found for k in places) == list(range(1400))
+    for (fold,), places, v, scale, _ in found:
+        assert all(rows["fold"][k] == fold and np.allclose(v[i] * scale[i], rows["context"][k]) for i, k in enumerate(places))
