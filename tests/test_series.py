@@ -72,3 +72,21 @@ def test_series_of_one_length_are_fitted_together(name):
     alone = forecasters.one_by_one(fit)(series, 13, 52)
     assert np.allclose(points, alone[0], equal_nan=True, rtol=1e-8) and np.allclose(spreads, alone[1], equal_nan=True, rtol=1e-6)
     assert np.isnan(points[1]).all() and np.isfinite(points[0]).all()
+
+
+def test_a_store_scores_its_units_by_one_join(spark, tmp_path, monkeypatch):
+    filled = frame(spark, [160 + k % 3 for k in range(6)])
+    steps = F.explode(F.sequence(F.lit(1), F.lit(PROTOCOL.longest))).alias("step")
+    actual = filled.select("fold", "unique_id").distinct().select("fold", "unique_id", steps).withColumn("ds", F.date_add(F.lit(datetime.date(2000, 1, 2)), F.col("step") * 7)).withColumn("y", F.when(F.col("step") != 2, F.lit(50.0)))
+    scale = score.seasonal_denominators(filled.where("fold = 0"), None, 52)
+    model = backtest.Model("ridge_local", lambda rows, _: forecasters.per_series(rows, "ridge_local", forecasters.LOCAL["ridge_local"], PROTOCOL), one_pass=True, gathered=True)
+    joins, joined = [], score._scored
+    monkeypatch.setattr(score, "_scored", lambda *a, **k: joins.append(1) or joined(*a, **k))
+    assert {r.status for r in backtest.run(filled, actual, scale, [model], PROTOCOL, str(tmp_path / "store")).collect()} == {"ok"}
+    assert len(joins) == 1
+    made = spark.read.parquet(str(tmp_path / "store/forecasts")).drop("repeat")
+    want = score.score_point(actual, made, scale, PROTOCOL).unionByName(score.score_quantile(actual, made, PROTOCOL))
+    key = lambda r: (r.fold, r.horizon, r.unique_id, r.metric)
+    got = {key(r): (r.value, r.n_points, r.n_undefined) for r in spark.read.parquet(str(tmp_path / "store/metrics")).collect()}
+    wanted = {key(r): (r.value, r.n_points, r.n_undefined) for r in want.collect()}
+    assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k]) for k in got)
